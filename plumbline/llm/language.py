@@ -20,8 +20,8 @@ from plumbline.llm.textio import batch, strings
 LETTER = regex.compile(r"\p{L}")
 #: Bounds of the fit: languages (the most frequent), sampled texts a language, bytes of a dictionary.
 MAX_LANGUAGES, MAX_TEXTS, DICTIONARY = 64, 200, 98_304
-#: Bytes of a block of text; the share of the second smallest size by which the smallest must be smaller.
-BLOCK, MARGIN = 4096, 0.02
+#: Bytes of a block of text, and zstandard's level; the share of the second smallest size by which the smallest must be smaller.
+BLOCK, MARGIN, LEVEL = 4096, 0.02, 5
 UNDECIDED = "und"
 
 
@@ -29,7 +29,7 @@ def fit(labelled: DataFrame, text: str, lang: str, key: str) -> dict[str, bytes]
     """Dictionaries by language, from at most MAX_TEXTS texts of each of at most MAX_LANGUAGES languages.
 
     The texts are those whose ids have the least digests, so every part of the corpus is as
-    likely to be in the sample. Only rows under a digest that about 1.5 times MAX_TEXTS rows of
+    likely to be in the sample. Case is folded, here and in prediction. Only rows under a digest that about 1.5 times MAX_TEXTS rows of
     their language have are shuffled.
     """
     counts = labelled.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MAX_LANGUAGES)
@@ -40,7 +40,7 @@ def fit(labelled: DataFrame, text: str, lang: str, key: str) -> dict[str, bytes]
     drawn = drawn.select("_lang", "_u", F.substring(F.col(text), 1, 4 * DICTIONARY // MAX_TEXTS).alias("_text"), F.row_number().over(Window.partitionBy("_lang").orderBy("_u", text)).alias("_n")).where(F.col("_n") <= MAX_TEXTS)
     found: dict[str, bytes] = {}
     for row in drawn.orderBy("_lang", F.desc("_n")).select("_lang", "_text").collect():  # at most 64 x 200 short texts
-        found[row["_lang"]] = (found.get(row["_lang"], b"") + row["_text"].encode() + b"\n")[-DICTIONARY:]
+        found[row["_lang"]] = (found.get(row["_lang"], b"") + row["_text"].lower().encode() + b"\n")[-DICTIONARY:]
     return found
 
 
@@ -50,8 +50,8 @@ class Compressors:
         self.each = []
         for lang in self.langs:
             raw = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            raw.precompute_compress(level=1)
-            self.each.append(zstandard.ZstdCompressor(level=1, dict_data=raw, write_checksum=False, write_content_size=False, write_dict_id=False))
+            raw.precompute_compress(level=LEVEL)
+            self.each.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_checksum=False, write_content_size=False, write_dict_id=False))
 
     def sizes(self, text: bytes) -> list[int]:
         blocks = [text[i : i + BLOCK] for i in range(0, len(text), BLOCK)]
@@ -61,7 +61,7 @@ class Compressors:
         """Language, score and whether the margin is narrow. score: from 0 (the second language fits as well) to 1."""
         if not text or not self.langs or not LETTER.search(text):
             return UNDECIDED, 0.0, True
-        sizes = self.sizes(text.encode())
+        sizes = self.sizes(text.lower().encode())
         order = sorted(range(len(sizes)), key=sizes.__getitem__)
         if len(order) == 1:
             return self.langs[0], 1.0, False

@@ -39,38 +39,64 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], epochs: float, mo
     shared = ranked.withColumn("all_size", F.sum("source_size").over(everything)).withColumn("limits_before", F.sum("limit").over(to_limit.rowsBetween(Window.unboundedPreceding, 0)) - F.col("limit"))
     shared = shared.withColumn("w_left", F.sum("w").over(everything) - F.sum("w").over(to_limit.rowsBetween(Window.unboundedPreceding, 0)) + F.col("w"))
     level = shared.withColumn("level", (F.lit(float(epochs)) * F.col("all_size") - F.col("limits_before")) / F.col("w_left"))
-    own = F.min(F.when(F.col("level") <= F.col("reach"), F.col("level"))).over(everything)
+    own = F.min(F.when(F.col("level") <= F.col("reach"), F.struct("reach", F.row_number().over(to_limit).alias("at"), "level"))).over(everything)["level"]
     target = F.when(own.isNull(), F.col("limit")).otherwise(F.least(own * F.col("w"), F.col("limit")))
     return level.select("source", "source_size", target.alias("target"))
 
 
+def _small(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """df for a broadcast if it is counted to be small; else as it is, for a join by shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def _ranked(slim: DataFrame, targets: DataFrame) -> DataFrame:
+    """slim with its source's columns, `order` (odds of the uniform number over inclusion odds; null without such odds) and its class."""
+    number = (F.conv(F.substring(F.md5("draw"), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
+    odds = (F.col("size") / (F.col("size") + F.lit(50.0))) * (F.col("rate") / (F.lit(1.0) - F.col("rate")))
+    joined = slim.join(targets, slim["source"].eqNullSafe(targets["_source"])).drop("_source")
+    ranked = joined.withColumn("_u", number).withColumn("_odds", odds)
+    ranked = ranked.withColumn("order", F.when(F.col("_odds") > 0, (F.col("_u") / (F.lit(1.0) - F.col("_u"))) / F.col("_odds")))
+    return ranked.withColumn("class", F.floor(F.lit(float(CLASSES)) * (F.col("order") / (F.lit(1.0) + F.col("order")))).cast("int")).drop("_u", "_odds")
+
+
 def allotted(slim: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
     """slim (source, size, draw, and any others) with source_size, target, copies and taken.
 
     draw: a string from which the uniform number comes. Inclusion odds within a source grow with
     size / (size + 50): a short document is a little less likely to be repeated than a long one.
+    The sample of a source ends with the last document in order that fits in the rest of its
+    target, and one closing document: the one of those behind whose size is nearest to the gap, if
+    taking it brings the source nearer. All statistics come from a slim table; the rows of slim
+    themselves are not shuffled while the sources are few enough to be broadcast.
     """
-    slim = cut(slim.withColumn("_u", (F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce("draw", F.lit("")))), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))))
-    sizes = slim.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
-    targets = source_targets(sizes, weights, epochs, most).withColumn("whole", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(int(most)))).otherwise(0).cast("int"))
+    slim = slim.withColumn("draw", F.concat(F.lit(seed + ":"), F.coalesce("draw", F.lit(""))))
+    sizes = cut(slim.select("source", "size", "draw"))
+    per_source = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
+    targets = source_targets(per_source, weights, epochs, most)
+    some = F.col("source_size") > 0
+    targets = targets.withColumn("whole", F.when(some, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(int(most)))).otherwise(0).cast("int"))
     targets = targets.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    rate = F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(0.0)
-    odds = (F.col("size") / (F.col("size") + F.lit(50.0))) * (F.col("rate") / (F.lit(1.0) - F.col("rate")))
-    order = (F.col("_u") / (F.lit(1.0) - F.col("_u"))) / F.col("odds")
-    targets = cut(targets.withColumn("rate", rate).withColumnRenamed("source", "_source"))
-    ranked = slim.join(targets, slim["source"].eqNullSafe(targets["_source"])).drop("_source").withColumn("odds", odds)
-    ranked = ranked.withColumn("order", F.when(F.col("odds") > 0, order)).withColumn("class", F.when(F.col("odds") > 0, F.floor(F.lit(float(CLASSES)) * (F.col("order") / (F.lit(1.0) + F.col("order")))).cast("int")).otherwise(CLASSES + 1))
-    per_class = ranked.where(F.col("class") <= CLASSES).groupBy("source", "class", "rest").agg(F.sum("size").alias("class_size"))
+    targets = cut(targets.withColumn("rate", F.when(some, F.col("rest") / F.col("source_size")).otherwise(0.0)).withColumnRenamed("source", "_source"))
+    ranked = _ranked(sizes, _small(targets)).where("class IS NOT NULL")
+
+    per_class = ranked.groupBy("source", "class", "rest").agg(F.sum("size").alias("class_size"))
     running = Window.partitionBy("source").orderBy("class").rowsBetween(Window.unboundedPreceding, 0)
-    last = per_class.withColumn("up_to", F.sum("class_size").over(running)).where("up_to >= rest").groupBy("source").agg(F.min(F.struct("class", (F.col("up_to") - F.col("class_size")).alias("before"))).alias("m"))
-    last = last.select(F.col("source").alias("_source"), F.col("m.class").alias("last_class"), F.col("m.before").alias("before"))
-    cutting = ranked.join(last, ranked["source"].eqNullSafe(last["_source"]), "left").drop("_source").withColumn("last_class", F.coalesce("last_class", F.lit(-1)))
-    in_order = Window.partitionBy("source").orderBy("order", "draw", "size").rowsBetween(Window.unboundedPreceding, 0)
-    edge = cutting.where("class = last_class").withColumn("ahead", F.col("before") + F.sum("size").over(in_order) - F.col("size"))
-    edge = edge.withColumn("drawn", F.col("ahead") + F.col("size") / 2.0 <= F.col("rest")).drop("ahead")
-    rest = cutting.where("class <> last_class").withColumn("drawn", F.col("class") < F.col("last_class"))
-    mixed = rest.unionByName(edge).withColumn("copies", F.col("whole") + F.col("drawn").cast("int"))
-    return mixed.withColumn("taken", (F.col("copies") * F.col("size")).cast("long")).drop("_u", "whole", "rest", "rate", "odds", "order", "class", "last_class", "before", "drawn")
+    last = per_class.withColumn("up_to", F.sum("class_size").over(running)).where("up_to >= rest").groupBy("source", "rest").agg(F.min(F.struct("class", (F.col("up_to") - F.col("class_size")).alias("before"))).alias("m"))
+    last = cut(last.select(F.col("source").alias("_of"), F.col("m.class").alias("last_class"), F.col("m.before").alias("before")))
+    at_edge = ranked.join(_small(last), F.col("source").eqNullSafe(F.col("_of"))).drop("_of").withColumn("at", F.struct("order", "draw", "size"))
+    in_order = Window.partitionBy("source").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    edge = at_edge.where("class = last_class").withColumn("up_to", F.col("before") + F.sum("size").over(in_order)).where("up_to <= rest")
+    edge = cut(edge.groupBy("source").agg(F.max("at").alias("last_at"), F.max("up_to").alias("reached")).withColumnRenamed("source", "_of"))
+    behind = at_edge.join(_small(edge), F.col("source").eqNullSafe(F.col("_of")), "left").drop("_of").withColumn("gap", F.col("rest") - F.coalesce("reached", "before"))
+    behind = behind.where("class > last_class OR (class = last_class AND (last_at IS NULL OR at > last_at))").withColumn("off", F.abs(F.col("size") - F.col("gap"))).where("off < gap")
+    closing = behind.groupBy("source").agg(F.min(F.struct("off", "at"))["at"].alias("closing_at")).withColumnRenamed("source", "_of2")
+
+    whole = targets.join(last, F.col("_source").eqNullSafe(F.col("_of")), "left").drop("_of").join(edge.drop("reached"), F.col("_source").eqNullSafe(F.col("_of")), "left").drop("_of")
+    whole = cut(whole.join(closing, F.col("_source").eqNullSafe(F.col("_of2")), "left").drop("_of2"))
+    mixed = _ranked(slim, _small(whole)).withColumn("at", F.struct("order", "draw", "size"))
+    drawn = "class IS NOT NULL AND (class < last_class OR (class = last_class AND at <= last_at) OR at = closing_at)"
+    mixed = mixed.withColumn("copies", F.col("whole") + F.coalesce(F.expr(drawn), F.lit(False)).cast("int"))
+    return mixed.withColumn("taken", (F.col("copies") * F.col("size")).cast("long")).drop("draw", "whole", "rest", "rate", "order", "class", "at", "last_class", "before", "last_at", "closing_at")
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
