@@ -74,30 +74,56 @@ def _distance(own: str, reference: str) -> Column:
         (a, v) -> a + ({half.format(p=p, q=q)} + {half.format(p=q, q=p)}) / 2))) END)[0]""")
 
 
+def references(features: DataFrame) -> DataFrame:
+    """(lang, counts of characters, counts of words): pooled over the documents of a language that pass the base rules; null: over all of them."""
+    labelled = features.where("NOT base_failed AND _lang IS NOT NULL")
+    n, m = len(CLASSES) + 1, len(COMMON) + 1
+    sums = [F.sum(F.col("_chars")[i]).alias(f"c{i}") for i in range(n)] + [F.sum(F.col("_words")[i]).alias(f"w{i}") for i in range(m)]
+    per = cut(labelled.groupBy("_lang").agg(*sums))
+    pooled = per.agg(*[F.sum(c).alias(c) for c in per.columns[1:]]).select(F.lit(None).cast("string").alias("_lang"), "*")
+    both = per.unionByName(pooled)
+    return both.select(F.col("_lang").alias("_of"), F.array(*[f"c{i}" for i in range(n)]).alias("_ref_chars"), F.array(*[f"w{i}" for i in range(m)]).alias("_ref_words"))
+
+
+def with_verdict(features: DataFrame, reference: DataFrame, most: float) -> DataFrame:
+    """features with divergence and kept; all columns that only serve the comparison are dropped."""
+    reference = cut(reference)
+    own = reference.where("_of IS NOT NULL")
+    own = F.broadcast(own) if own.count() <= 10_000 else own
+    rest = reference.where("_of IS NULL").first()  # one row
+    joined = features.join(own, features["_lang"] == own["_of"], "left")
+    for column, pooled in (("_ref_chars", rest["_ref_chars"]), ("_ref_words", rest["_ref_words"])):
+        joined = joined.withColumn(column, F.coalesce(column, F.array(*[F.lit(x).cast("long") for x in pooled])))
+    characters = F.when(F.col("n_words") >= CHARACTER_WORDS, _distance("_chars", "_ref_chars"))
+    common = F.when(F.col("n_words") >= COMMON_WORDS, _distance("_words", "_ref_words"))
+    joined = joined.withColumn("divergence", F.coalesce(F.greatest(characters, common), F.lit(0.0)))
+    joined = joined.withColumn("kept", ~F.col("base_failed") & (F.col("divergence") < most))
+    return joined.drop("_chars", "_words", "_of", "_ref_chars", "_ref_words", "_lang")
+
+
 def judged(docs: DataFrame, text: str = "text", lang: str = "lang", most: float = MOST) -> DataFrame:
-    """docs (columns that start with an underscore excepted) with the columns of the base rules, `divergence` and `kept`.
+    """docs without text and lang (and without columns that start with an underscore), with the columns of the base rules, `divergence` and `kept`.
 
     divergence: the greater of the two Jensen-Shannon distances that the document is long enough
     for (CHARACTER_WORDS, COMMON_WORDS); 0 if it is too short for either. kept: the base rules hold
     and divergence is under `most`. A null text has no words. Repeated rows are judged alike. A
     language none of whose documents passes the base rules, and a null language, have the pooled
-    reference of all; without any reference the divergence is 0.
+    reference of all; without any reference the divergence is 0. Columns of docs with the names of
+    the added ones are replaced.
     """
     kept = [c for c in docs.columns if not c.startswith("_") and c not in (text, lang)]
-    features = base_features(docs.select(*kept, F.col(text).alias("_text"), F.col(lang).alias("_lang")), "_text").drop("_text")
-    features = cut(features)
-    labelled = features.where("NOT base_failed AND _lang IS NOT NULL")
-    n, m = len(CLASSES) + 1, len(COMMON) + 1
-    sums = [F.sum(F.col("_chars")[i]).alias(f"c{i}") for i in range(n)] + [F.sum(F.col("_words")[i]).alias(f"w{i}") for i in range(m)]
-    per = labelled.groupBy("_lang").agg(*sums)
-    pooled = labelled.agg(*sums).withColumn("_lang", F.lit(None).cast("string"))
-    references = cut(per.unionByName(pooled).select(F.col("_lang").alias("_of"), F.array(*[f"c{i}" for i in range(n)]).alias("_ref_chars"), F.array(*[f"w{i}" for i in range(m)]).alias("_ref_words")))
-    own = references.where("_of IS NOT NULL")
-    rest = references.where("_of IS NULL").select(F.col("_ref_chars").alias("_all_chars"), F.col("_ref_words").alias("_all_words"), F.lit(1).alias("_one"))
-    joined = features.join(own, features["_lang"] == own["_of"], "left").withColumn("_one", F.lit(1)).join(F.broadcast(rest), "_one", "left")
-    joined = joined.withColumn("_ref_chars", F.coalesce("_ref_chars", "_all_chars")).withColumn("_ref_words", F.coalesce("_ref_words", "_all_words"))
-    characters = F.when(F.col("n_words") >= CHARACTER_WORDS, _distance("_chars", "_ref_chars"))
-    common = F.when(F.col("n_words") >= COMMON_WORDS, _distance("_words", "_ref_words"))
-    joined = joined.withColumn("divergence", F.coalesce(F.greatest(characters, common), F.lit(0.0)))
-    joined = joined.withColumn("kept", ~F.col("base_failed") & (F.col("divergence") < most))
-    return joined.drop("_chars", "_words", "_of", "_ref_chars", "_ref_words", "_all_chars", "_all_words", "_one", "_lang")
+    features = cut(base_features(docs.select(*kept, F.col(text).alias("_text"), F.col(lang).alias("_lang")), "_text").drop("_text"))
+    return with_verdict(features, references(features), most)
+
+
+def kept_documents(docs: DataFrame, text: str = "text", lang: str = "lang", most: float = MOST) -> DataFrame:
+    """The rows of docs that `judged` keeps, all their columns as they are.
+
+    Texts are read twice, once for the references, rather than shuffled or written between.
+    """
+    features = cut(base_features(docs.select(F.col(text).alias("_text"), F.col(lang).alias("_lang")), "_text").drop("_text"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text"), F.col(lang).alias("_lang"))
+    verdict = with_verdict(base_features(rows, "_text").drop("_text"), references(features), most)
+    # Always true, but not deterministic: it keeps the optimizer from copying all that `kept` comes from into the filter.
+    held = F.monotonically_increasing_id() >= 0
+    return verdict.withColumn("kept", F.col("kept") & held).where("kept").select("_row.*")

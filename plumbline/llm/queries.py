@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import counting, encoding, language, mixing, quality, shingles, vectors
+from plumbline.llm import counting, encoding, language, lines, mixing, quality, scoring, shingles, suffixes, vectors
 
 #: Where vocabulary files are; None: the installed public_tokenizers.
 TOKENIZERS: str | None = None
@@ -52,12 +52,30 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "narrow")
 
 
+def op7_language_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
+    found = scoring.language_scores(docs, docs.where(~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingles.jaccard_classes(documents(spark, sf_dir), words=5, threshold=0.8)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """text: what is left; removed_spans: `start-end` character offsets into the original text."""
+    found = lines.line_dedup(documents(spark, sf_dir).select("doc_id", "text"), unit="line", least_words=5)
+    spans = F.array_join(F.transform("removed_spans", lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", "text", "n_units", "n_removed", spans.alias("removed_spans"))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.substring_dedup(documents(spark, sf_dir), length=50).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mix, op2_embedding_near_dedup, op3_token_counts, op4_bpe_round_trip, op5_quality_rules, op6_language_id, op8_jaccard_join)}
+    return {f.__name__: f for f in (op1_source_mix, op2_embedding_near_dedup, op3_token_counts, op4_bpe_round_trip, op5_quality_rules, op6_language_id, op7_language_model_scores, op8_jaccard_join, op9_line_dedup, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,15 +7,16 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to the folder in spark.checkpoint.dir and read again from there.
-
-    A lost executor then loses nothing: the written parts are read by others. Only where that
-    setting is unset, as in tests on one machine, a temporary folder is set.
-    """
-    spark: SparkSession = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, set for checkpoints too; only where that is unset, as in tests on one machine, a temporary one."""
     context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", "") or context.getConf().get("spark.checkpoint.dir", "")
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", "") or context.getConf().get("spark.checkpoint.dir", "")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="plumbline-checkpoint-"))
+    return shared or context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read again from there: a lost executor then loses nothing."""
+    folder(df.sparkSession)
     return df.checkpoint(eager=True)
