@@ -16,8 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def in_blocks(members: DataFrame, key: list[str], member: str) -> DataFrame:
-    """members with side (0 or 1), bi and bj: one row for each block pair that a member takes part in, dealt and sorted by it.
+def dealt_by(rows: DataFrame, key: list[str], member: str) -> DataFrame:
+    """Rows of a block pair together in one partition, in order."""
+    by = [*key, "bi", "bj"]
+    return rows.repartition(*by).sortWithinPartitions(*by, "side", member)
+
+
+def in_blocks(members: DataFrame, key: list[str], member: str, deal: bool = True) -> DataFrame:
+    """members with side (0 or 1), bi and bj: one row for each block pair that a member takes part in, and, with `deal`, dealt and sorted by it.
 
     members has `blocks`, the number of blocks of the row's bucket.
     """
@@ -30,8 +36,7 @@ def in_blocks(members: DataFrame, key: list[str], member: str) -> DataFrame:
         .withColumn("side", F.when(F.col("_own") == F.col("bi"), 0).otherwise(1))
         .drop("_own", "_other", "blocks")
     )
-    deal = [*key, "bi", "bj"]
-    return dealt.repartition(*deal).sortWithinPartitions(*deal, "side", member)
+    return dealt_by(dealt, key, member) if deal else dealt
 
 
 def groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
