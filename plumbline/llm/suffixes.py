@@ -33,7 +33,7 @@ K = 24
 #: Bits of the hashes counted first, and of the bitmaps.
 COUNTED_BITS, SIEVE_BITS = 40, 27
 #: Anchors that a task gathers before it sends them.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 
 COUNTED = np.dtype([("h", "<u8"), ("around", "<u4"), ("flags", "u1")])
 SINGLE = np.dtype([("around", "<u8"), ("doc", "<i8"), ("at", "<i4"), ("left", "u1"), ("right", "u1")])
@@ -246,30 +246,36 @@ def _send(batches: Iterator[pa.RecordBatch], length: int, parts: int, shared: np
             if len(which):
                 m["bytes"] = a.surroundings(which)
             multiples.append(m)
-            number += len(x) + 4 * len(m)
+            number += len(x) + 8 * len(m)
             if number > FLUSH:
                 yield from flush()
                 singles, multiples, number = [], [], 0
     yield from flush()
 
 
-def _window_ranges(m: np.ndarray, length: int, step: int = 100_000) -> np.ndarray:
+def _window_ranges(m: np.ndarray, length: int) -> np.ndarray:
     """Ranges of the windows around anchors of several surroundings that also start at an equal place in a smaller id."""
     side = length - K
     if not len(m):
         return np.zeros(0, RANGE)
     table = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
-    sums = np.zeros((len(m), 2 * length - K + 1), dtype=np.uint64)
-    for i in range(0, len(m), step):
-        np.cumsum(table[m["bytes"][i : i + step]] * powers(2 * length - K), axis=1, out=sums[i : i + step, 1:])
-    found = []
+    columns = np.ascontiguousarray(m["bytes"].T)
+    weight = powers(2 * length - K)
+    window = np.zeros(len(m), dtype=np.uint64)
+    for j in range(length):
+        window += table[columns[j]] * weight[j]
+    found = np.zeros(0, RANGE)
     for o in range(side + 1):
         fits = np.flatnonzero((m["left"] >= side - o) & (m["right"] >= o))
-        digest = mix((sums[fits, o + length] - sums[fits, o]) * inverse_powers(o + 1)[o])
+        digest = mix(window[fits] * inverse_powers(o + 1)[o])
         later = fits[_later([digest, m["key"][fits]], m["doc"][fits])]
         start = m["at"][later].astype(np.int64) - side + o
-        found.append(_ranges(m["doc"][later], start, start + length))
-    return _merged(np.concatenate(found))
+        found = np.concatenate([found, _ranges(m["doc"][later], start, start + length)])
+        if len(found) > 2 * len(m):
+            found = _merged(found)
+        if o < side:  # the next window: one byte leaves, one enters
+            window += table[columns[o + length]] * weight[o + length] - table[columns[o]] * weight[o]
+    return _merged(found)
 
 
 def _settle(batches: Iterator[pa.RecordBatch], length: int, parts: int) -> Iterator[pa.RecordBatch]:
@@ -288,10 +294,10 @@ def _settle(batches: Iterator[pa.RecordBatch], length: int, parts: int) -> Itera
         keys = m["key"]
         order = np.argsort(keys, kind="stable")
         cuts = np.flatnonzero(np.diff(keys[order])) + 1
-        # whole runs of a key at a time, some 200 000 rows together
+        # whole runs of a key at a time, some 50 000 rows together
         borders, last = [0], 0
         for c in [*cuts.tolist(), len(m)]:
-            if c - last >= 200_000 or c == len(m):
+            if c - last >= 50_000 or c == len(m):
                 borders.append(c)
                 last = c
         for i, j in zip(borders[:-1], borders[1:]):
