@@ -91,6 +91,26 @@ class Anchors:
         return padded[self.at[which][:, None] + np.arange(2 * self.length - K)[None, :]]
 
 
+def packed(records: np.ndarray) -> bytes:
+    """Records byte plane by byte plane, so that planes that hardly change compress; `bytes` as they stand."""
+    names = [x for x in records.dtype.names if x != "bytes"]
+    planes = [records[x].copy().view(np.uint8).reshape(len(records), -1).T.tobytes() for x in names]
+    return b"".join(planes + ([records["bytes"].tobytes()] if "bytes" in records.dtype.names else []))
+
+
+def unpacked(raw: bytes, kind: np.dtype) -> np.ndarray:
+    n, at = len(raw) // kind.itemsize, 0
+    out = np.zeros(n, dtype=kind)
+    data = np.frombuffer(raw, dtype=np.uint8)
+    for name in [x for x in kind.names if x != "bytes"]:
+        width = kind[name].itemsize
+        out[name] = np.ascontiguousarray(data[at : at + n * width].reshape(width, n).T).view(kind[name]).ravel()
+        at += n * width
+    if "bytes" in kind.names:
+        out["bytes"] = data[at:].reshape(n, -1)
+    return out
+
+
 def _dealt(records: np.ndarray, part: np.ndarray, parts: int, kind: int, out: pa.Schema) -> Iterator[pa.RecordBatch]:
     """One row for each part: its number, the kind of the records, and their bytes."""
     order = np.argsort(part, kind="stable")
@@ -98,7 +118,7 @@ def _dealt(records: np.ndarray, part: np.ndarray, parts: int, kind: int, out: pa
     cuts = np.searchsorted(part, np.arange(parts + 1))
     full = np.flatnonzero(np.diff(cuts))
     if len(full):
-        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), kind, np.int32)), pa.array([records[cuts[p] : cuts[p + 1]].tobytes() for p in full.tolist()], type=pa.binary())], schema=out)
+        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), kind, np.int32)), pa.array([packed(records[cuts[p] : cuts[p + 1]]) for p in full.tolist()], type=pa.binary())], schema=out)
 
 
 BLOBS = pa.schema({"part": pa.int32(), "kind": pa.int32(), "records": pa.binary()})
@@ -157,7 +177,7 @@ def _count(batches: Iterator[pa.RecordBatch], length: int, parts: int) -> Iterat
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words of the two bitmaps (kind 0: in two documents; kind 1: and with two surroundings) that the hashes of this task set."""
-    blobs = [np.frombuffer(r, dtype=COUNTED) for b in batches for r in b.column(2).to_pylist()]
+    blobs = [unpacked(r, COUNTED) for b in batches for r in b.column(2).to_pylist()]
     if not blobs:
         return
     x = _collapsed(np.concatenate(blobs))
@@ -283,9 +303,9 @@ def _settle(batches: Iterator[pa.RecordBatch], length: int, parts: int) -> Itera
     for b in batches:
         for kind, r in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
             if kind == 2:
-                yield from _dealt(x := np.frombuffer(r, dtype=RANGE), _part(mix(x["doc"].astype(np.uint64)), parts), parts, 2, BLOBS)
+                yield from _dealt(x := unpacked(r, RANGE), _part(mix(x["doc"].astype(np.uint64)), parts), parts, 2, BLOBS)
             else:
-                (multiple if kind else single).append(np.frombuffer(r, dtype=several(length) if kind else SINGLE))
+                (multiple if kind else single).append(unpacked(r, several(length) if kind else SINGLE))
     if single:
         x = np.concatenate(single)
         yield from _by_document(_single_ranges(x, _later([x["around"]], x["doc"])), parts)
@@ -305,7 +325,7 @@ def _settle(batches: Iterator[pa.RecordBatch], length: int, parts: int) -> Itera
 
 
 def _per_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = [np.frombuffer(r, dtype=RANGE) for b in batches for r in b.column(2).to_pylist()]
+    held = [unpacked(r, RANGE) for b in batches for r in b.column(2).to_pylist()]
     if not held:
         return
     r = _merged(np.concatenate(held))
@@ -334,7 +354,7 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranked = docs.select(F.col(key), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("_rank"), F.col(text).alias("_text"))
 
-    counted = ranked.select("_text").mapInArrow(lambda it: _count(it, length, parts), BLOBS_DDL).repartition(parts, "part")
+    counted = ranked.select("_text").mapInArrow(lambda it: _count(it, length, parts), BLOBS_DDL).repartitionById(parts, F.col("part"))
     words = counted.mapInArrow(_shared, BLOBS_DDL).toArrow()  # words of two bitmaps of fixed size
     maps = np.zeros((2, 1 << (SIEVE_BITS - 6)), dtype=np.uint64)
     for kind, r in zip(words.column("kind").to_pylist(), words.column("records").to_pylist()):
@@ -342,8 +362,8 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", le
         maps[kind][record["word"]] |= record["bits"]
     shared = spark.sparkContext.broadcast(maps)
 
-    sent = ranked.select("_text", "_rank").mapInArrow(lambda it: _send(it, length, parts, shared.value[0], shared.value[1]), BLOBS_DDL).repartition(parts, "part")
-    settled = sent.mapInArrow(lambda it: _settle(it, length, parts), BLOBS_DDL).repartition(parts, "part")
+    sent = ranked.select("_text", "_rank").mapInArrow(lambda it: _send(it, length, parts, shared.value[0], shared.value[1]), BLOBS_DDL).repartitionById(parts, F.col("part"))
+    settled = sent.mapInArrow(lambda it: _settle(it, length, parts), BLOBS_DDL).repartitionById(parts, F.col("part"))
     from plumbline.llm.store import cut
 
     removed = cut(settled.mapInArrow(_per_document, "_doc long, ranges binary, spot long"))
