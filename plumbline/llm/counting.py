@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from plumbline.llm.bpe import END, BpeTable, table
-from plumbline.llm.textio import batch, strings
+from plumbline.llm.textio import batch, small_batches, strings
 
 #: The pre-token pattern of the vocabulary with word ends.
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -187,6 +187,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, key: str = "doc_
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType
     schema = pa.schema({key: to_arrow_type(kind), "n_bytes": pa.int64(), "n_tokens": pa.int64(), "over_limit": pa.bool_()})
     return docs.select(key, text).mapInArrow(partial(_count, path=path, limit=limit, schema=schema), f"`{key}` {kind.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")

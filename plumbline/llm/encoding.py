@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from plumbline.llm.bpe import BpeTable, table
-from plumbline.llm.textio import batch, strings
+from plumbline.llm.textio import batch, small_batches, strings
 
 #: The pre-token pattern of byte-level vocabularies.
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -152,6 +152,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import ArrayType, IntegerType, StructType
 
+    small_batches(docs.sparkSession)
     kept = docs.drop(ids)
     out = StructType([*kept.schema.fields]).add(ids, ArrayType(IntegerType(), False))
     schema = to_arrow_schema(out)
@@ -163,6 +164,7 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
 
     Null and empty texts have no tokens and the digests of nothing; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 

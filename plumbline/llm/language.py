@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.textio import batch, strings
+from plumbline.llm.textio import batch, small_batches, strings
 
 LETTER = regex.compile(r"\p{L}")
 #: Bounds of the fit: languages (the most frequent), sampled texts a language, bytes of a dictionary.
@@ -83,6 +83,7 @@ def languages(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: s
     learned = training.select(F.col(key).alias("_key"), F.col(text).alias("_text_in"), F.col(lang).alias("_lang_in")).where("_text_in IS NOT NULL AND _lang_in IS NOT NULL AND length(_text_in) > 0")
     dictionaries = fit(learned, "_text_in", "_lang_in", "_key")
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)  # at most MAX_LANGUAGES x DICTIONARY bytes
+    small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType
     schema = pa.schema({key: to_arrow_type(kind), "lang_pred": pa.string(), "score": pa.float64(), "narrow": pa.bool_()})
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.store import cut
-from plumbline.llm.textio import batch, buffers, inverse_powers, mix, pieces, powers, span_hashes, strings, word_spans
+from plumbline.llm.textio import batch, buffers, inverse_powers, lean, mix, pieces, powers, small_batches, span_hashes, word_spans
 
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
@@ -86,6 +86,7 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", unit: s
     texts have one. removed_spans: character offsets (start, end) into the original text. Columns
     of docs with the names of the added ones are replaced; the others stay as they are.
     """
+    small_batches(docs.sparkSession)
     added = ["n_units", "n_removed", "removed_spans"]
     kept = [c for c in docs.columns if c not in added]
     border = UNITS[unit]
@@ -95,7 +96,7 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", unit: s
     def digest(batches):
         return _units(batches, unit == "paragraph", least_words, schema)
 
-    units = cut(docs.select(rank.alias("rank"), text).mapInArrow(digest, "one long, two long, rank long, place long"))
+    units = cut(docs.select(rank.alias("rank"), text).mapInArrow(lean(digest), "one long, two long, rank long, place long"))
     first = units.groupBy("one", "two").agg(F.min(F.struct("rank", "place")).alias("first"), F.count("*").alias("n")).where("n > 1")
     repeated = units.join(first, ["one", "two"]).where("struct(rank, place) <> first")
     places = repeated.groupBy("rank").agg(F.collect_set("place").alias("__places")).withColumnRenamed("rank", "__rank")  # a document's own units
@@ -123,4 +124,4 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", unit: s
                 columns[text_at] = pa.array(texts, type=out[text_at].type)
                 yield batch(out, *columns, n_units, n_removed, spans)
 
-    return joined.mapInArrow(apply, out_type)
+    return joined.mapInArrow(lean(apply), out_type)

@@ -23,7 +23,7 @@ from plumbline.llm import sieve
 from plumbline.llm.blocks import compared, in_blocks, link_rows, resolved
 from plumbline.llm.components import components
 from plumbline.llm.store import cut
-from plumbline.llm.textio import buffers, mix, pieces, span_hashes, word_spans
+from plumbline.llm.textio import buffers, lean, mix, pieces, small_batches, span_hashes, word_spans
 
 #: Members and n-grams that one block may hold.
 BLOCK_ROWS, BLOCK_GRAMS = 2048, 2_000_000
@@ -168,13 +168,14 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     """
     bands, rows = bands_and_rows(threshold, recall)
     spark = docs.sparkSession
+    small_batches(spark)
     source = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     out = pa.schema({"doc_id": pa.int64(), "n": pa.int64(), "one": pa.int64(), "two": pa.int64(), "keys": pa.list_(pa.int64()), "spot": pa.int64()})
 
     def sign(batches):
         return _signatures(batches, words, bands, rows, out)
 
-    signed = source.mapInArrow(sign, "doc_id long, n long, one long, two long, keys array<long>, spot long")
+    signed = source.mapInArrow(lean(sign), "doc_id long, n long, one long, two long, keys array<long>, spot long")
     signed = cut(signed.groupBy("doc_id").agg(F.min(F.struct("n", "one", "two", "keys", "spot")).alias("s")).select("doc_id", "s.*"))
     classes = signed.where("n > 0").groupBy("n", "one", "two").agg(F.min("doc_id").alias("leader"), F.count("*").alias("copies"))
     leaders = cut(classes.join(signed.select(F.col("doc_id").alias("leader"), "keys", "spot"), "leader").withColumnRenamed("leader", "doc_id"))
@@ -194,7 +195,7 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     def ship(batches):
         return _sets(batches, words, wanted.value, sets_out)
 
-    sets = source.mapInArrow(ship, "doc_id long, one long, grams binary")
+    sets = source.mapInArrow(lean(ship), "doc_id long, one long, grams binary")
     whole = candidates.where("not large").select("doc_id", "one", "copies", "keys", F.lit(-1).alias("band"), F.col("component").alias("bucket"), F.lit(1).alias("blocks"))
     large = candidates.where("large")
     dealt_large = members.join(large.select("doc_id", "one", "n", "copies", "keys"), "doc_id")

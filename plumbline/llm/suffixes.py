@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import sieve
 from plumbline.llm.lines import LAST
-from plumbline.llm.textio import buffers, inverse_powers, mix, pieces, powers
+from plumbline.llm.textio import buffers, inverse_powers, lean, mix, pieces, powers, small_batches
 
 K = 24
 #: Bits of the hashes counted first, and of the bitmaps.
@@ -351,22 +351,23 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     if length < K + 1 or length > 250:
         raise ValueError(f"length must be from {K + 1} to 250")
     spark = docs.sparkSession
+    small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranked = docs.select(F.col(key), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("_rank"), F.col(text).alias("_text"))
 
-    counted = ranked.select("_text").mapInArrow(lambda it: _count(it, length, parts), BLOBS_DDL).repartitionById(parts, F.col("part"))
-    words = counted.mapInArrow(_shared, BLOBS_DDL).toArrow()  # words of two bitmaps of fixed size
+    counted = ranked.select("_text").mapInArrow(lean(lambda it: _count(it, length, parts)), BLOBS_DDL).repartitionById(parts, F.col("part"))
+    words = counted.mapInArrow(lean(_shared), BLOBS_DDL).toArrow()  # words of two bitmaps of fixed size
     maps = np.zeros((2, 1 << (SIEVE_BITS - 6)), dtype=np.uint64)
     for kind, r in zip(words.column("kind").to_pylist(), words.column("records").to_pylist()):
         record = np.frombuffer(r, dtype=[("word", "<u4"), ("bits", "<u8")])
         maps[kind][record["word"]] |= record["bits"]
     shared = spark.sparkContext.broadcast(maps)
 
-    sent = ranked.select("_text", "_rank").mapInArrow(lambda it: _send(it, length, parts, shared.value[0], shared.value[1]), BLOBS_DDL).repartitionById(parts, F.col("part"))
-    settled = sent.mapInArrow(lambda it: _settle(it, length, parts), BLOBS_DDL).repartitionById(parts, F.col("part"))
+    sent = ranked.select("_text", "_rank").mapInArrow(lean(lambda it: _send(it, length, parts, shared.value[0], shared.value[1])), BLOBS_DDL).repartitionById(parts, F.col("part"))
+    settled = sent.mapInArrow(lean(lambda it: _settle(it, length, parts)), BLOBS_DDL).repartitionById(parts, F.col("part"))
     from plumbline.llm.store import cut
 
-    removed = cut(settled.mapInArrow(_per_document, "_doc long, ranges binary, spot long"))
+    removed = cut(settled.mapInArrow(lean(_per_document), "_doc long, ranges binary, spot long"))
     touched = spark.sparkContext.broadcast(sieve.build(removed, F.col("spot"), 23))
     return _applied(ranked, removed.drop("spot"), key, touched)
 
@@ -405,7 +406,7 @@ def _applied(ranked: DataFrame, removed: DataFrame, key: str, touched) -> DataFr
                     names=[key, "_rank", "_bytes", "n_bytes", "kept_sha256"],
                 )
 
-    once = ranked.mapInArrow(first, f"`{key}` {kind.simpleString()}, _rank long, _bytes binary, n_bytes long, kept_sha256 string")
+    once = ranked.mapInArrow(lean(first), f"`{key}` {kind.simpleString()}, _rank long, _bytes binary, n_bytes long, kept_sha256 string")
     joined = once.join(removed, once["_rank"] == removed["_doc"], "left").drop("_rank", "_doc")
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
@@ -417,4 +418,4 @@ def _applied(ranked: DataFrame, removed: DataFrame, key: str, touched) -> DataFr
                 gone, spans, digests, lists = zip(*found)
                 yield pa.RecordBatch.from_arrays([b.column(0).cast(key_type), b.column(2), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string()), pa.array(lists, span_type)], names=[key, "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
 
-    return joined.mapInArrow(last, f"`{key}` {kind.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:int,end:int>>")
+    return joined.mapInArrow(lean(last), f"`{key}` {kind.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:int,end:int>>")

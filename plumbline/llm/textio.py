@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 #: The six ASCII white-space bytes that separate words: space and 0x09 to 0x0D.
 SPACE = np.zeros(256, dtype=bool)
@@ -100,3 +103,34 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+#: Rows of an Arrow batch: texts are long, and a batch is held whole on both sides.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets no more than BATCH_ROWS rows travel to Python at once in this session."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def lean(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function, in a worker that gives free memory back when the task ends.
+
+    Workers are kept between tasks and several share an executor's memory.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            libc = ctypes.CDLL("libc.so.6")
+        except OSError:  # another C library
+            libc = None
+        pa.set_memory_pool(pa.system_memory_pool())
+        yield from function(batches)
+        gc.collect()
+        if libc is not None:
+            libc.malloc_trim(0)
+
+    return run
