@@ -77,7 +77,7 @@ class Anchors:
         least[room[: len(least)] < length] = 0
         padded = np.concatenate([np.zeros(w - 1, np.uint64), least, np.zeros(len(h) - len(least), np.uint64)])
         at = np.flatnonzero((_extreme(padded, w, np.maximum) == h) & (room[: len(h)] >= K))
-        self.at, self.h = at, h[at]
+        self.at, self.h = at, mix(h[at])  # least hashes are small ones; parts and bitmaps need even ones
         self.row = np.searchsorted(offsets, at, side="right") - 1
         self.begin = offsets[self.row]
         self.left = np.minimum(at - self.begin, length - K)
