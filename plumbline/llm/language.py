@@ -18,15 +18,15 @@ from pyspark.sql import functions as F
 from plumbline.llm.textio import batch, small_batches, strings
 
 LETTER = regex.compile(r"\p{L}")
-#: Bounds of the fit: languages (the most frequent), sampled texts a language, bytes of a dictionary.
-MAX_LANGUAGES, MAX_TEXTS, DICTIONARY = 64, 200, 98_304
+#: Bounds of the fit: languages (the most frequent), sampled texts a language, characters of each, bytes of a dictionary.
+MAX_LANGUAGES, MAX_TEXTS, EXCERPT, DICTIONARY = 64, 200, 1000, 98_304
 #: Bytes of a block of text, and zstandard's level; the share of the second smallest size by which the smallest must be smaller.
 BLOCK, MARGIN, LEVEL = 4096, 0.02, 5
 UNDECIDED = "und"
 
 
 def fit(labelled: DataFrame, text: str, lang: str, key: str) -> dict[str, bytes]:
-    """Dictionaries by language, from at most MAX_TEXTS texts of each of at most MAX_LANGUAGES languages.
+    """Dictionaries by language, of DICTIONARY bytes at most, from at most MAX_TEXTS texts of each of at most MAX_LANGUAGES languages.
 
     The texts are those whose ids have the least digests, so every part of the corpus is as
     likely to be in the sample. Case is folded, here and in prediction. Only rows under a digest that about 1.5 times MAX_TEXTS rows of
@@ -36,11 +36,15 @@ def fit(labelled: DataFrame, text: str, lang: str, key: str) -> dict[str, bytes]
     share = counts.select(F.col(lang).alias("_lang"), F.least(F.lit(1.0), F.lit(1.5 * MAX_TEXTS) / F.col("count")).alias("_share"))
     drawn = labelled.withColumn("_u", (F.xxhash64(F.col(key).cast("string"), F.lit(3)).cast("double") / F.lit(float(1 << 63)) + 1) / 2)
     drawn = drawn.join(F.broadcast(share), F.col(lang) == F.col("_lang")).where("_u < _share")  # share: MAX_LANGUAGES rows at most
-    # Each text gives at most two shares of the dictionary, taken from its end and its beginning alike by the block they fill.
-    drawn = drawn.select("_lang", "_u", F.substring(F.col(text), 1, 4 * DICTIONARY // MAX_TEXTS).alias("_text"), F.row_number().over(Window.partitionBy("_lang").orderBy("_u", text)).alias("_n")).where(F.col("_n") <= MAX_TEXTS)
+    # Many short excerpts, from places that a digest chooses, cover a language better than a few whole texts.
+    place = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(5)), F.greatest(F.length(text) - EXCERPT + 1, F.lit(1))).cast("int") + 1
+    number = F.row_number().over(Window.partitionBy("_lang").orderBy("_u", text))
+    drawn = drawn.select("_lang", "_u", F.substring(F.col(text), place, F.lit(EXCERPT)).alias("_text"), number.alias("_n")).where(F.col("_n") <= MAX_TEXTS)
     found: dict[str, bytes] = {}
-    for row in drawn.orderBy("_lang", F.desc("_n")).select("_lang", "_text").collect():  # at most 64 x 200 short texts
-        found[row["_lang"]] = (found.get(row["_lang"], b"") + row["_text"].lower().encode() + b"\n")[-DICTIONARY:]
+    for row in drawn.orderBy("_lang", "_n").select("_lang", "_text").toLocalIterator():  # at most MAX_LANGUAGES x MAX_TEXTS rows
+        have = found.get(row["_lang"], b"")
+        if len(have) < DICTIONARY:
+            found[row["_lang"]] = (row["_text"].lower().encode() + b"\n" + have)[-DICTIONARY:]
     return found
 
 
