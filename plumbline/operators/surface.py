@@ -1,6 +1,6 @@
 """Surfaces as tables of triangles: depth sheets, cleaning, normals, rims, fans, level sets.
 
-A triangle is (tid, a, b, c) with vertex ids in winding order; a vertex is (vid, x, y, z).
+A triangle is (tid, a, b, c) with vertex ids in winding order, a vertex (vid, x, y, z); tid and vid are unique.
 """
 
 from __future__ import annotations
@@ -82,44 +82,45 @@ def boundary_loops(triangles: DataFrame) -> DataFrame:
     """(loop, place, vid): closed rims in winding order from their least vertex, which names the loop.
 
     A connected part of the rim is a loop if each of its vertices is entered once and left once; other parts give no rows.
-    Places come from pointer doubling: rounds grow with the logarithm of the longest loop, and no loop is gathered in one task.
+    Found by pointer doubling: every round a vertex learns the least vertex of twice as many successors and how far off it is, and
+    leaves when its way ends. Rounds grow with the logarithm of the longest loop; no loop is gathered in one task.
     """
     e = _written(rim_edges(triangles))
-    parts = connected_components(e, "u", "v")
-    ends = e.select(F.col("u").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(e.select(F.col("v").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))
-    degree = ends.groupBy("node").agg(F.sum("o").alias("o"), F.sum("i").alias("i")).join(parts, "node")
-    closed = degree.groupBy("component").agg(F.bool_and((F.col("o") == 1) & (F.col("i") == 1)).alias("ok"), F.count("*").alias("n")).where("ok").select("component", "n")
-    member = parts.join(closed, "component").select(F.col("node").alias("u"), F.col("component").alias("loop"), "n")
-    # steps counts the edges from a vertex to `to`; a vertex whose pointer came to the loop's first vertex keeps it
-    now = _written(e.join(member, "u").select("u", "loop", "n", F.col("v").alias("to"), F.lit(1).cast("long").alias("steps")))
-    while not now.where("to <> loop").isEmpty():
-        ahead = now.select(F.col("u").alias("to"), F.col("to").alias("next"), F.col("steps").alias("more"))
-        away = F.col("to") != F.col("loop")
-        now = _written(now.join(ahead, "to").select("u", "loop", "n", F.when(away, F.col("next")).otherwise(F.col("to")).alias("to"), (F.col("steps") + F.when(away, F.col("more")).otherwise(0)).alias("steps")))
-    return now.select("loop", ((F.col("n") - F.col("steps")) % F.col("n")).alias("place"), F.col("u").alias("vid"))
+    ends = e.select(F.col("u").alias("u"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(e.select(F.col("v").alias("u"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+    simple = ends.groupBy("u").agg(F.sum("o").alias("o"), F.sum("i").alias("i")).where("o = 1 AND i = 1").select("u")
+    now = _written(e.join(simple, "u").select("u", F.col("v").alias("to"), F.col("u").alias("loop"), F.lit(0).cast("long").alias("off"), F.lit(True).alias("moved")))
+    left, span = now.count(), 1
+    while left:
+        ahead = now.select(F.col("u").alias("to"), F.col("to").alias("next"), F.col("loop").alias("least"), F.col("off").alias("more"))
+        less = F.col("least") < F.col("loop")
+        now = _written(now.join(ahead, "to").select("u", F.col("next").alias("to"), F.least("loop", "least").alias("loop"), F.when(less, F.col("more") + span).otherwise(F.col("off")).alias("off"), less.alias("moved")))
+        was, span = left, span * 2
+        left, moved = now.agg(F.count("*"), F.count_if("moved")).first()
+        if left == was and not moved:
+            break
+    size = now.groupBy("loop").agg(F.count("*").alias("n"))
+    return now.join(size, "loop").select("loop", ((F.col("n") - F.col("off")) % F.col("n")).alias("place"), F.col("u").alias("vid"))
 
 
 def loop_metrics(loops: DataFrame, vertices: DataFrame) -> DataFrame:
     """(loop, n, perimeter, area, rms): edge lengths, length of the vector area, distance from the plane through the mean.
 
-    The vector area is half the sum of cross products of consecutive positions about the loop's mean, its direction the plane's normal.
+    The vector area is half the sum of cross products of consecutive positions about the loop's mean, its direction the plane's normal;
+    rms is null where it vanishes. Every vertex of a loop needs a position.
     """
-    from pyspark.sql import Window
-
     xyz = "xyz"
     p = loops.join(vertices.select("vid", *xyz), "vid")
-    w = Window.partitionBy("loop")
-    p = p.select("loop", "place", *[(F.col(c) - F.avg(c).over(w)).alias(c) for c in xyz])
-    step = w.orderBy("place")
-    first = {c: F.first(c).over(step.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) for c in xyz}
-    p = p.select("*", *[F.coalesce(F.lead(c).over(step), first[c]).alias(c + "2") for c in xyz])
+    whole = p.groupBy("loop").agg(F.count("*").alias("n"), *[F.avg(c).alias("m" + c) for c in xyz])
+    p = p.join(whole, "loop").select("loop", "place", "n", *[(F.col(c) - F.col("m" + c)).alias(c) for c in xyz])
+    after = p.select("loop", ((F.col("place") - 1 + F.col("n")) % F.col("n")).alias("place"), *[F.col(c).alias(c + "2") for c in xyz])
+    p = p.join(after, ["loop", "place"])
     here, there = [F.col(c) for c in xyz], [F.col(c + "2") for c in xyz]
+    pairs = [(a, b) for i, a in enumerate(xyz) for b in xyz[i:]]
     p = p.select("*", _length([a - b for a, b in zip(here, there)]).alias("l"), *[(v / 2).alias("a" + c) for v, c in zip(_cross(here, there), xyz)])
-    moments = [F.sum(F.col(a) * F.col(b)).alias(a + b) for i, a in enumerate(xyz) for b in xyz[i:]]
-    g = p.groupBy("loop").agg(F.count("*").alias("n"), F.sum("l").alias("perimeter"), *[F.sum("a" + c).alias("a" + c) for c in xyz], *[m.alias("_m" + a + b) for m, (a, b) in zip(moments, [(a, b) for i, a in enumerate(xyz) for b in xyz[i:]])])
-    area = _length([F.col("a" + c) for c in xyz])
-    off = sum(((1 if a == b else 2) * F.col("a" + a) * F.col("a" + b) * F.col("_m" + a + b) for i, a in enumerate(xyz) for b in xyz[i:]), F.lit(0.0))
-    return g.withColumn("area", area).select("loop", "n", "perimeter", "area", F.when(F.col("area") > 1e-12, F.sqrt(F.greatest(off, F.lit(0.0)) / F.col("n")) / F.col("area")).alias("rms"))
+    g = p.groupBy("loop").agg(F.count("*").alias("n"), F.sum("l").alias("perimeter"), *[F.sum("a" + c).alias("a" + c) for c in xyz], *[F.sum(F.col(a) * F.col(b)).alias(f"m{a}{b}") for a, b in pairs])
+    off = sum(((1 if a == b else 2) * F.col("a" + a) * F.col("a" + b) * F.col(f"m{a}{b}") for a, b in pairs), F.lit(0.0))
+    g = g.withColumn("area", _length([F.col("a" + c) for c in xyz]))
+    return g.select("loop", "n", "perimeter", "area", F.when(F.col("area") > 1e-12, F.sqrt(F.greatest(off, F.lit(0.0)) / F.col("n")) / F.col("area")).alias("rms"))
 
 
 def nonmanifold_vertices(triangles: DataFrame) -> DataFrame:
