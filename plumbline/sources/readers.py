@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import struct
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FRAMES = "index int, source_sequence long, timestamp_us long, depth_path string, color_path string, rgb_path string, rgb_timestamp_us long"
@@ -77,3 +77,57 @@ def ply_bytes(points: DataFrame, order: str) -> bytes:
     rows = points.orderBy(order).select("x", "y", "z", "r", "g", "b").collect()
     head = f"ply\nformat binary_little_endian 1.0\nelement vertex {len(rows)}\n" + "".join(f"property float {c}\n" for c in "xyz") + "".join(f"property uchar {c}\n" for c in ("red", "green", "blue")) + "end_header\n"
     return head.encode() + b"".join(struct.pack("<fff3B", *r) for r in rows)
+
+
+def indexed_frames(spark: SparkSession, path: str) -> DataFrame:
+    """(path, frames): lines of an index that are not blank, without its header."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.trim("value").alias("v")).where("v <> ''")
+    return lines.groupBy("path").agg(F.greatest(F.count("*") - 1, F.lit(0)).alias("frames"))
+
+
+def project_listing(spark: SparkSession, path: str) -> DataFrame:
+    """(path, id, name, created) of the project documents under a path, newest first, ties by path; those that cannot be read, or of another schema, are left out."""
+    p = spark.read.schema(PROJECT).option("multiLine", True).option("mode", "DROPMALFORMED").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)
+    p = p.select(F.col("_metadata.file_path").alias("path"), "schemaVersion", "id", "name", F.expr("try_to_timestamp(createdAt)").alias("created"))
+    return p.where("schemaVersion = 3 AND id IS NOT NULL").drop("schemaVersion").orderBy(F.desc_nulls_last("created"), "path")
+
+
+def live_workers(spark: SparkSession, path: str, seconds: int = 3) -> DataFrame:
+    """(path, status): heartbeat documents written within the last seconds."""
+    beat = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("status"), F.col("_metadata.file_modification_time").alias("at"))
+    return beat.where(F.col("at") >= F.current_timestamp() - F.make_dt_interval(secs=F.lit(float(seconds)))).select("path", "status")
+
+
+def safe_path(path: Column) -> Column:
+    """Relative, without a drive, a leading separator or a step up; null is not safe."""
+    return F.coalesce(~path.rlike(r"^$|^[/\\\\]|^[A-Za-z]:|(^|[/\\\\])\.\.([/\\\\]|$)"), F.lit(False))
+
+
+def camera_poses(frames: DataFrame, order: str) -> DataFrame:
+    """(order, json): one line a frame with its pose rounded to ten places and its lens to eight (K17). frames: order, name, pose (16 numbers), fx, fy, cx, cy."""
+    lens = [F.round(c, 8).alias(c) for c in ("fx", "fy", "cx", "cy")]
+    return frames.select(order, F.to_json(F.struct("name", F.transform("pose", lambda v: F.round(v, 10)).alias("cameraToWorld"), F.struct(*lens).alias("intrinsics"))).alias("json"))
+
+
+def preview(points: DataFrame, order: list[str], keep: int) -> DataFrame:
+    """(place, json) of at most `keep` evenly spaced points: x, y, z rounded half to even at five places, then colours (K3)."""
+    from plumbline.operators.relational import evenly_spaced
+
+    kept = evenly_spaced(points, order, keep)
+    row = F.array(*[F.bround(c, 5) for c in "xyz"], *[F.col(c).cast("double") for c in "rgb"])
+    return kept.select(*order, F.to_json(row).alias("json"))
+
+
+def obj_lines(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(part, key, line) of an OBJ document, to be written in this order; vertices are numbered from 1 in order of vid.
+
+    triangles (tid, a, b, c), vertices (vid, x, y, z). Vertices that no triangle uses are left out; triangles with unknown corners too.
+    """
+    from plumbline.operators.relational import _numbered
+
+    used = triangles.select(F.explode(F.array("a", "b", "c")).alias("vid")).distinct()
+    v = _numbered(vertices.join(used, "vid", "left_semi"), ["vid"]).select("vid", "x", "y", "z", (F.col("_i") + 1).alias("n"))
+    corner = triangles.select("tid", F.posexplode(F.array("a", "b", "c")).alias("k", "vid")).join(v.select("vid", "n"), "vid")
+    faces = corner.groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("k", "n"))).alias("c")).where("size(c) = 3")
+    lines = v.select(F.lit(0).alias("part"), F.col("n").alias("key"), F.format_string("v %.17g %.17g %.17g", *[F.col(c).cast("double") for c in "xyz"]).alias("line"))
+    return lines.unionByName(faces.select(F.lit(1).alias("part"), F.col("tid").alias("key"), F.concat_ws(" ", F.lit("f"), *[F.col("c")[i]["n"] for i in range(3)]).alias("line")))
