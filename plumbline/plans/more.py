@@ -52,7 +52,7 @@ def retrieval_prior_topk(spark, d):
     """Cosine plus a prior that falls with distance in the sequence, the best 20 for each asked frame."""
     n = near(spark, d, "vec_id % 25 = 0", "vec_id % 10 = 0", 16_384)
     s = F.round(1 - F.col("d2") / 2 + 0.35 * F.exp(-F.abs(F.col("vec_id") - F.col("ref")) / 1250.0), 8)
-    n = n.select("vec_id", "ref", F.row_number().over(Window.partitionBy("vec_id").orderBy(s.desc(), "ref")).alias("rank"))
+    n = n.select("vec_id", "ref", F.row_number().over(Window.partitionBy("vec_id").orderBy(s.desc(), "ref")).cast("long").alias("rank"))
     return n.where("rank <= 20")
 
 
