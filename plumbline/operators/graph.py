@@ -40,3 +40,46 @@ def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 100) ->
         if new.where("m <> was").isEmpty():
             return now.select(F.col("u").alias("node"), F.col("m").alias("component"))
     raise RuntimeError("components did not settle")
+
+
+def diffuse(values: DataFrame, edges: DataFrame, rounds: int = 16) -> DataFrame:
+    """(node, value): nodes without a value take the mean of their neighbours that have one, round by round.
+
+    values (node, value), one row a node; edges (u, v) in both directions. A round sees only the values of the rounds before. Values
+    that are given stay; nodes out of reach stay null. It ends early when a round fills nothing.
+    """
+    now = _written(values.select("node", F.col("value").cast("double").alias("value")))
+    links = _written(edges.select("u", "v").where("u <> v").distinct())
+    for _ in range(rounds):
+        gaps = now.where("value IS NULL").select(F.col("node").alias("u"))
+        near = links.join(gaps, "u").join(now.where("value IS NOT NULL").select(F.col("node").alias("v"), "value"), "v")
+        filled = _written(near.groupBy(F.col("u").alias("node")).agg(F.avg("value").alias("mean")))
+        if filled.isEmpty():
+            break
+        now = _written(now.join(filled, "node", "left").select("node", F.coalesce("value", "mean").alias("value")))
+    return now
+
+
+def gain_fit(overlaps: DataFrame, most: int = 4096) -> DataFrame:
+    """(frame, gain): gains with gain[i] - gain[j] nearest to `offset` over all rows (i, j, offset, weight), by weight.
+
+    Each group of frames that overlap has a mean gain of 0 (the solution of least norm). Rows with a null or i = j do not count. Spark adds
+    up the normal equations; they are solved dense on the driver, so there may be `most` frames, 128 MB; ValueError beyond.
+    """
+    import numpy as np
+
+    rows = overlaps.where("i <> j AND offset IS NOT NULL AND weight > 0")
+    swapped = rows.select(F.col("j").alias("i"), F.col("i").alias("j"), (-F.col("offset")).alias("offset"), "weight")
+    sums = _written(rows.select("i", "j", "offset", "weight").unionByName(swapped).groupBy("i", "j").agg(F.sum("weight").alias("w"), F.sum(F.col("weight") * F.col("offset")).alias("d")))
+    frames = [r[0] for r in sums.select("i").distinct().orderBy("i").limit(most + 1).collect()]
+    if len(frames) > most:
+        raise ValueError("too many frames for one fit")
+    at = {f: k for k, f in enumerate(frames)}
+    normal, right = np.zeros((len(at), len(at))), np.zeros(len(at))
+    for r in sums.toLocalIterator():
+        normal[at[r["i"]], at[r["i"]]] += r["w"]
+        normal[at[r["i"]], at[r["j"]]] -= r["w"]
+        right[at[r["i"]]] += r["d"]
+    gains = np.linalg.lstsq(normal, right, rcond=None)[0] if len(at) else []
+    kind = rows.schema["i"].dataType.simpleString()
+    return overlaps.sparkSession.createDataFrame([(f, float(g)) for f, g in zip(frames, gains)], f"frame {kind}, gain double")

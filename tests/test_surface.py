@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import poses, surface
+from plumbline.operators.graph import diffuse, gain_fit
 from plumbline.streaming.recovery import ANCHORS, RECENT, Take, compacted, scanned, track
 
 
@@ -129,3 +130,22 @@ def test_the_bank_of_anchors_is_bounded_and_scanned_in_turn():
     assert [[a[0] for a in scanned(take)] for _ in range(3)] == [[0, 1, 2, 3], [0, 4, 5, 6], [0, 7, 1, 2]]
     take.pending = [[], 1, 50, 5]
     assert [a[0] for a in scanned(take)] == [5, 0, 3, 4]  # the cursor stands at 2 of 1, 2, 3, 4, 6, 7
+
+
+def test_diffusion_and_gains(spark):
+    given = {0: 4.0, 5: 10.0}
+    v = spark.createDataFrame([(k, given.get(k)) for k in range(8)], "node long, value double")
+    path = [(a, a + 1) for a in range(6)]
+    e = spark.createDataFrame(path + [(b, a) for a, b in path], "u long, v long")
+    want = dict(given)
+    for _ in range(16):
+        near = {n: [want[m] for a, b in path for n2, m in ((a, b), (b, a)) if n2 == n and m in want] for n in range(8) if n not in want}
+        want |= {n: sum(x) / len(x) for n, x in near.items() if x}
+    assert {r["node"]: r["value"] for r in diffuse(v, e).collect()} == want | {7: None}
+    gains = [0.3, -0.1, 0.2, -0.4]
+    rows = [(i, j, gains[i] - gains[j], 1.0 + i) for i in range(4) for j in range(i)] + [(7, 8, 1.0, 2.0), (1, 1, 5.0, 1.0), (0, 1, None, 1.0)]
+    found = {r["frame"]: r["gain"] for r in gain_fit(spark.createDataFrame(rows, "i long, j long, offset double, weight double")).collect()}
+    assert found == pytest.approx(dict(enumerate(gains)) | {7: 0.5, 8: -0.5})
+    assert gain_fit(spark.createDataFrame(rows[:0], "i long, j long, offset double, weight double")).count() == 0
+    with pytest.raises(ValueError):
+        gain_fit(spark.createDataFrame(rows, "i long, j long, offset double, weight double"), most=3)
