@@ -18,54 +18,72 @@ from pyspark.sql import functions as F
 from plumbline.llm.textio import batch, small_batches, strings
 
 LETTER = regex.compile(r"\p{L}")
-#: Bounds of the fit: languages (the most frequent), sampled texts a language, characters of each, bytes of a dictionary.
-MAX_LANGUAGES, MAX_TEXTS, EXCERPT, DICTIONARY = 64, 200, 1000, 98_304
+#: Bounds of the fit: sampled texts a language, characters of each, bytes of a dictionary and of all (beyond, each is smaller).
+MAX_TEXTS, EXCERPT, DICTIONARY, ALL_DICTIONARIES = 200, 1000, 98_304, 1 << 27
+#: Languages whose compressors are held at once.
+GROUP = 64
 #: Bytes of a block of text, and zstandard's level; the share of the second smallest size by which the smallest must be smaller.
 BLOCK, MARGIN, LEVEL = 4096, 0.02, 5
 UNDECIDED = "und"
 
 
 def fit(labelled: DataFrame, text: str, lang: str, key: str) -> dict[str, bytes]:
-    """Dictionaries by language, of DICTIONARY bytes at most, from at most MAX_TEXTS texts of each of at most MAX_LANGUAGES languages.
+    """Dictionaries by language, of DICTIONARY bytes at most, from at most MAX_TEXTS texts of each. Every language has one.
 
     The texts are those whose ids have the least digests, so every part of the corpus is as
     likely to be in the sample. Case is folded, here and in prediction. Only rows under a digest that about 1.5 times MAX_TEXTS rows of
     their language have are shuffled.
     """
-    counts = labelled.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MAX_LANGUAGES)
-    share = counts.select(F.col(lang).alias("_lang"), F.least(F.lit(1.0), F.lit(1.5 * MAX_TEXTS) / F.col("count")).alias("_share"))
+    counts = labelled.groupBy(lang).count().collect()  # a row for each language
+    size = min(DICTIONARY, ALL_DICTIONARIES // max(len(counts), 1))
+    share = labelled.sparkSession.createDataFrame([(r[lang], min(1.0, 1.5 * MAX_TEXTS / r["count"])) for r in counts], "_lang string, _share double")
     drawn = labelled.withColumn("_u", (F.xxhash64(F.col(key).cast("string"), F.lit(3)).cast("double") / F.lit(float(1 << 63)) + 1) / 2)
-    drawn = drawn.join(F.broadcast(share), F.col(lang) == F.col("_lang")).where("_u < _share")  # share: MAX_LANGUAGES rows at most
+    drawn = drawn.join(F.broadcast(share), F.col(lang) == F.col("_lang")).where("_u < _share")
     # Many short excerpts, from places that a digest chooses, cover a language better than a few whole texts.
     place = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(5)), F.greatest(F.length(text) - EXCERPT + 1, F.lit(1))).cast("int") + 1
     number = F.row_number().over(Window.partitionBy("_lang").orderBy("_u", text))
     drawn = drawn.select("_lang", "_u", F.substring(F.col(text), place, F.lit(EXCERPT)).alias("_text"), number.alias("_n")).where(F.col("_n") <= MAX_TEXTS)
     found: dict[str, bytes] = {}
-    for row in drawn.orderBy("_lang", "_n").select("_lang", "_text").toLocalIterator():  # at most MAX_LANGUAGES x MAX_TEXTS rows
+    for row in drawn.orderBy("_lang", "_n").select("_lang", "_text").toLocalIterator():  # at most MAX_TEXTS rows a language
         have = found.get(row["_lang"], b"")
-        if len(have) < DICTIONARY:
-            found[row["_lang"]] = (row["_text"].lower().encode() + b"\n" + have)[-DICTIONARY:]
+        if len(have) < size:
+            found[row["_lang"]] = (row["_text"].lower().encode() + b"\n" + have)[-size:]
     return found
 
 
 class Compressors:
     def __init__(self, dictionaries: dict[str, bytes]):
-        self.langs = sorted(dictionaries)
-        self.each = []
-        for lang in self.langs:
-            raw = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        self.langs, self.dictionaries = sorted(dictionaries), dictionaries
+        self.groups = [self.langs[i : i + GROUP] for i in range(0, len(self.langs), GROUP)]
+        self.only = self.made(self.langs) if len(self.groups) == 1 else None
+
+    def made(self, langs: list[str]) -> list[zstandard.ZstdCompressor]:
+        each = []
+        for lang in langs:
+            raw = zstandard.ZstdCompressionDict(self.dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             raw.precompute_compress(level=LEVEL)
-            self.each.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_checksum=False, write_content_size=False, write_dict_id=False))
-
-    def sizes(self, text: bytes) -> list[int]:
-        blocks = [text[i : i + BLOCK] for i in range(0, len(text), BLOCK)]
-        return [sum([len(c.compress(b)) for b in blocks]) for c in self.each]
-
-    def predict(self, text: str | None) -> tuple[str, float, bool]:
+            each.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_checksum=False, write_content_size=False, write_dict_id=False))
+        return each
+
+    def sizes(self, texts: list[bytes]) -> list[list[int]]:
+        """For each text its compressed size by language, in passes over groups of languages."""
+        found: list[list[int]] = [[] for _ in texts]
+        for group in self.groups:
+            each = self.only or self.made(group)
+            for text, have in zip(texts, found):
+                blocks = [text[i : i + BLOCK] for i in range(0, len(text), BLOCK)]
+                have += [sum([len(c.compress(b)) for b in blocks]) for c in each]
+        return found
+
+    def predict(self, texts: list[str]) -> list[tuple[str, float, bool]]:
         """Language, score and whether the margin is narrow. score: from 0 (the second language fits as well) to 1."""
-        if not text or not self.langs or not LETTER.search(text):
-            return UNDECIDED, 0.0, True
-        sizes = self.sizes(text.lower().encode())
+        asked = [i for i, t in enumerate(texts) if t and self.langs and LETTER.search(t)]
+        found = [(UNDECIDED, 0.0, True)] * len(texts)
+        for i, sizes in zip(asked, self.sizes([texts[i].lower().encode() for i in asked])):
+            found[i] = self.chosen(sizes)
+        return found
+
+    def chosen(self, sizes: list[int]) -> tuple[str, float, bool]:
         order = sorted(range(len(sizes)), key=sizes.__getitem__)
         if len(order) == 1:
             return self.langs[0], 1.0, False
@@ -86,7 +104,7 @@ def languages(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: s
 
     learned = training.select(F.col(key).alias("_key"), F.col(text).alias("_text_in"), F.col(lang).alias("_lang_in")).where("_text_in IS NOT NULL AND _lang_in IS NOT NULL AND length(_text_in) > 0")
     dictionaries = fit(learned, "_text_in", "_lang_in", "_key")
-    shared = docs.sparkSession.sparkContext.broadcast(dictionaries)  # at most MAX_LANGUAGES x DICTIONARY bytes
+    shared = docs.sparkSession.sparkContext.broadcast(dictionaries)  # at most ALL_DICTIONARIES bytes
     small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType
     schema = pa.schema({key: to_arrow_type(kind), "lang_pred": pa.string(), "score": pa.float64(), "narrow": pa.bool_()})
@@ -96,7 +114,7 @@ def languages(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: s
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
-                found = [model.predict(t) for t in strings(part.column(1))]
+                found = model.predict(strings(part.column(1)))
                 yield batch(schema, part.column(0), *([f[k] for f in found] for k in range(3)))
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind.simpleString()}, lang_pred string, score double, narrow boolean")
