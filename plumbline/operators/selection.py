@@ -1,4 +1,4 @@
-"""Selections that depend on what was selected before, and bounded nearest neighbours."""
+"""Selections that depend on what was selected before, and nearest neighbours."""
 
 from __future__ import annotations
 
@@ -9,37 +9,55 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: References that a nearest-neighbour search broadcasts at most, and candidates of a greedy selection.
+#: References in a block of a nearest-neighbour search, and candidates of a greedy selection.
 MAX_REFERENCES, MAX_CANDIDATES = 16_384, 20_000
 
 
-def nearest_references(rows: DataFrame, references: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """(key, ref, rank, dist): the k nearest references of each row by Euclidean distance, ties by key, a row's own key left out.
+def _block(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    base = np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), -1 if rows else 0)
+    return np.array([r[0] for r in rows], dtype=np.int64), base, (base * base).sum(1)
 
-    J8, J9: a stated set of references against all rows, in blocks. The set is counted and
-    must not exceed MAX_REFERENCES, as in the semantics it comes from.
+
+def nearest_references(rows: DataFrame, references: DataFrame, key: str, vector: str, k: int | None) -> DataFrame:
+    """(key, ref, rank, dist): the k (None: all) nearest references of each row by Euclidean distance, ties by key, a row's own key left out.
+
+    J8, J9: a stated set of references against all rows, any number of them. They travel in blocks of
+    MAX_REFERENCES; a task holds one block at a time and merges the nearest of each.
     """
-    got = references.select(key, vector).orderBy(key).limit(MAX_REFERENCES + 1).toArrow()
-    if got.num_rows > MAX_REFERENCES:
-        raise ValueError("too many references: cap them evenly first")
-    ids = got.column(0).to_numpy()
-    base = np.array(got.column(1).to_pylist(), dtype=np.float64)
-    shared = rows.sparkSession.sparkContext.broadcast((ids, base, (base * base).sum(1)))
+    context = rows.sparkSession.sparkContext
+    shared, held = [], []
+    for r in references.select(key, vector).orderBy(key).toLocalIterator():
+        held.append(r)
+        if len(held) == MAX_REFERENCES:
+            shared.append(context.broadcast(_block(held)))
+            held = []
+    if held or not shared:
+        shared.append(context.broadcast(_block(held)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, base, square = shared.value
         for whole in batches:
-            for i in range(0, whole.num_rows, 512):
-                b = whole.slice(i, 512)
-                own = b.column(0).to_numpy()
-                x = np.array(b.column(1).to_pylist(), dtype=np.float64)
-                d = np.maximum((x * x).sum(1)[:, None] - 2 * x @ base.T + square, 0)
-                d[own[:, None] == ids[None, :]] = np.inf
-                m = min(k, len(ids))
-                order = np.lexsort((np.broadcast_to(ids, d.shape), np.round(d, 9)), axis=1)[:, :m]
-                dist = np.sqrt(np.take_along_axis(d, order, 1))
-                keep = np.isfinite(dist).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, m)[keep]), pa.array(ids[order].ravel()[keep]), pa.array(np.tile(np.arange(1, m + 1), len(own))[keep]), pa.array(dist.ravel()[keep])], names=[key, "ref", "rank", "dist"])
+            parts = [whole.slice(i, 512) for i in range(0, whole.num_rows, 512)]
+            owns = [b.column(0).to_numpy() for b in parts]
+            xs = [np.array(b.column(1).to_pylist(), dtype=np.float64) for b in parts]
+            best: list = [None] * len(parts)
+            for block in shared:
+                ids, base, square = block.value
+                for i, (own, x) in enumerate(zip(owns, xs) if len(ids) else ()):
+                    d = np.maximum((x * x).sum(1)[:, None] - 2 * x @ base.T + square, 0)
+                    d[own[:, None] == ids[None, :]] = np.inf
+                    refs = np.broadcast_to(ids, d.shape)
+                    if best[i] is not None:
+                        refs, d = np.hstack([best[i][0], refs]), np.hstack([best[i][1], d])
+                    order = np.lexsort((refs, np.round(d, 9)), axis=1)[:, :k]
+                    best[i] = np.take_along_axis(refs, order, 1), np.take_along_axis(d, order, 1)
+                if len(shared) > 1:
+                    del ids, base, square
+                    vars(block).pop("_value", None)  # read again for the next batch
+            for own, found in zip(owns, best):
+                if found is not None:
+                    ref, dist = found[0], np.sqrt(found[1])
+                    m, keep = ref.shape[1], np.isfinite(dist).ravel()
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, m)[keep]), pa.array(ref.ravel()[keep]), pa.array(np.tile(np.arange(1, m + 1), len(own))[keep]), pa.array(dist.ravel()[keep])], names=[key, "ref", "rank", "dist"])
 
     return rows.select(F.col(key).cast("long"), vector).mapInArrow(run, f"`{key}` long, ref long, rank long, dist double")
 

@@ -18,7 +18,8 @@ V = "SELECT vec_id, CAST(embedding AS DOUBLE[]) e FROM embeddings"
 NEAR = f"SELECT a.vec_id, b.vec_id AS ref, round({D2},9) d2, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({D2},9), b.vec_id) AS rank FROM ({V} WHERE {{rows}}) a JOIN ({V} WHERE {{refs}}) b ON a.vec_id<>b.vec_id"
 
 
-def near(spark, d, rows, refs, k):
+def near(spark, d, rows, refs, k=None):
+    """The k nearest references of each row; None: all."""
     e = table(spark, d, "embeddings")
     found = nearest_references(e.where(rows), e.where(refs), "vec_id", "embedding", k)
     return found.withColumn("d2", F.round(F.col("dist") * F.col("dist"), 9))
@@ -50,7 +51,7 @@ def outlier_filter_knn(spark, d):
 @query("retrieval_prior_topk", f"SELECT vec_id, ref, rank FROM (SELECT vec_id, ref, row_number() OVER (PARTITION BY vec_id ORDER BY round(1-d2/2+0.35*exp(-abs(vec_id-ref)/1250.0),8) DESC, ref) AS rank FROM ({NEAR.format(rows='vec_id%25=0', refs='vec_id%10=0')})) WHERE rank<=20")
 def retrieval_prior_topk(spark, d):
     """Cosine plus a prior that falls with distance in the sequence, the best 20 for each asked frame."""
-    n = near(spark, d, "vec_id % 25 = 0", "vec_id % 10 = 0", 16_384)
+    n = near(spark, d, "vec_id % 25 = 0", "vec_id % 10 = 0")
     s = F.round(1 - F.col("d2") / 2 + 0.35 * F.exp(-F.abs(F.col("vec_id") - F.col("ref")) / 1250.0), 8)
     n = n.select("vec_id", "ref", F.row_number().over(Window.partitionBy("vec_id").orderBy(s.desc(), "ref")).cast("long").alias("rank"))
     return n.where("rank <= 20")
