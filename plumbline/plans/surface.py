@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from plumbline.operators import poses, surface
+from plumbline.operators import relational as rel
 from plumbline.operators.graph import shared_folder
 from plumbline.plans.catalogue import query, r6, table
 from plumbline.plans.frames import G, events, grid, take
@@ -135,10 +136,10 @@ def _turned(angle, x, y, z):
 @query("pose_graph")
 def pose_graph(spark, d):
     """G1: fragments of takes chained by turns that drift, tied by closures of which some are wrong; a test holds it against planted poses."""
-    n = events(spark, d).select("user_id", F.row_number().over(take()).alias("k")).where("k <= 24")
-    i = F.col("k").cast("long")
-    drift = F.sin(F.col("user_id") + i) / 200
-    steps = n.select("user_id", i.alias("node"), _turned(F.lit(math.radians(15.0)) + drift, F.lit(0.4), drift, F.lit(0.0)).alias("step"))
+    frames = events(spark, d).select("user_id", "t", "event_id", F.row_number().over(take()).alias("frame"))
+    n = rel.fragments(frames, "user_id", ["t", "event_id"]).groupBy("user_id", F.col("fragment").alias("k")).agg((F.avg(F.sin(F.col("user_id") + F.col("frame"))) / 200).alias("drift"))
+    i, drift = F.col("k").cast("long"), F.col("drift")
+    steps = n.where("k > 0").select("user_id", i.alias("node"), _turned(F.lit(math.radians(15.0)) + drift, F.lit(0.4), drift, F.lit(0.0)).alias("step"))
     far = n.where("k > 8 AND k % 4 = 0")
     wrong = F.when((F.col("user_id") + i) % 5 == 0, 3.0).otherwise(0.0)
     ties = 8 * math.radians(15.0)  # eight steps of a regular polygon
