@@ -21,10 +21,20 @@ FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 UNITS = {"line": "\n", "paragraph": "\n\n"}
 LAST = (1 << 63) - 1
+#: Characters from which a unit counts as long, however few its words.
+LONG = 64
+
+
+def unspaced(data: np.ndarray) -> np.ndarray:
+    """Whether a character of a script without spaces between words begins at a byte: Thai, Lao, Burmese, Khmer, kana, ideographs."""
+    then = np.append(data[1:], 0)
+    found = (data >= 0xE3) & (data <= 0xE9) | (data == 0xE2) & (then >= 0xBA) | (data == 0xEF) & (then >= 0xA4) & (then <= 0xAB)
+    found |= (data == 0xE0) & (then >= 0xB8) & (then <= 0xBB) | (data == 0xE1) & ((then >= 0x80) & (then <= 0x82) | (then == 0x9E) | (then == 0x9F))
+    return found | (data == 0xF0) & (then >= 0xA0)
 
 
 def unit_digests(data: np.ndarray, offsets: np.ndarray, paragraphs: bool, least: int) -> tuple[np.ndarray, ...]:
-    """(row, place, digest, digest) of all units of `least` words or more; place counts the units of a text from 0."""
+    """(row, place, digest, digest) of all units of `least` words or unspaced characters, or LONG characters, or more; place counts the units of a text from 0."""
     data = FOLD[data]
     starts, ends, rows = word_spans(data, offsets)
     newline = np.zeros(len(data) + 1, dtype=np.int64)
@@ -52,6 +62,13 @@ def unit_digests(data: np.ndarray, offsets: np.ndarray, paragraphs: bool, least:
         np.cumsum(h * powers(len(h)), out=total[1:])
         found.append(mix((total[first + size] - total[first]) * inverse_powers(len(h) + 1)[first] + size.astype(np.uint64)))
     long = size >= least
+    short = np.flatnonzero(~long)
+    if len(short):
+        begin, end = starts[first][short], ends[first + size - 1][short]
+        counted = np.zeros(len(data) + 1, dtype=np.int32)
+        for most, mask in ((LONG, (data & 0xC0) != 0x80), *([(least, unspaced(data))] if data.max() >= 0xE0 else [])):
+            np.cumsum(mask, out=counted[1:])
+            long[short] |= counted[end] - counted[begin] >= most
     return rows[first][long], place[first][long], found[0][long], found[1][long]
 
 
@@ -79,8 +96,8 @@ def without(text: str, border: str, places: list[int]) -> tuple[str, list[tuple[
 def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", unit: str = "line", least_words: int = 5) -> DataFrame:
     """docs with the repeated units taken out of the text, and the columns n_units, n_removed and removed_spans.
 
-    A unit (a line, or a paragraph: text between blank lines) of `least_words` words or more goes
-    where an equal unit, after normalising, stands in a document with a smaller id or earlier in
+    A unit (a line, or a paragraph: text between blank lines) of `least_words` words or more, or as
+    many characters of scripts without spaces between words, or of LONG characters or more, goes where an equal unit, after normalising, stands in a document with a smaller id or earlier in
     the same one. Rows without an id rank last; rows that repeat an id count as one document, and
     a unit that is kept in one of them is kept in all. Null texts stay null, with no units; empty
     texts have one. removed_spans: character offsets (start, end) into the original text. Columns
