@@ -1,4 +1,4 @@
-"""Operator 9: substring dedup by hashing lines or paragraphs.
+"""Operator 9: substring dedup by hashing lines or paragraphs, and the sentences of lines.
 
 Units are normalised (ASCII case folded, white space collapsed) and hashed to 128 bits; digests are
 grouped over all documents, the earliest occurrence by (id, place) is kept and the others are
@@ -15,14 +15,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.store import cut
-from plumbline.llm.textio import batch, buffers, inverse_powers, lean, mix, pieces, powers, small_batches, span_hashes, word_spans
+from plumbline.llm.textio import SPACE, batch, buffers, inverse_powers, lean, mix, pieces, powers, small_batches, span_hashes, word_spans
 
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
-UNITS = {"line": "\n", "paragraph": "\n\n"}
+UNITS = {"line": b"\n", "paragraph": b"\n\n", "sentence": b"\n"}
 LAST = (1 << 63) - 1
 #: Characters from which a unit counts as long, however few its words.
 LONG = 64
+#: Bytes that end a sentence when white space follows.
+STOPS = np.zeros(256, dtype=bool)
+STOPS[list(b".!?")] = True
+#: A digest is hot if it is one in so many units (and has MIN_HOT of them): so many hot digests are there at most.
+HOT, MIN_HOT = 20_000, 1000
+BLANK = bytes(np.flatnonzero(SPACE).tolist())
 
 
 def unspaced(data: np.ndarray) -> np.ndarray:
@@ -33,92 +39,160 @@ def unspaced(data: np.ndarray) -> np.ndarray:
     return found | (data == 0xF0) & (then >= 0xA0)
 
 
-def unit_digests(data: np.ndarray, offsets: np.ndarray, paragraphs: bool, least: int) -> tuple[np.ndarray, ...]:
-    """(row, place, digest, digest) of all units of `least` words or unspaced characters, or LONG characters, or more; place counts the units of a text from 0."""
+def _borders(data: np.ndarray, offsets: np.ndarray, paragraphs: bool) -> np.ndarray:
+    """Where the borders between units begin: newlines, or pairs of newlines, taken from the left of each text."""
+    at = np.flatnonzero(data == 10)
+    if not paragraphs:
+        return at
+    ends, found, last = set(offsets[1:].tolist()), [], -2
+    for i in at[np.isin(at + 1, at)].tolist():
+        if i > last and i + 1 not in ends:
+            found.append(i)
+            last = i + 1
+    return np.array(found, dtype=np.int64)
+
+
+def unit_digests(data: np.ndarray, offsets: np.ndarray, unit: str, least: int) -> tuple[np.ndarray, ...]:
+    """(row, start, end, digest, digest) of all units of `least` words or unspaced characters, or LONG characters, or more; start and end count the bytes of the text."""
     data = FOLD[data]
     starts, ends, rows = word_spans(data, offsets)
-    newline = np.zeros(len(data) + 1, dtype=np.int64)
-    ending = data == 10
-    if paragraphs:  # a border is a pair of newlines, taken from the left
-        ending = np.zeros(len(data), dtype=bool)
-        last, doc_end = -2, set(offsets[1:].tolist())
-        for i in np.flatnonzero((data[:-1] == 10) & (data[1:] == 10)).tolist() if len(data) else []:
-            if i > last and i + 1 not in doc_end:
-                ending[i] = True
-                last = i + 1
-    np.cumsum(ending, out=newline[1:])
     if not len(starts):
         z = np.zeros(0, np.int64)
-        return z, z, z.astype(np.uint64), z.astype(np.uint64)
-    place = newline[starts] - newline[offsets[rows]]
+        return z, z, z, z.astype(np.uint64), z.astype(np.uint64)
+    border = _borders(data, offsets, unit == "paragraph")
+    line = np.searchsorted(border, starts)  # borders before a word
     new = np.ones(len(starts), dtype=bool)
-    new[1:] = (rows[1:] != rows[:-1]) | (place[1:] != place[:-1])
-    first = np.flatnonzero(new)
-    size = np.diff(np.append(first, len(starts)))
-    found = []
+    new[1:] = (rows[1:] != rows[:-1]) | (line[1:] != line[:-1])
+    # where the unit of each word begins and ends
+    fence = np.concatenate([[-len(UNITS[unit])], border, [len(data)]])
+    begin, end = np.maximum(fence[line] + len(UNITS[unit]), offsets[rows]), np.minimum(fence[line + 1], offsets[rows + 1])
+    kinds = [(np.flatnonzero(new), begin, end)]
+    if unit == "sentence":
+        cut_ = new.copy()
+        cut_[1:] |= STOPS[data[ends[:-1] - 1]]
+        first = np.flatnonzero(cut_)
+        own = np.cumsum(new)[first]
+        several = np.bincount(own)[own] > 1  # a line of one sentence is that sentence
+        stop = np.append(starts[first[1:]], len(data))
+        whole = np.append(new[first[1:]], True)
+        left, right = begin.copy(), end.copy()
+        left[first[~new[first]]] = starts[first[~new[first]]]
+        right[first[~whole]] = stop[~whole]
+        size = np.diff(np.append(first, len(starts)))
+        kinds.append((first[several], left, right, size[several]))
+    sums = []
     for seed in (1, 2):
         h = mix(span_hashes(data, starts, ends, seed))
         total = np.zeros(len(h) + 1, dtype=np.uint64)
         np.cumsum(h * powers(len(h)), out=total[1:])
-        found.append(mix((total[first + size] - total[first]) * inverse_powers(len(h) + 1)[first] + size.astype(np.uint64)))
-    long = size >= least
-    short = np.flatnonzero(~long)
-    if len(short):
-        begin, end = starts[first][short], ends[first + size - 1][short]
-        counted = np.zeros(len(data) + 1, dtype=np.int32)
-        for most, mask in ((LONG, (data & 0xC0) != 0x80), *([(least, unspaced(data))] if data.max() >= 0xE0 else [])):
-            np.cumsum(mask, out=counted[1:])
-            long[short] |= counted[end] - counted[begin] >= most
-    return rows[first][long], place[first][long], found[0][long], found[1][long]
-
-
-def _units(batches: Iterator[pa.RecordBatch], paragraphs: bool, least: int, out: pa.Schema) -> Iterator[pa.RecordBatch]:
+        sums.append(total)
+    masks = [(LONG, (data & 0xC0) != 0x80), *([(least, unspaced(data))] if data.max() >= 0xE0 else [])]
+    counted = [np.concatenate([[0], np.cumsum(m, dtype=np.int32)]) for _, m in masks]
+    out = []
+    for first, left, right, *rest in kinds:
+        size = rest[0] if rest else np.diff(np.append(first, len(starts)))
+        keep = size >= least
+        short = np.flatnonzero(~keep)
+        for (most, _), c in zip(masks, counted):
+            keep[short] |= c[ends[first + size - 1][short]] - c[starts[first][short]] >= most
+        first, size = first[keep], size[keep]
+        digests = [mix((t[first + size] - t[first]) * inverse_powers(len(starts) + 1)[first] + size.astype(np.uint64)) for t in sums]
+        base = offsets[rows[first]]
+        out.append((rows[first], left[first] - base, right[first] - base, *digests))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _units(batches: Iterator[pa.RecordBatch], unit: str, least: int, out: pa.Schema) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids = b.column(0).to_numpy()
-        data, offsets = buffers(b.column(1))
+        ids, marks = b.column(0).to_numpy(), b.column(1).to_numpy()
+        data, offsets = buffers(b.column(2))
         for i, j in pieces(offsets):
-            rows, place, one, two = unit_digests(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], paragraphs, least)
-            yield batch(out, one.view(np.int64), two.view(np.int64), ids[i + rows], place)
+            rows, start, end, one, two = unit_digests(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], unit, least)
+            yield batch(out, one.view(np.int64), two.view(np.int64), ids[i + rows], marks[i + rows], start.astype(np.int32), end.astype(np.int32))
 
 
-def without(text: str, border: str, places: list[int]) -> tuple[str, list[tuple[int, int]]]:
-    """The text without the units at these places, and the character offsets of the removed units."""
-    units, gone, kept, spans, at = text.split(border), set(places), [], [], 0
-    for i, unit in enumerate(units):
-        if i in gone:
-            spans.append((at, at + len(unit)))
+def without(text: str, border: bytes, gone: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
+    """The text without the units at these byte ranges, and the character offsets of what is removed.
+
+    A unit goes with one border; a line of which sentences go and no word is left goes whole.
+    """
+    raw = text.encode()
+    plain = len(raw) == len(text)
+    gone = sorted(gone)
+    whole, kept, spans, at, k = set(gone), [], [], 0, 0
+    for unit in raw.split(border):
+        end = at + len(unit)
+        inside = []
+        while k < len(gone) and gone[k][0] < end:
+            inside.append(gone[k])
+            k += 1
+        if inside and (at, end) not in whole:
+            left, place = [], at
+            for s, e in inside:
+                left.append(raw[place:s])
+                place = e
+            left = b"".join([*left, raw[place:end]])
+            if left.strip(BLANK):
+                kept.append(left)
+                spans += inside
+            else:
+                spans.append((at, end))
+        elif inside:
+            spans.append((at, end))
         else:
             kept.append(unit)
-        at += len(unit) + len(border)
-    return border.join(kept), spans
+        at = end + len(border)
+    if not plain:
+        places = [x for s in spans for x in s]
+        counted, have, last = [], 0, 0
+        for p in places:
+            have += len(raw[last:p].decode())
+            last = p
+            counted.append(have)
+        spans = list(zip(counted[::2], counted[1::2]))
+    return border.join(kept).decode(), spans
+
+
+def _repeated(units: DataFrame) -> DataFrame:
+    """units that stand behind the first of their digest. A hot digest is looked up by broadcast, so that no task gets all of its units."""
+    first = cut(units.groupBy("one", "two").agg(F.min(F.struct("rank", "mark", "start")).alias("first"), F.count("*").alias("n")).where("n > 1"))
+    many = max(MIN_HOT, units.count() // HOT)
+    hot, rest = first.where(F.col("n") > many), first.where(F.col("n") <= many)  # hot: at most HOT rows
+    later = "struct(rank, mark, start) <> first"
+    spread = units.join(F.broadcast(hot), ["one", "two"]).where(later)
+    cold = units.join(F.broadcast(hot.select("one", "two")), ["one", "two"], "left_anti")
+    return spread.unionByName(cold.join(rest, ["one", "two"]).where(later)).select("rank", "mark", "start", "end")
 
 
 def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", unit: str = "line", least_words: int = 5) -> DataFrame:
     """docs with the repeated units taken out of the text, and the columns n_units, n_removed and removed_spans.
 
-    A unit (a line, or a paragraph: text between blank lines) of `least_words` words or more, or as
-    many characters of scripts without spaces between words, or of LONG characters or more, goes where an equal unit, after normalising, stands in a document with a smaller id or earlier in
-    the same one. Rows without an id rank last; rows that repeat an id count as one document, and
-    a unit that is kept in one of them is kept in all. Null texts stay null, with no units; empty
-    texts have one. removed_spans: character offsets (start, end) into the original text. Columns
-    of docs with the names of the added ones are replaced; the others stay as they are.
+    unit: "line"; "paragraph" (text between blank lines); or "sentence": lines, and, where a line
+    stays, its sentences (a word that ends in . ! or ? ends one). A unit of `least_words` words
+    or more, or as many characters of scripts without spaces between words, or of LONG characters
+    or more, goes where an equal unit, after normalising, stands in a document with a smaller id
+    or earlier in the same one. A line of which no word is left goes whole. Every row is judged by
+    its own text: rows of one id are ordered by a digest of their texts, rows without an id rank
+    last, in the same order. Rows alike in id and text are one document and stay alike.
+    Null texts stay null, with no units; empty texts have one. n_units: lines or paragraphs;
+    n_removed: removed spans; removed_spans: their character offsets (start, end) in the original
+    text. Columns of docs with the names of the added ones are replaced; others stay as they are.
     """
     small_batches(docs.sparkSession)
     added = ["n_units", "n_removed", "removed_spans"]
     kept = [c for c in docs.columns if c not in added]
     border = UNITS[unit]
-    rank = F.coalesce(F.col(key).cast("long"), F.lit(LAST))
-    schema = pa.schema({"one": pa.int64(), "two": pa.int64(), "rank": pa.int64(), "place": pa.int64()})
+    identity = [F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("rank"), F.xxhash64(F.col(text)).alias("mark")]
+    schema = pa.schema({"one": pa.int64(), "two": pa.int64(), "rank": pa.int64(), "mark": pa.int64(), "start": pa.int32(), "end": pa.int32()})
 
     def digest(batches):
-        return _units(batches, unit == "paragraph", least_words, schema)
+        return _units(batches, unit, least_words, schema)
 
-    units = cut(docs.select(rank.alias("rank"), text).mapInArrow(lean(digest), "one long, two long, rank long, place long"))
-    first = units.groupBy("one", "two").agg(F.min(F.struct("rank", "place")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    repeated = units.join(first, ["one", "two"]).where("struct(rank, place) <> first")
-    places = repeated.groupBy("rank").agg(F.collect_set("place").alias("__places")).withColumnRenamed("rank", "__rank")  # a document's own units
+    units = cut(docs.select(*identity, F.col(text).alias("text")).mapInArrow(lean(digest), "one long, two long, rank long, mark long, start int, end int"))
+    places = _repeated(units).groupBy("rank", "mark").agg(F.collect_set(F.struct("start", "end")).alias("places"))  # a document's own units
 
-    joined = docs.select(*kept).withColumn("__of", rank).join(places, F.col("__of") == F.col("__rank"), "left").drop("__of", "__rank")
+    rows = docs.select(F.struct(*kept).alias("row"), *identity)
+    joined = rows.join(places, ["rank", "mark"], "left").select("row", "places")
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -130,15 +204,14 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", unit: s
         for whole in batches:
             for i in range(0, whole.num_rows, 512):
                 b = whole.slice(i, 512)
-                columns = [c.cast(f.type) for c, f in zip(b.columns[: len(kept)], out)]
-                texts, n_units, n_removed, spans = [], [], [], []
-                for t, places in zip(b.column(text_at).to_pylist(), b.column(len(kept)).to_pylist()):
-                    left, gone = (t, []) if t is None or not places else without(t, border, places)
+                columns = [c.cast(f.type) for c, f in zip(b.column(0).flatten(), out)]
+                texts, n_units, spans = [], [], []
+                for t, gone in zip(columns[text_at].to_pylist(), b.column(1).to_pylist()):
+                    left, removed = (t, []) if t is None or not gone else without(t, border, [(g["start"], g["end"]) for g in gone])
                     texts.append(left)
-                    n_units.append(0 if t is None else t.count(border) + 1)
-                    n_removed.append(len(gone))
-                    spans.append([{"start": s, "end": e} for s, e in gone])
+                    n_units.append(0 if t is None else t.count(border.decode()) + 1)
+                    spans.append([{"start": s, "end": e} for s, e in removed])
                 columns[text_at] = pa.array(texts, type=out[text_at].type)
-                yield batch(out, *columns, n_units, n_removed, spans)
+                yield batch(out, *columns, n_units, [len(s) for s in spans], spans)
 
     return joined.mapInArrow(lean(apply), out_type)

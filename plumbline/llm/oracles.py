@@ -50,10 +50,16 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def line_dedup() -> str:
+    blank = r"[\x20\x09-\x0D]"
     return rf"""
 WITH d AS (SELECT row_number() OVER () r, doc_id, text, string_split(text, chr(10)) ls FROM documents),
 l AS (SELECT r, doc_id, unnest(ls) line, unnest(range(len(ls))) i FROM d),
-w AS (SELECT *, regexp_extract_all(translate(line, '{UPPER}', '{LOWER}'), {WORD}) ws, sum(length(line) + 1) OVER (PARTITION BY r ORDER BY i) - length(line) - 1 s FROM l),
-m AS (SELECT *, len(ws) >= 5 AND row_number() OVER (PARTITION BY len(ws) >= 5, array_to_string(ws, ' ') ORDER BY doc_id, i) > 1 gone FROM w),
-a AS (SELECT r, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') kept, count(*) n, count(*) FILTER (gone) g, coalesce(string_agg(s::BIGINT || '-' || (s + length(line))::BIGINT, ',' ORDER BY i) FILTER (gone), '') spans FROM m GROUP BY 1)
+o AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY r ORDER BY i) - length(line) - 1 s, list_filter(string_split(regexp_replace(line, '([.!?])({blank}+)', '\1\2' || chr(1), 'g'), chr(1)), lambda p: p <> '') ps FROM l),
+p AS (SELECT *, unnest(ps) piece, unnest(range(len(ps))) k FROM o WHERE len(list_filter(ps, lambda p: regexp_matches(p, {WORD}))) > 1),
+u AS (SELECT r, doc_id, i, -1 k, line piece, s FROM o UNION ALL SELECT r, doc_id, i, k, piece, s + sum(length(piece)) OVER (PARTITION BY r, i ORDER BY k) - length(piece) FROM p),
+w AS (SELECT *, regexp_extract_all(translate(piece, '{UPPER}', '{LOWER}'), {WORD}) ws, regexp_replace(regexp_replace(piece, '^{blank}+', ''), '{blank}+$', '') t FROM u),
+m AS (SELECT *, (len(ws) >= 5 OR length(t) >= 64) AND row_number() OVER (PARTITION BY len(ws) >= 5 OR length(t) >= 64, array_to_string(ws, ' ') ORDER BY doc_id, s) > 1 gone FROM w),
+x AS (SELECT r, i, any_value(piece) FILTER (k < 0) line, any_value(s) FILTER (k < 0) s, bool_or(gone) FILTER (k < 0) whole, count(*) FILTER (k >= 0 AND gone) n, string_agg(piece, '' ORDER BY k) FILTER (k >= 0 AND NOT gone) stays, string_agg(s::BIGINT || '-' || (s + length(piece))::BIGINT, ',' ORDER BY k) FILTER (k >= 0 AND gone) parts FROM m GROUP BY 1, 2),
+y AS (SELECT *, whole OR (n > 0 AND NOT regexp_matches(coalesce(stays, ''), {WORD})) goes FROM x),
+a AS (SELECT r, coalesce(string_agg(CASE WHEN n > 0 THEN stays ELSE line END, chr(10) ORDER BY i) FILTER (NOT goes), '') kept, count(*) n, sum(CASE WHEN goes THEN 1 ELSE n END) g, coalesce(string_agg(CASE WHEN goes THEN s::BIGINT || '-' || (s + length(line))::BIGINT ELSE parts END, ',' ORDER BY i), '') spans FROM y GROUP BY 1)
 SELECT doc_id, CASE WHEN text IS NOT NULL THEN kept END AS text, CAST(coalesce(n, 0) AS BIGINT) n_units, CAST(coalesce(g, 0) AS BIGINT) n_removed, coalesce(spans, '') removed_spans FROM d LEFT JOIN a USING (r)"""

@@ -65,7 +65,7 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """text: what is left; removed_spans: `start-end` character offsets into the original text."""
-    found = lines.line_dedup(documents(spark, sf_dir).select("doc_id", "text"), unit="line", least_words=5)
+    found = lines.line_dedup(documents(spark, sf_dir).select("doc_id", "text"), unit="sentence", least_words=5)
     spans = F.array_join(F.transform("removed_spans", lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), ",")
     return found.select("doc_id", "text", "n_units", "n_removed", spans.alias("removed_spans"))
 
