@@ -36,12 +36,12 @@ COUNTED_BITS, SIEVE_BITS = 40, 27
 FLUSH = 1_000_000
 
 COUNTED = np.dtype([("h", "<u8"), ("around", "<u4"), ("flags", "u1")])
-SINGLE = np.dtype([("around", "<u8"), ("doc", "<i8"), ("at", "<i4"), ("left", "u1"), ("right", "u1")])
-RANGE = np.dtype([("doc", "<i8"), ("start", "<i4"), ("end", "<i4")])
+SINGLE = np.dtype([("around", "<u8"), ("doc", "<i8"), ("mark", "<i8"), ("at", "<i4"), ("left", "u1"), ("right", "u1")])
+RANGE = np.dtype([("doc", "<i8"), ("mark", "<i8"), ("start", "<i4"), ("end", "<i4")])
 
 
 def several(length: int) -> np.dtype:
-    return np.dtype([("key", "<u8"), ("doc", "<i8"), ("at", "<i4"), ("left", "u1"), ("right", "u1"), ("bytes", "u1", (2 * length - K,))])
+    return np.dtype([("key", "<u8"), ("doc", "<i8"), ("mark", "<i8"), ("at", "<i4"), ("left", "u1"), ("right", "u1"), ("bytes", "u1", (2 * length - K,))])
 
 
 def _extreme(x: np.ndarray, width: int, function) -> np.ndarray:
@@ -191,12 +191,20 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([kind], pa.int32()), pa.array([record.tobytes()], pa.binary())], schema=BLOBS)
 
 
-def _ranges(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(doc), dtype=RANGE)
-    out["doc"], out["start"], out["end"] = doc, start, end
+def _ranges(of: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Ranges of the rows of records `of`; a row is known by its id's rank and a digest of its text."""
+    out = np.zeros(len(of), dtype=RANGE)
+    out["doc"], out["mark"], out["start"], out["end"] = of["doc"], of["mark"], start, end
     return out
 
 
+def _changes(r: np.ndarray) -> np.ndarray:
+    """Where a new row begins among sorted records."""
+    new = np.ones(len(r), dtype=bool)
+    new[1:] = (r["doc"][1:] != r["doc"][:-1]) | (r["mark"][1:] != r["mark"][:-1])
+    return new
+
+
 def _later(group: list[np.ndarray], doc: np.ndarray) -> np.ndarray:
     """Which rows have an equal row (in all arrays of group) with a smaller doc."""
     order = np.lexsort((doc, *group))
@@ -214,27 +222,30 @@ def _later(group: list[np.ndarray], doc: np.ndarray) -> np.ndarray:
 
 def _single_ranges(x: np.ndarray, later: np.ndarray) -> np.ndarray:
     x = x[later]
-    return _ranges(x["doc"], x["at"] - x["left"], x["at"] + K + x["right"])
+    return _ranges(x, x["at"] - x["left"], x["at"] + K + x["right"])
+
+
+def _row_part(r: np.ndarray, parts: int) -> np.ndarray:
+    return _part(mix(r["doc"].astype(np.uint64) ^ mix(r["mark"].astype(np.uint64))), parts)
 
 
 def _by_document(ranges: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
     ranges = _merged(ranges)
-    yield from _dealt(ranges, _part(mix(ranges["doc"].astype(np.uint64)), parts), parts, 2, BLOBS)
+    yield from _dealt(ranges, _row_part(ranges, parts), parts, 2, BLOBS)
 
 
 def _merged(r: np.ndarray) -> np.ndarray:
-    """Overlapping and touching ranges of a document as one."""
+    """Overlapping and touching ranges of a row as one."""
     if not len(r):
         return r
-    r = r[np.lexsort((r["start"], r["doc"]))]
-    new_doc = np.ones(len(r), dtype=bool)
-    new_doc[1:] = r["doc"][1:] != r["doc"][:-1]
+    r = r[np.lexsort((r["start"], r["mark"], r["doc"]))]
+    new_doc = _changes(r)
     which = np.cumsum(new_doc).astype(np.int64) << np.int64(33)
     reach = np.maximum.accumulate(which + r["end"])
     new = np.ones(len(r), dtype=bool)
     new[1:] = which[1:] + r["start"][1:] > reach[:-1]
     first = np.flatnonzero(new)
-    return _ranges(r["doc"][first], r["start"][first], (reach[np.append(first[1:], len(r)) - 1] - which[first]))
+    return _ranges(r[first], r["start"][first], (reach[np.append(first[1:], len(r)) - 1] - which[first]))
 
 
 def _send(batches: Iterator[pa.RecordBatch], length: int, parts: int, shared: np.ndarray, differing: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -250,7 +261,7 @@ def _send(batches: Iterator[pa.RecordBatch], length: int, parts: int, shared: np
         yield from _dealt(m, _part(m["key"], parts), parts, 1, BLOBS)
 
     for b in batches:
-        ids = b.column(1).to_numpy()
+        ids, marks = b.column(1).to_numpy(), b.column(2).to_numpy()
         data, offsets = buffers(b.column(0))
         for i, j in pieces(offsets, 1 << 19):
             a = Anchors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length)
@@ -258,11 +269,11 @@ def _send(batches: Iterator[pa.RecordBatch], length: int, parts: int, shared: np
             many = sieve.passes(differing, a.h[passing])
             one = passing[~many]
             x = np.zeros(len(one), dtype=SINGLE)
-            x["around"], x["doc"], x["at"], x["left"], x["right"] = a.around[one], ids[i + a.row[one]], a.at[one] - offsets[a.row[one] + i] + offsets[i], a.left[one], a.right[one]
+            x["around"], x["doc"], x["mark"], x["at"], x["left"], x["right"] = a.around[one], ids[i + a.row[one]], marks[i + a.row[one]], a.at[one] - offsets[a.row[one] + i] + offsets[i], a.left[one], a.right[one]
             singles.append(x)
             which = passing[many]
             m = np.zeros(len(which), dtype=several(length))
-            m["key"], m["doc"], m["at"], m["left"], m["right"] = a.h[which], ids[i + a.row[which]], a.at[which] - offsets[a.row[which] + i] + offsets[i], a.left[which], a.right[which]
+            m["key"], m["doc"], m["mark"], m["at"], m["left"], m["right"] = a.h[which], ids[i + a.row[which]], marks[i + a.row[which]], a.at[which] - offsets[a.row[which] + i] + offsets[i], a.left[which], a.right[which]
             if len(which):
                 m["bytes"] = a.surroundings(which)
             multiples.append(m)
@@ -290,7 +301,7 @@ def _window_ranges(m: np.ndarray, length: int) -> np.ndarray:
         digest = mix(window[fits] * inverse_powers(o + 1)[o])
         later = fits[_later([digest, m["key"][fits]], m["doc"][fits])]
         start = m["at"][later].astype(np.int64) - side + o
-        found = np.concatenate([found, _ranges(m["doc"][later], start, start + length)])
+        found = np.concatenate([found, _ranges(m[later], start, start + length)])
         if len(found) > 2 * len(m):
             found = _merged(found)
         if o < side:  # the next window: one byte leaves, one enters
@@ -303,7 +314,8 @@ def _settle(batches: Iterator[pa.RecordBatch], length: int, parts: int) -> Itera
     for b in batches:
         for kind, r in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
             if kind == 2:
-                yield from _dealt(x := unpacked(r, RANGE), _part(mix(x["doc"].astype(np.uint64)), parts), parts, 2, BLOBS)
+                x = unpacked(r, RANGE)
+                yield from _dealt(x, _row_part(x, parts), parts, 2, BLOBS)
             else:
                 (multiple if kind else single).append(unpacked(r, several(length) if kind else SINGLE))
     if single:
@@ -329,11 +341,11 @@ def _per_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     if not held:
         return
     r = _merged(np.concatenate(held))
-    docs, first = np.unique(r["doc"], return_index=True)
-    cuts = np.append(first, len(r))
-    for i in range(0, len(docs), 5000):
-        part = docs[i : i + 5000]
-        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([np.stack([r["start"][s:e], r["end"][s:e]]).tobytes() for s, e in zip(cuts[i : i + len(part)], cuts[i + 1 : i + 1 + len(part)])], type=pa.binary()), pa.array(mix(part.astype(np.uint64)).view(np.int64))], names=["_doc", "ranges", "spot"])
+    cuts = np.append(np.flatnonzero(_changes(r)), len(r))
+    for i in range(0, len(cuts) - 1, 5000):
+        own = cuts[i : i + 5001]
+        first = r[own[:-1]]
+        yield pa.RecordBatch.from_arrays([pa.array(first["doc"].copy()), pa.array(first["mark"].copy()), pa.array([np.stack([r["start"][s:e], r["end"][s:e]]).tobytes() for s, e in zip(own[:-1], own[1:])], type=pa.binary()), pa.array(mix(first["mark"].astype(np.uint64)).view(np.int64))], names=["_doc", "_own", "ranges", "spot"])
 
 
 OUT = pa.schema({"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()})
@@ -345,15 +357,15 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     Removes each byte of the UTF-8 text that a string of `length` bytes covers which also starts in
     a document with a smaller id; strings are judged on the input, overlaps count, matches never
     cross documents. A null text is empty. Rows without an id rank last and do not match one
-    another; rows that repeat an id count as one document, what is removed from one of them is
-    removed from all. Other columns are not read. Strings are compared by 64-bit digests.
+    another, nor do rows that repeat an id; every row is judged by its own text. Other columns are
+    not read. Strings are compared by 64-bit digests.
     """
     if length < K + 1 or length > 250:
         raise ValueError(f"length must be from {K + 1} to 250")
     spark = docs.sparkSession
     small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranked = docs.select(F.col(key), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("_rank"), F.col(text).alias("_text"))
+    ranked = docs.select(F.col(key), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("_rank"), F.xxhash64(F.col(text)).alias("_mark"), F.col(text).alias("_text"))
 
     counted = ranked.select("_text").mapInArrow(lean(lambda it: _count(it, length, parts)), BLOBS_DDL).repartitionById(parts, F.col("part"))
     words = counted.mapInArrow(lean(_shared), BLOBS_DDL).toArrow()  # words of two bitmaps of fixed size
@@ -363,11 +375,11 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", le
         maps[kind][record["word"]] |= record["bits"]
     shared = spark.sparkContext.broadcast(maps)
 
-    sent = ranked.select("_text", "_rank").mapInArrow(lean(lambda it: _send(it, length, parts, shared.value[0], shared.value[1])), BLOBS_DDL).repartitionById(parts, F.col("part"))
+    sent = ranked.select("_text", "_rank", "_mark").mapInArrow(lean(lambda it: _send(it, length, parts, shared.value[0], shared.value[1])), BLOBS_DDL).repartitionById(parts, F.col("part"))
     settled = sent.mapInArrow(lean(lambda it: _settle(it, length, parts)), BLOBS_DDL).repartitionById(parts, F.col("part"))
     from plumbline.llm.store import cut
 
-    removed = cut(settled.mapInArrow(lean(_per_document), "_doc long, ranges binary, spot long"))
+    removed = cut(settled.mapInArrow(lean(_per_document), "_doc long, _own long, ranges binary, spot long"))
     touched = spark.sparkContext.broadcast(sieve.build(removed, F.col("spot"), 23))
     return _applied(ranked, removed.drop("spot"), key, touched)
 
@@ -398,16 +410,16 @@ def _applied(ranked: DataFrame, removed: DataFrame, key: str, touched) -> DataFr
         for whole in batches:
             for i in range(0, whole.num_rows, 1024):
                 b = whole.slice(i, 1024)
-                rank = b.column(1).to_numpy().astype(np.int64)
-                passes = sieve.passes(touched.value, mix(rank.view(np.uint64)))
-                texts = [b"" if t is None else t for t in b.column(2).cast(pa.binary()).to_pylist()]
+                marks = b.column(2).to_numpy().astype(np.int64)
+                passes = sieve.passes(touched.value, mix(marks.view(np.uint64)))
+                texts = [b"" if t is None else t for t in b.column(3).cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).cast(key_type), b.column(1), pa.array([t if p else None for t, p in zip(texts, passes)], type=pa.binary()), pa.array([len(t) for t in texts], type=pa.int64()), pa.array([None if p else hashlib.sha256(t).hexdigest() for t, p in zip(texts, passes)], type=pa.string())],
-                    names=[key, "_rank", "_bytes", "n_bytes", "kept_sha256"],
+                    [b.column(0).cast(key_type), b.column(1), b.column(2), pa.array([t if p else None for t, p in zip(texts, passes)], type=pa.binary()), pa.array([len(t) for t in texts], type=pa.int64()), pa.array([None if p else hashlib.sha256(t).hexdigest() for t, p in zip(texts, passes)], type=pa.string())],
+                    names=[key, "_rank", "_mark", "_bytes", "n_bytes", "kept_sha256"],
                 )
 
-    once = ranked.mapInArrow(lean(first), f"`{key}` {kind.simpleString()}, _rank long, _bytes binary, n_bytes long, kept_sha256 string")
-    joined = once.join(removed, once["_rank"] == removed["_doc"], "left").drop("_rank", "_doc")
+    once = ranked.mapInArrow(lean(first), f"`{key}` {kind.simpleString()}, _rank long, _mark long, _bytes binary, n_bytes long, kept_sha256 string")
+    joined = once.join(removed, (once["_rank"] == removed["_doc"]) & (once["_mark"] == removed["_own"]), "left").drop("_rank", "_mark", "_doc", "_own")
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
