@@ -50,7 +50,8 @@ class BpeTable:
             if self.rank[whole] < 0:
                 self.rank[whole], self.halves[whole] = rank, (ids[a], ids[b])
         self.size = size
-        self._apart: dict[int, bool] = {}
+        #: pairs tested before
+        self.known: dict[int, bool] = {}
         #: id of each token that byte-pair merging of its own text gives
         self.ids = {t: i for t, i in ids.items() if self._whole(i)}
 
@@ -83,11 +84,11 @@ class BpeTable:
     def apart(self, a: int, b: int) -> bool:
         """Whether token a directly before token b can stand in an encoding."""
         key = a << 20 | b
-        found = self._apart.get(key)
+        found = self.known.get(key)
         if found is None:
-            if len(self._apart) > 1_000_000:
-                self._apart.clear()
-            found = self._apart[key] = self._stay(a, b, float("inf"))
+            if len(self.known) > 1_000_000:
+                self.known.clear()
+            found = self.known[key] = self._stay(a, b, float("inf"))
         return found
 
 

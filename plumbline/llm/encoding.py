@@ -4,15 +4,18 @@ For every prefix of a pre-token the last token of its encoding is unique. An aut
 all tokens gives the tokens that end at each byte; the one whose neighbour in front (the last
 token of the shorter prefix) is compatible is stored. Back-pointers give the ids.
 
-Texts are cut where one space stands between two other characters: a pre-token always begins
-there, so parts are encoded by themselves, and parts seen before come from a bounded table.
+Texts are cut where a pre-token always begins; parts and pre-tokens seen before come from a
+bounded table.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
+from array import array
 from collections.abc import Iterator
 from functools import partial
+from typing import Any
 
 import ahocorasick
 import numpy as np
@@ -25,11 +28,13 @@ from plumbline.llm.textio import batch, small_batches, strings
 
 #: The pre-token pattern of byte-level vocabularies.
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: White space as the pattern understands it.
-BLANK = "\t\n\x0b\x0c\r \x85\xa0                　\x1c\x1d\x1e\x1f"
-BORDER = regex.compile(r"(?<=\S) (?=\S)")
-#: Parts kept with their ids in each of two generations; the older is dropped when the newer is full.
-KEPT_PARTS = 250_000
+#: White space as the pattern understands it, but for the space and the newline.
+BLANK = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\0]")
+BORDER = regex.compile(r"(?<=\S)(?= \S)")
+#: Parts and pre-tokens kept with their ids in each of two generations, the older dropped when the newer is full; characters of the longest.
+KEPT, KEPT_CHARACTERS = 500_000, 48
+#: Bytes from which a pre-token's table is kept in compact arrays.
+COMPACT = 4096
 
 
 class PrefixEncoder:
@@ -37,59 +42,88 @@ class PrefixEncoder:
 
     def __init__(self, vocabulary: BpeTable):
         self.vocabulary = vocabulary
-        self.apart = vocabulary.apart
         self.matches = ahocorasick.Automaton()
         for token, i in vocabulary.ids.items():
             self.matches.add_word(token, (i, len(token)))
         self.matches.make_automaton()
         self.special = regex.compile("|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True)))) if vocabulary.special else None
-        self.bytes_of = [b""] * vocabulary.size
+        bytes_of = [b""] * vocabulary.size
         for i, t in vocabulary.token.items():
-            self.bytes_of[i] = t.encode("latin-1")
+            bytes_of[i] = t.encode("latin-1")
         for t, i in vocabulary.special.items():
-            self.bytes_of[i] = t.encode()
+            bytes_of[i] = t.encode()
+        #: the bytes of all tokens in a row, and where each begins
+        self.flat = np.frombuffer(b"".join(bytes_of), dtype=np.uint8)
+        self.width = np.array([len(b) for b in bytes_of], dtype=np.int64)
+        self.begin = np.cumsum(self.width) - self.width
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def pre_token(self, piece: str) -> list[int]:
-        """Ids of one pre-token."""
+    def pre_token(self, piece: str) -> bytes:
+        """Ids of one pre-token, as little-endian unsigned 32-bit integers."""
         s = piece.encode().decode("latin-1")
-        n, apart = len(s), self.apart
-        last: list = [None] * (n + 1)
-        size = [0] * (n + 1)
+        n, known, apart = len(s), self.vocabulary.known, self.vocabulary.apart
+        if n < COMPACT:
+            last: Any = [-1] * (n + 1)
+            size: Any = [0] * (n + 1)
+        else:
+            last, size = array("i", [-1]) * (n + 1), array("H", [0]) * (n + 1)
+        done = 0  # the longest token that fits comes first; the shorter ones that end here too are passed over
         for end, (i, length) in self.matches.iter(s):
-            end += 1
-            if last[end] is None:
-                start = end - length
-                if not start or (last[start] is not None and apart(last[start], i)):
-                    last[end], size[end] = i, length
-        ids, at = [], n
+            if end < done:
+                continue
+            start = end + 1 - length
+            if start:
+                front = last[start]
+                if front < 0:
+                    continue
+                fits = known.get(front << 20 | i)
+                if not (apart(front, i) if fits is None else fits):
+                    continue
+            done = end + 1
+            last[done], size[done] = i, length
+        ids, at = array("I"), n
         while at:
             ids.append(last[at])
             at -= size[at]
         ids.reverse()
-        return ids
+        return ids.tobytes()
+
+    def _keep(self, part: str, ids: bytes) -> None:
+        if len(part) <= KEPT_CHARACTERS:
+            if len(self.new) >= KEPT:
+                self.old, self.new = self.new, {}
+            self.new[part] = ids
 
     def part(self, part: str) -> bytes:
-        """Ids, as little-endian unsigned 32-bit integers, of a part that begins and ends at borders."""
+        """Ids of a part that begins and ends at borders; of its pre-tokens, where it has several, those seen before come from the table too."""
         found = self.old.get(part)
         if found is None:
-            ids = [i for m in PRE_TOKEN.finditer(part) for i in self.pre_token(m[0])]
-            found = np.array(ids, dtype="<u4").tobytes()
-        if len(part) < 64:
-            if len(self.new) >= KEPT_PARTS:
-                self.old, self.new = self.new, {}
-            self.new[part] = found
+            pieces = PRE_TOKEN.findall(part) if len(part) <= KEPT_CHARACTERS else (m[0] for m in PRE_TOKEN.finditer(part))
+            found = []
+            for x in pieces:
+                ids = self.new.get(x) or self.old.get(x)
+                if ids is None:
+                    ids = self.pre_token(x)
+                    if x != part:
+                        self._keep(x, ids)
+                found.append(ids)
+            found = b"".join(found)
+        self._keep(part, found)
         return found
 
     def plain(self, text: str) -> bytes:
+        """Ids of a text without special tokens.
+
+        A pre-token begins where one space stands between other characters, and a newline between
+        others that are not white space is one: there the text is cut.
+        """
         if not text:
             return b""
-        parts = text.split(" ")
-        if len(parts) > 1:
-            if "" in parts or any(p[0] in BLANK or p[-1] in BLANK for p in parts):
-                parts = BORDER.split(text)
-            parts[1:] = [" " + p for p in parts[1:]]
+        if "  " in text or "\n" in text and ("\n\n" in text or " \n" in text or "\n " in text) or text[0] in " \n" or text[-1] in " \n" or BLANK.search(text):
+            parts = BORDER.split(text)
+        else:
+            parts = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
         get, part = self.new.get, self.part
         return b"".join([get(p) or part(p) for p in parts])
 
@@ -103,8 +137,17 @@ class PrefixEncoder:
             at = m.end()
         return b"".join([*out, self.plain(text[at:])])
 
-    def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())).decode("utf-8", "replace")
+    def decode(self, ids: bytes) -> bytes:
+        """The text of the ids in UTF-8; bytes that are none are replaced."""
+        tokens = np.frombuffer(ids, dtype="<u4")
+        out = []
+        for i in range(0, len(tokens), 1 << 20):
+            part = tokens[i : i + (1 << 20)]
+            width = self.width[part]
+            ends = np.cumsum(width)
+            out.append(self.flat[np.arange(ends[-1]) + np.repeat(self.begin[part] - ends + width, width)].tobytes())
+        raw = b"".join(out)
+        return raw if raw.isascii() else raw.decode("utf-8", "replace").encode()
 
 
 _ENCODERS: dict[str, PrefixEncoder] = {}
@@ -129,7 +172,7 @@ def _digests(b: pa.RecordBatch, coder: PrefixEncoder, schema: pa.Schema) -> pa.R
         ids = coder.encode(text)
         count.append(len(ids) // 4)
         ids_sum.append(hashlib.sha256(ids).hexdigest())
-        text_sum.append(hashlib.sha256(coder.decode(ids).encode()).hexdigest())
+        text_sum.append(hashlib.sha256(coder.decode(ids)).hexdigest())
     return batch(schema, b.column(0), count, ids_sum, text_sum)
 
 
