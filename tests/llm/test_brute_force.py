@@ -5,15 +5,17 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from plumbline.llm import components, queries, shingles, suffixes, vectors
+from plumbline.llm import components, lines, queries, scoring, shingles, suffixes, vectors
 from plumbline.llm.bpe import table
-from plumbline.llm.counting import TokenTransducer
+from plumbline.llm.counting import START, ChunkMap, TokenTransducer
 from plumbline.llm.encoding import PrefixEncoder
 
 DATA = "/root/testdata/sf0.001"
@@ -32,7 +34,7 @@ def texts(docs):
 
 def fuzz(n, alphabet="abcdefghij THE's 're n't \n\t  \r\x0b\x0c\x1c\x85\xa0 ​ éÉßΣσİ한글日本🙂ȩ́ 123४ !?.,<|endoftext|>-- 'll"):
     r = random.Random(5)
-    return ["".join(r.choice(alphabet) for _ in range(r.randint(0, 60))) for _ in range(n)] + ["<|endoftext|>", "a<|startoftext|>b c", "  x  ", "İΣΑΣ ΑΣ.", "a" * 3000, "ab \n" * 40_000]
+    return ["".join(r.choice(alphabet) for _ in range(r.randint(0, 60))) for _ in range(n)] + ["<|endoftext|>", "a<|startoftext|>b c", "  x  ", "İΣΑΣ ΑΣ.", "a" * 3000, "ab \n" * 40_000, "x\0y z", "a\nb\n\nc \n d", "\n", " \n", "dont'" * 2000, "日本語の本" * 3000]
 
 
 def test_counts_as_the_library(texts):
@@ -43,11 +45,31 @@ def test_counts_as_the_library(texts):
 
 
 def test_chunk_maps_compose():
-    mine = TokenTransducer(table(queries.vocabulary("word_bpe_49k.json")))
-    text = " ".join(fuzz(300)[:300])
-    for step in (1, 7, 64):
-        maps = mine.scan([mine.chunk(text[i : i + step]) for i in range(0, len(text), step)])
-        assert mine.total(maps[-1]) == mine.words(mine.chunk(" " + text + " ").head.split(" ")) + mine.chunk(" " + text + " ").count
+    path = queries.vocabulary("word_bpe_49k.json")
+    mine, theirs = TokenTransducer(table(path)), Tokenizer.from_file(path)
+    joined = "".join(fuzz(300)[:300])
+    for text in (joined, joined.replace(" ", ""), "".join(joined.split()).replace("|", ""), "'" * 300 + "s're", "日本" * 300, "a" * 700 + "1'll"):
+        for step in (1, 7, 64):
+            state, total = START, 0
+            for chunk, _ in mine.chunks(text, step):
+                state, gained = ChunkMap(mine, chunk)(state)
+                total += gained
+            assert total + mine._close(state) == len(theirs.encode(text, add_special_tokens=False).ids)
+
+
+def test_long_texts_without_white_space():
+    """Counts as the library, in memory that does not grow beyond some copies of the text."""
+    path = queries.vocabulary("word_bpe_49k.json")
+    mine, theirs = TokenTransducer(table(path)), Tokenizer.from_file(path)
+    r = random.Random(7)
+    for alphabet in ("abcdefghijklmnopqrstuvwxyz", "ABCDabcd0123+/=", "日本語の文章を書く。", "=-'", "aé\u0301ß"):
+        text = "".join(r.choices(alphabet, k=200_000))
+        assert mine.count(text) == len(theirs.encode(text, add_special_tokens=False).ids)
+    text = "abcd" * 500_000
+    tracemalloc.start()
+    mine.count(text)
+    assert tracemalloc.get_traced_memory()[1] < 60_000_000
+    tracemalloc.stop()
 
 
 def test_ids_as_the_library(texts):
@@ -57,7 +79,7 @@ def test_ids_as_the_library(texts):
     ids = [e.ids for e in theirs.encode_batch(every, add_special_tokens=False)]
     found = [mine.encode(t) for t in every]
     assert [np.frombuffer(f, "<u4").tolist() for f in found] == ids
-    assert [mine.decode(f) for f in found] == theirs.decode_batch(ids, skip_special_tokens=False)
+    assert [mine.decode(f).decode() for f in found] == theirs.decode_batch(ids, skip_special_tokens=False)
 
 
 def test_mix_targets(spark, texts):
@@ -130,6 +152,38 @@ def test_language_model(spark, texts):
     assert bits / size < 3.2
 
 
+def test_mixing_is_a_distribution_and_adapts():
+    """The probabilities of all texts of one byte and the empty one sum to 1 behind any beginning; slices change nothing; what repeats gets cheaper."""
+    rng = np.random.default_rng(4)
+    counts = rng.integers(0, 40, (scoring.ROWS, scoring.SYMBOLS)) * (rng.random((scoring.ROWS, scoring.SYMBOLS)) < 0.2)
+    mixer = scoring.Mixer(scoring.shares(counts, counts.sum(0)))
+    for begin in (b"", b"the cat sat on "):
+        state = mixer.fresh(257)
+        texts = [begin + bytes([c]) for c in range(256)] + [begin]
+        data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        seq, at = scoring.symbols(data, offsets)
+        # the probability of the symbol behind `begin`, without the end symbols that follow a byte
+        keep = np.ones(len(seq), dtype=bool)
+        keep[at[1:-1] - 1] = False
+        mixer.read(seq[keep], np.arange(258) * (len(begin) + 1), state)
+        front = 0.0
+        if begin:
+            alone = mixer.fresh(1)
+            mixer.read(np.frombuffer(begin, np.uint8).astype(np.int32), np.array([0, len(begin)]), alone)
+            front = alone[2][0]
+        assert np.exp2(state[2] - front).sum() == pytest.approx(1, abs=2e-3)
+    text = np.frombuffer(b"abc abd xyz " * 100, np.uint8)
+    costs = [-mixer.scores(text[:n], np.array([0, n]))[0] for n in (300, 600, 1200)]
+    assert costs[1] < 2 * costs[0] and costs[2] < 2 * costs[1]
+    long = np.frombuffer(bytes(rng.choice(list(b"abcdefgh ij"), 40_000).tolist()), np.uint8)
+    whole, piece = mixer.scores(long, np.array([0, len(long)]))[0], scoring.PIECE
+    try:
+        scoring.PIECE = 8192
+        assert mixer.scores(long, np.array([0, len(long)]))[0] == pytest.approx(whole, rel=1e-2)
+    finally:
+        scoring.PIECE = piece
+
+
 def test_jaccard_against_all_pairs(spark, docs, texts):
     sets = {}
     for i, r in texts.items():
@@ -172,19 +226,69 @@ def test_vectors_against_all_pairs(spark):
         assert (r["n_links"], r["component_id"]) == (near[r["vec_id"]].sum(), label[r["vec_id"]])
 
 
+FOLD = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
+
+
+def plain_lines(rows):
+    """(id, text) in order: the texts without repeated lines and sentences, and the number of removed spans."""
+    def long(x):
+        return len(WORD.findall(x)) >= 5 or len(x.strip(" \t\n\x0b\x0c\r")) >= 64
+
+    seen, want = set(), []
+    for i, text in rows:
+        kept, n, met = [], 0, set()
+        for line in (text or "").split("\n"):
+            parts = [p for p in re.sub(r"([.!?])([\x20\x09-\x0D]+)", "\\1\\2\0", line).split("\0") if p]
+            key = tuple(WORD.findall(line.translate(FOLD)))
+            gone = long(line) and key in seen
+            if long(line):
+                seen.add(key)
+            left, cut = [], 0
+            several = sum(bool(WORD.search(p)) for p in parts) > 1
+            for p in parts:
+                own = tuple(WORD.findall(p.translate(FOLD)))
+                if several and long(p) and own in seen:
+                    cut += 1
+                else:
+                    left.append(p)
+                if several and long(p):
+                    seen.add(own)
+            left = "".join(left)
+            if gone or (cut and not WORD.search(left)):
+                n += 1
+            else:
+                kept.append(left)
+                n += cut
+        want.append((i, None if text is None else "\n".join(kept), n))
+    return want
+
+
 def test_lines_against_plain(spark, texts):
-    seen = set()
-    fold = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
-    want = {}
-    for i in sorted(texts):
-        kept = []
-        for line in texts[i]["text"].split("\n"):
-            w = WORD.findall(line.translate(fold))
-            if len(w) < 5 or tuple(w) not in seen:
-                kept.append(line)
-            seen.add(tuple(w))
-        want[i] = "\n".join(kept)
-    assert {r["doc_id"]: r["text"] for r in queries.op9_line_dedup(spark, DATA).collect()} == want
+    want = plain_lines((i, texts[i]["text"]) for i in sorted(texts))
+    found = queries.op9_line_dedup(spark, DATA).collect()
+    assert sorted((r["doc_id"], r["text"], r["n_removed"]) for r in found) == want
+    for r in found:
+        spans = [tuple(map(int, s.split("-"))) for s in r["removed_spans"].split(",") if s]
+        assert len(spans) == r["n_removed"] and spans == sorted(spans)
+        taken = sum(e - s for s, e in spans)
+        assert len(texts[r["doc_id"]]["text"]) - taken - len(r["text"]) in range(len(spans) + 1)  # borders go with lines
+
+
+def test_rows_of_one_id_and_without_an_id(spark):
+    a, b, c = "one two three four five six seven eight nine ten. eleven", "a b c d e f g h i j k l m n o p q r s t u v w x y z a b c d e", "k k k k k k l l l l l l m m m m m m"
+    rows = [(1, a), (5, a), (5, b), (None, a), (None, b), (None, c), (None, c + "\n" + b), (7, b), (7, b), (None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__places", F.lit(1)).withColumn("rank", F.lit(1)).withColumn("mark", F.lit(2)).withColumn("row", F.lit(3)).repartition(3)
+    for unit in ("line", "paragraph", "sentence"):
+        found = lines.line_dedup(d, unit=unit)
+        assert found.columns == [*d.columns, "n_units", "n_removed", "removed_spans"]
+        left = sorted((r["doc_id"] or 99, r["text"] or "") for r in found.collect())
+        every = " ".join(t for _, t in left)
+        assert all(x in every for x in (a, b, c)) and left.count((5, b)) == 1 and left.count((5, "")) == 1  # b stands first in a row of 5
+        assert [t for i, t in left if i == 7] == ["", ""] and (1, a) in left
+    removed = {(r["doc_id"], r["n_bytes"]): r["n_removed"] for r in suffixes.substring_dedup(d).collect()}
+    assert removed[1, len(a)] == 0 and removed[5, len(a)] == len(a) and removed[5, len(b)] == 0  # not in a smaller id
+    assert removed[7, len(b)] == len(b) and removed[None, len(b)] == len(b) and removed[None, len(a)] == len(a) and removed[None, len(c)] == 0
+    assert removed[None, len(c) + 1 + len(b)] == len(b)
 
 
 def brute_suffixes(rows, length=50):
