@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder in spark.checkpoint.dir, set for checkpoints too. Where that is unset: on one machine a temporary one, on a cluster an error."""
     context = spark.sparkContext
     shared = spark.conf.get("spark.checkpoint.dir", "") or context.getConf().get("spark.checkpoint.dir", "")
     if context.getCheckpointDir() is None:
+        if not shared and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="plumbline-"))
     return shared or context.getCheckpointDir()
 

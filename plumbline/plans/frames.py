@@ -199,23 +199,31 @@ def robust_mad_offset(spark, d):
     return x.groupBy("user_id").agg(r6(F.median("value")).alias("offset_value"), F.count("*").alias("inliers"))
 
 
-@query("weighted_consensus", "WITH c AS (SELECT event_type, sum(value*w)/sum(w) m FROM (SELECT *, 1.0/(1+user_id%7) w FROM events) GROUP BY 1) SELECT user_id, round(median(greatest(-80,least(80,value-m))),6) residual FROM events JOIN c USING(event_type) GROUP BY 1")
+_ROUND = "c{k} AS (SELECT event_type, sum(value*w)/sum(w) m FROM w{k} GROUP BY 1), r{k} AS (SELECT user_id, median(greatest(-80,least(80,value-m))) r FROM events JOIN c{k} USING (event_type) GROUP BY 1), w{n} AS (SELECT e.user_id, e.event_type, e.value, 1.0/(1+e.user_id%7)/(1+abs(e.value-m-r)/20) w FROM events e JOIN c{k} USING (event_type) JOIN r{k} USING (user_id))"
+
+
+@query("weighted_consensus", "WITH w0 AS (SELECT user_id, event_type, value, 1.0/(1+user_id%7) w FROM events), " + ", ".join(_ROUND.format(k=k, n=k + 1) for k in range(3)) + " SELECT user_id, round(r,6) residual FROM r2")
 def weighted_consensus(spark, d):
-    """A weighted mean of each colour, and the median residual of each frame, clipped."""
-    x = table(spark, d, "events").withColumn("w", 1.0 / (1 + F.col("user_id") % 7))
-    c = x.groupBy("event_type").agg((F.sum(F.col("value") * F.col("w")) / F.sum("w")).alias("m"))
-    return x.join(c, "event_type").groupBy("user_id").agg(r6(F.median(geom.clip(F.col("value") - F.col("m"), -80.0, 80.0))).alias("residual"))
+    """Three rounds of a weighted mean of each colour and the median residual of each frame, clipped; a value weighs less, the further it is from both."""
+    x = table(spark, d, "events").select("user_id", "event_type", "value", (1.0 / (1 + F.col("user_id") % 7)).alias("w"))
+    x = x.withColumn("given", F.col("w"))
+    for _ in range(3):
+        c = x.groupBy("event_type").agg((F.sum(F.col("value") * F.col("w")) / F.sum("w")).alias("m"))
+        x = x.join(c, "event_type")
+        r = x.groupBy("user_id").agg(F.median(geom.clip(F.col("value") - F.col("m"), -80.0, 80.0)).alias("r"))
+        x = x.join(r, "user_id").select("user_id", "event_type", "value", "given", (F.col("given") / (1 + F.abs(F.col("value") - F.col("m") - F.col("r")) / 20)).alias("w"))
+    return r.select("user_id", r6("r").alias("residual"))
 
 
-@query("evidence_decision_tree", "WITH f AS (SELECT user_id, event_type, count(*) n, sum(CASE WHEN value<=20 THEN 1 ELSE 0 END) s, sum(CASE WHEN value>20 AND value<=60 THEN 1 ELSE 0 END) o, sum(CASE WHEN value>60 THEN 1 ELSE 0 END) v FROM events GROUP BY 1,2), k AS (SELECT user_id, sum(n) n, sum(s) s, sum(o) o, sum(v) v, sum(CASE WHEN s>=greatest(3,ceil(0.15*n)) THEN 1 ELSE 0 END) views FROM f GROUP BY 1) SELECT CASE WHEN v>0.35*n THEN 'preserve_opening' WHEN n>120 THEN 'preserve_too_large' WHEN s>=0.3*n AND views>=2 THEN 'fill_measured' WHEN o>=0.4*n THEN 'preserve_occluded' ELSE 'preserve_unknown' END decision, count(*) holes FROM k GROUP BY 1")
-def evidence_decision_tree(spark, d):
-    """Evidence by view, then by hole, then a decision in order, then a summary."""
+@query("evidence_summary", "WITH f AS (SELECT user_id, event_type, count(*) n, count(*) FILTER (value BETWEEN 10 AND 60) s, count(*) FILTER (value>60 AND value<=90) o, count(*) FILTER (value>90) v, count(*) FILTER (value<10) m FROM events GROUP BY 1,2), k AS (SELECT user_id, sum(n) n, sum(s) s, sum(o) o, sum(v) v, sum(m) m, count(*) FILTER (s>=greatest(3,ceil(0.15*n))) views, count(*) FILTER (s+o+v>0) useful FROM f GROUP BY 1) SELECT user_id, CAST(m AS BIGINT) missing, round(s/greatest(s+o+v,1),6) support, round(v/greatest(s+o+v,1),6) free, round(o/greatest(s+o+v,1),6) occluded, views, useful FROM k")
+def evidence_summary(spark, d):
+    """Five kinds of evidence (here four; none is outside) by view, then by hole: ratios over the metric ones, views that support enough samples, views of use."""
     v = F.col("value")
-    per_view = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.count_if(v <= 20).alias("s"), F.count_if((v > 20) & (v <= 60)).alias("o"), F.count_if(v > 60).alias("v"))
-    hole = per_view.groupBy("user_id").agg(*[F.sum(c).alias(c) for c in "nsov"], F.count_if(F.col("s") >= F.greatest(F.lit(3), F.ceil(0.15 * F.col("n")))).alias("views"))
-    n = F.col("n")
-    decision = F.when(F.col("v") > 0.35 * n, "preserve_opening").when(n > 120, "preserve_too_large").when((F.col("s") >= 0.3 * n) & (F.col("views") >= 2), "fill_measured").when(F.col("o") >= 0.4 * n, "preserve_occluded").otherwise("preserve_unknown")
-    return hole.groupBy(decision.alias("decision")).agg(F.count("*").alias("holes"))
+    kinds = {"s": v.between(10, 60), "o": (v > 60) & (v <= 90), "v": v > 90, "m": v < 10}
+    per = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), *[F.count_if(c).alias(k) for k, c in kinds.items()])
+    hole = per.groupBy("user_id").agg(*[F.sum(c).alias(c) for c in "sovm"], F.count_if(F.col("s") >= F.greatest(F.lit(3), F.ceil(0.15 * F.col("n")))).alias("views"), F.count_if(F.col("s") + F.col("o") + F.col("v") > 0).alias("useful"))
+    every = F.greatest(F.col("s") + F.col("o") + F.col("v"), F.lit(1))
+    return hole.select("user_id", F.col("m").alias("missing"), *[r6(F.col(c) / every).alias(n) for c, n in (("s", "support"), ("v", "free"), ("o", "occluded"))], "views", "useful")
 
 
 @query("quality_summary", "SELECT min_by(event_type,(q,event_type)) weakest, round(0.72*min(q)+0.28*avg(q),6) score, CASE WHEN 0.72*min(q)+0.28*avg(q)>=80 THEN 'good' WHEN 0.72*min(q)+0.28*avg(q)>=60 THEN 'fair' ELSE 'poor' END AS label FROM (SELECT event_type, round(100*(0.6*least(avg(value)/60,1)+0.4*least(count(*)/1000.0,1)),6) q FROM events GROUP BY 1)")
@@ -257,11 +265,16 @@ def integral_box_sum(spark, d):
     return g.select("x", "y", F.round(F.sum("c").over(Window.partitionBy("x").orderBy("y").rowsBetween(*up)), 2).alias("integral"))
 
 
-@query("laplacian_variance", f"WITH w AS (SELECT *, lag(v) OVER r+lead(v) OVER r-2*v l FROM ({G}) WINDOW r AS (PARTITION BY y ORDER BY x)) SELECT y, round(var_pop(l),2) sharpness FROM w GROUP BY 1 HAVING count(l)>0")
+@query("laplacian_variance", f"SELECT y//8 frame, round(var_pop(l.v+r.v+u.v+w.v-4*a.v),2) sharpness FROM ({G}) a JOIN ({G}) l ON l.x=a.x-1 AND l.y=a.y JOIN ({G}) r ON r.x=a.x+1 AND r.y=a.y JOIN ({G}) u ON u.x=a.x AND u.y=a.y-1 JOIN ({G}) w ON w.x=a.x AND w.y=a.y+1 GROUP BY 1".replace("y//8 frame", "a.y//8 frame"))
 def laplacian_variance(spark, d):
-    """Sharpness as the variance of second differences of a row."""
-    r = Window.partitionBy("y").orderBy("x")
-    return grid(spark, d).withColumn("l", F.lag("v").over(r) + F.lead("v").over(r) - 2 * F.col("v")).where("l IS NOT NULL").groupBy("y").agg(F.round(F.var_pop("l"), 2).alias("sharpness"))
+    """Sharpness of a frame (eight days) as the variance of the Laplacian of four neighbours."""
+    g = grid(spark, d)
+    for along, across in (("x", "y"), ("y", "x")):
+        w = Window.partitionBy(across).orderBy(along)
+        for name, f, step in (("before", F.lag, -1), ("after", F.lead, 1)):
+            g = g.withColumn(f"{along}_{name}", F.when(f(along).over(w) == F.col(along) + step, f("v").over(w)))
+    lap = F.col("x_before") + F.col("x_after") + F.col("y_before") + F.col("y_after") - 4 * F.col("v")
+    return g.withColumn("l", lap).where("l IS NOT NULL").groupBy(F.expr("y div 8").alias("frame")).agg(F.round(F.var_pop("l"), 2).alias("sharpness"))
 
 
 @query("ema_fold", f"WITH RECURSIVE r AS (SELECT user_id, value, row_number() OVER ({O}) i FROM ({E})), s AS (SELECT user_id, i, value m FROM r WHERE i=1 UNION ALL SELECT r.user_id, r.i, 0.995*s.m+0.005*r.value FROM s JOIN r ON r.user_id=s.user_id AND r.i=s.i+1) SELECT user_id, round(arg_max(m,i),6) ema FROM s GROUP BY 1")

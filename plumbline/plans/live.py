@@ -13,11 +13,11 @@ from plumbline.plans.frames import E, O, events, take
 from plumbline.streaming.live import latest_wins, tracker
 
 
-@query("neighbor_topk", "SELECT vec_id, ref, rank, round(dist,6) dist FROM (SELECT a.vec_id, b.vec_id AS ref, sqrt(list_sum(list_transform(list_zip(a.e,b.e), lambda p: (p[1]-p[2])*(p[1]-p[2])))) dist, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_sum(list_transform(list_zip(a.e,b.e), lambda p: (p[1]-p[2])*(p[1]-p[2]))),9), b.vec_id) AS rank FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) e FROM embeddings) a JOIN (SELECT vec_id, CAST(embedding AS DOUBLE[]) e FROM embeddings WHERE vec_id%10=0) b ON a.vec_id<>b.vec_id) WHERE rank<=4")
+@query("neighbor_topk", "SELECT vec_id, ref, rank, round(dist,6) dist FROM (SELECT a.vec_id, b.vec_id AS ref, sqrt(list_sum(list_transform(list_zip(a.e,b.e), lambda p: (p[1]-p[2])*(p[1]-p[2])))) dist, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_sum(list_transform(list_zip(a.e,b.e), lambda p: (p[1]-p[2])*(p[1]-p[2]))),9), b.vec_id) AS rank FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) e FROM embeddings) a JOIN (SELECT vec_id, CAST(embedding AS DOUBLE[]) e FROM embeddings) b ON a.vec_id<>b.vec_id) WHERE rank<=4")
 def neighbor_topk(spark, d):
-    """The four nearest references (every tenth vector) of each vector."""
+    """The four nearest of all other vectors of each vector."""
     e = table(spark, d, "embeddings")
-    found = nearest_references(e, e.where(F.pmod("vec_id", F.lit(10)) == 0), "vec_id", "embedding", 4)
+    found = nearest_references(e, e, "vec_id", "embedding", 4)
     return found.withColumn("dist", r6(F.col("dist")))
 
 

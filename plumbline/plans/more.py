@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import geom
 from plumbline.operators import raster
 from plumbline.operators import relational as rel
-from plumbline.operators.selection import nearest_references
+from plumbline.operators.graph import _written
+from plumbline.operators.selection import MAX_REFERENCES, nearest_references
 from plumbline.plans.catalogue import query, r6, table
 from plumbline.plans.frames import E, O, events, grid, take
 from plumbline.plans.points import KEYS, P, keyed, points
@@ -32,29 +34,33 @@ def ratio_match_unique(spark, d):
     return n.where(F.sqrt("d") < 0.97 * F.sqrt("s")).groupBy("ref").agg(F.min_by("vec_id", F.struct("d", "vec_id")).alias("vec_id"))
 
 
-@query("knn_spacing", f"WITH n AS (SELECT vec_id, sqrt(min(d2)) s FROM ({NEAR.format(rows='TRUE', refs='vec_id%10=0')}) WHERE d2>0 GROUP BY 1), q AS (SELECT quantile_cont(s,0.02) a, quantile_cont(s,0.98) b FROM n) SELECT vec_id, round(greatest(a,least(b,s)),5) spacing FROM n, q")
+@query("knn_spacing", f"WITH n AS (SELECT vec_id, sqrt(min(d2)) s FROM ({NEAR.format(rows='TRUE', refs='TRUE')}) WHERE d2>0 GROUP BY 1), q AS (SELECT quantile_cont(s,0.02) a, quantile_cont(s,0.98) b FROM n) SELECT vec_id, round(greatest(a,least(b,s)),5) spacing FROM n, q")
 def knn_spacing(spark, d):
-    """The distance to the nearest reference other than at 0, its ends cut at 2 and 98 percent."""
-    n = near(spark, d, "true", "vec_id % 10 = 0", 2).where("d2 > 0").groupBy("vec_id").agg(F.sqrt(F.min("d2")).alias("s"))
+    """The distance to the nearest of 16 384 evenly spaced references other than at 0, its ends cut at 2 and 98 percent. The SQL is for clouds of up to that many."""
+    e = table(spark, d, "embeddings")
+    n = nearest_references(e, rel.evenly_spaced(e, ["vec_id"], MAX_REFERENCES), "vec_id", "embedding", 2).withColumn("d2", F.round(F.col("dist") * F.col("dist"), 9))
+    n = _written(n.where("d2 > 0").groupBy("vec_id").agg(F.sqrt(F.min("d2")).alias("s")))
     q = n.agg(F.percentile("s", 0.02).alias("a"), F.percentile("s", 0.98).alias("b")).first()
     return n.select("vec_id", F.round(geom.clip(F.col("s"), q["a"], q["b"]), 5).alias("spacing"))
 
 
-@query("outlier_filter_knn", f"WITH m AS (SELECT vec_id, avg(sqrt(d2)) a FROM ({NEAR.format(rows='TRUE', refs='vec_id%10=0')}) WHERE rank<=24 GROUP BY 1), t AS (SELECT avg(a)+2.2*stddev_pop(a) t FROM m) SELECT vec_id FROM m, t WHERE a<=t")
+@query("outlier_filter_knn", f"WITH m AS (SELECT vec_id, avg(sqrt(d2)) a FROM ({NEAR.format(rows='TRUE', refs='TRUE')}) WHERE rank<=24 GROUP BY 1), t AS (SELECT avg(a)+2.2*stddev_pop(a) t FROM m) SELECT vec_id FROM m, t WHERE a<=t")
 def outlier_filter_knn(spark, d):
     """the mean distance to 24 neighbours, at most 2.2 deviations over its mean."""
-    m = near(spark, d, "true", "vec_id % 10 = 0", 24).groupBy("vec_id").agg(F.avg(F.sqrt("d2")).alias("a"))
+    m = _written(near(spark, d, "true", "true", 24).groupBy("vec_id").agg(F.avg(F.sqrt("d2")).alias("a")))
     t = m.agg((F.avg("a") + 2.2 * F.stddev_pop("a")).alias("t")).first()["t"]
     return m.where(F.col("a") <= t).select("vec_id")
 
 
-@query("retrieval_prior_topk", f"SELECT vec_id, ref, rank FROM (SELECT vec_id, ref, row_number() OVER (PARTITION BY vec_id ORDER BY round(1-d2/2+0.35*exp(-abs(vec_id-ref)/1250.0),8) DESC, ref) AS rank FROM ({NEAR.format(rows='vec_id%25=0', refs='vec_id%10=0')})) WHERE rank<=20")
+@query("retrieval_prior_topk", f"SELECT vec_id, ref, rank FROM (SELECT vec_id, ref, row_number() OVER (PARTITION BY vec_id ORDER BY round(1-d2/2+0.35*exp(-abs(vec_id-ref)/1250.0),8) DESC, ref) AS rank FROM ({NEAR.format(rows='vec_id%100=0', refs='TRUE')})) WHERE rank<=20")
 def retrieval_prior_topk(spark, d):
-    """Cosine plus a prior that falls with distance in the sequence, the best 20 for each asked frame."""
-    n = near(spark, d, "vec_id % 25 = 0", "vec_id % 10 = 0")
-    s = F.round(1 - F.col("d2") / 2 + 0.35 * F.exp(-F.abs(F.col("vec_id") - F.col("ref")) / 1250.0), 8)
-    n = n.select("vec_id", "ref", F.row_number().over(Window.partitionBy("vec_id").orderBy(s.desc(), "ref")).cast("long").alias("rank"))
-    return n.where("rank <= 20")
+    """Cosine plus a prior that falls with distance in the sequence, the best 20 of all for each asked frame (ids divisible by 100)."""
+    e = table(spark, d, "embeddings")
+
+    def score(d2, own, ref):
+        return -np.round(1 - np.round(d2, 9) / 2 + 0.35 * np.exp(-np.abs(own - ref) / 1250.0), 8)
+
+    return nearest_references(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding", 20, score).select("vec_id", "ref", "rank")
 
 
 @query("nearest_slot", f"SELECT slot, arg_min(event_id,(off_us,event_id)) event_id FROM (SELECT event_id, CAST(ceil(t/3600000000.0-0.5) AS BIGINT) slot, abs(t-CAST(ceil(t/3600000000.0-0.5) AS BIGINT)*3600000000) off_us FROM ({E})) GROUP BY 1")
@@ -93,22 +99,25 @@ def tsdf_integrate(spark, d):
     return p.groupBy("kx", "ky", "kz").agg(r6(F.sum(F.col("w") * F.col("s")) / F.sum("w")).alias("tsdf"), F.sum("w").cast("long").alias("weight")).where("weight >= 3")
 
 
-@query("ransac_plane_fixed", f"WITH p AS (SELECT *, row_number() OVER (ORDER BY vec_id)-1 i, count(*) OVER () n FROM ({P})), h AS (SELECT k, a.x ax, a.y ay, a.z az, b.x-a.x ux, b.y-a.y uy, b.z-a.z uz, c.x-a.x vx, c.y-a.y vy, c.z-a.z vz FROM range(16) r(k) JOIN p a ON a.i=(k*17)%a.n JOIN p b ON b.i=(k*43+1)%b.n JOIN p c ON c.i=(k*71+2)%c.n), m AS (SELECT k, ax,ay,az, uy*vz-uz*vy nx, uz*vx-ux*vz ny, ux*vy-uy*vx nz FROM h), q AS (SELECT *, sqrt(nx*nx+ny*ny+nz*nz) l FROM m WHERE nx*nx+ny*ny+nz*nz>1e-12) SELECT k, count(*) inliers FROM q, p WHERE abs((x-ax)*nx+(y-ay)*ny+(z-az)*nz)/l<=0.025 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1")
+@query("ransac_plane_fixed", f"WITH p AS (SELECT *, row_number() OVER (ORDER BY vec_id)-1 i, count(*) OVER () n FROM ({P})), h AS (SELECT k, a.x ax, a.y ay, a.z az, b.x-a.x ux, b.y-a.y uy, b.z-a.z uz, c.x-a.x vx, c.y-a.y vy, c.z-a.z vz FROM (SELECT unnest(range(CAST(least(160,2*count(*)) AS BIGINT))) k FROM p) r JOIN p a ON a.i=(k*17)%a.n JOIN p b ON b.i=(k*43+1)%b.n JOIN p c ON c.i=(k*71+2)%c.n), m AS (SELECT k, ax,ay,az, uy*vz-uz*vy nx, uz*vx-ux*vz ny, ux*vy-uy*vx nz FROM h), q AS (SELECT *, sqrt(nx*nx+ny*ny+nz*nz) l FROM m WHERE nx*nx+ny*ny+nz*nz>1e-12) SELECT k, count(*) inliers FROM q, p WHERE abs((x-ax)*nx+(y-ay)*ny+(z-az)*nz)/l<=0.025 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1")
 def ransac_plane_fixed(spark, d):
-    """Planes through triples at fixed strides; the one with most points within 25 mm, the first of equals."""
+    """Planes through min(160, 2 n) triples at fixed strides; the one with most points within 25 mm, the first of equals. One pass over the points counts for all planes."""
     p = points(spark, d).select("vec_id", "x", "y", "z")
     n = p.count()
-    places = {(k, c): (k * s + o) % n for k in range(16) for c, (s, o) in enumerate(((17, 0), (43, 1), (71, 2)))}
-    numbered = p.withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("vec_id")) - 1) if n <= 100_000 else rel._numbered(p, ["vec_id"]).withColumnRenamed("_i", "i")
-    at = {r["i"]: (r["x"], r["y"], r["z"]) for r in numbered.where(F.col("i").isin(sorted(set(places.values())))).collect()}  # 48 points at most
+    hypotheses = min(160, 2 * n)
+    places = {(k, c): (k * s + o) % n for k in range(hypotheses) for c, (s, o) in enumerate(((17, 0), (43, 1), (71, 2)))}
+    numbered = rel._numbered(p, ["vec_id"]).withColumnRenamed("_i", "i")
+    at = {r["i"]: (r["x"], r["y"], r["z"]) for r in numbered.where(F.col("i").isin(sorted(set(places.values())))).collect()}  # 480 points at most
     planes = []
-    for k in range(16):
+    for k in range(hypotheses):
         a, b, c = (at[places[k, j]] for j in range(3))
         u, v = [q - r for q, r in zip(b, a)], [q - r for q, r in zip(c, a)]
         m = (u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0])
         if sum(q * q for q in m) > 1e-12:
             planes.append((k, *a, *m))
     hit = [F.count_if(F.abs((F.col("x") - ax) * nx + (F.col("y") - ay) * ny + (F.col("z") - az) * nz) / F.sqrt(F.lit(nx * nx + ny * ny + nz * nz)) <= 0.025).alias(f"h{k}") for k, ax, ay, az, nx, ny, nz in planes]
+    if not hit:
+        return spark.createDataFrame([], "k long, inliers long")
     row = p.agg(*hit).first()
     best = max(planes, key=lambda q: (row[f"h{q[0]}"], -q[0]))[0]
     return spark.createDataFrame([(best, row[f"h{best}"])], "k long, inliers long")
@@ -117,7 +126,7 @@ def ransac_plane_fixed(spark, d):
 @query("quadtree_cells")
 def quadtree_cells(spark, d):
     """A28 on the raster of events; a test holds it against a recursive version."""
-    return raster.quadtree(grid(spark, d).select("x", F.pmod("y", F.lit(32)).alias("y"), "v").groupBy("x", "y").agg(F.max("v").alias("v")), 16, 2, 10_000.0)
+    return raster.quadtree(grid(spark, d), 16, 2, 10_000.0)
 
 
 @query("label_smoothing")

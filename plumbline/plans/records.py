@@ -96,21 +96,26 @@ def exact_dedup_fingerprint(spark, d):
     return table(spark, d, "documents").where("text IS NOT NULL").groupBy(F.substring(F.sha2("text", 256), 1, 24).alias("fp")).agg(F.min("doc_id").alias("keep"), F.count("*").alias("n"))
 
 
-@query("dataset_fingerprint", "SELECT lang, substr(sha256(string_agg(h, '' ORDER BY h)),1,20) fp FROM (SELECT DISTINCT lang, substr(sha256(text),1,8) h FROM documents) GROUP BY 1")
+@query("dataset_fingerprint", "SELECT lang, substr(sha256(string_agg(p, '' ORDER BY b)),1,20) fp FROM (SELECT lang, substr(h,1,3) b, sha256(string_agg(h, '' ORDER BY h)) p FROM (SELECT DISTINCT lang, sha256(text) h FROM documents WHERE text IS NOT NULL) GROUP BY 1,2) GROUP BY 1")
 def dataset_fingerprint(spark, d):
-    """A digest of the sorted digests."""
-    x = table(spark, d, "documents").select("lang", F.substring(F.sha2("text", 256), 1, 8).alias("h")).distinct()
-    return x.groupBy("lang").agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256), 1, 20).alias("fp"))
+    """A digest over the digests of 4096 parts, each over its sorted digests; a part holds one in 4096 of a language's texts."""
+    x = table(spark, d, "documents").where("text IS NOT NULL").select("lang", F.sha2("text", 256).alias("h")).distinct()
 
+    def over(c):
+        return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda v: v["h"]), ""), 256)
 
-TRIANGLES = "SELECT o_orderkey t, o_custkey%200 a, (o_custkey*7+1)%200 b, (o_orderkey*3+2)%200 c FROM orders WHERE o_orderkey%5=0"
+    parts = x.groupBy("lang", F.substring("h", 1, 3).alias("b")).agg(over(F.struct("h")).alias("h"))
+    return parts.groupBy("lang").agg(F.substring(over(F.struct("b", "h")), 1, 20).alias("fp"))
+
+
+TRIANGLES = "SELECT o_orderkey t, o_custkey%200 a, (o_custkey*7+1)%200 b, (o_orderkey*3+2)%200 c FROM orders"
 EDGES = f"SELECT t, least(u,v) lo, greatest(u,v) hi FROM (SELECT t,a u,b v FROM ({TRIANGLES}) UNION ALL SELECT t,b,c FROM ({TRIANGLES}) UNION ALL SELECT t,c,a FROM ({TRIANGLES})) WHERE u<>v"
 
 
 def edges(spark, d):
     """Edges of triangles made of order and customer keys; in the SQL they are made the same way."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
-    tri = table(spark, d, "orders").where(F.pmod("o_orderkey", F.lit(5)) == 0).select(k.alias("t"), (c % 200).alias("a"), ((c * 7 + 1) % 200).alias("b"), ((k * 3 + 2) % 200).alias("c"))
+    tri = table(spark, d, "orders").select(k.alias("t"), (c % 200).alias("a"), ((c * 7 + 1) % 200).alias("b"), ((k * 3 + 2) % 200).alias("c"))
     pairs = F.explode(F.array(*[F.struct(F.col(u).alias("u"), F.col(v).alias("v")) for u, v in ("ab", "bc", "ca")]))
     return tri.withColumn("p", pairs).select("t", F.least("p.u", "p.v").alias("lo"), F.greatest("p.u", "p.v").alias("hi")).where("lo <> hi")
 
@@ -128,18 +133,18 @@ def nonmanifold_edges(spark, d):
     return edges(spark, d).distinct().groupBy("lo", "hi").agg(F.count("*").alias("faces")).where("faces > 2")
 
 
-@query("connected_components", "WITH RECURSIVE e AS (SELECT DISTINCT c_custkey a, c_custkey-(1+c_custkey%3) b FROM customer WHERE c_custkey%11>2 AND c_custkey>4), n AS (SELECT a v FROM e UNION SELECT b FROM e), u AS (SELECT a,b FROM e UNION SELECT b,a FROM e), r AS (SELECT v, v m FROM n UNION SELECT u.b, r.m FROM r JOIN u ON u.a=r.v) SELECT v node, min(m) component FROM r GROUP BY 1")
+@query("connected_components", "WITH RECURSIVE e AS (SELECT c.c_custkey a, p.c_custkey b FROM customer c JOIN customer p ON p.c_custkey=c.c_custkey-13*(1+c.c_custkey%3)), n AS (SELECT a v FROM e UNION SELECT b FROM e), u AS (SELECT a,b FROM e UNION SELECT b,a FROM e), r AS (SELECT v, v m FROM n UNION SELECT u.b, r.m FROM r JOIN u ON u.a=r.v) SELECT v node, min(m) component FROM r GROUP BY 1")
 def components_of_customers(spark, d):
     """By rounds of least neighbours and jumps."""
-    c = F.col("c_custkey")
-    e = table(spark, d, "customer").where((c % 11 > 2) & (c > 4)).select(c.alias("a"), (c - (1 + c % 3)).alias("b"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("a"))
+    e = c.withColumn("b", F.col("a") - 13 * (1 + F.col("a") % 3)).join(c.withColumnRenamed("a", "b"), "b")
     return connected_components(e, "a", "b")
 
 
-@query("canonical_cycle", "WITH a AS (SELECT doc_id, string_split(substr(lang||'-'||source,1,6),'') l FROM documents) SELECT doc_id, list_min(list_transform(range(len(l)), lambda i: array_to_string(l[i+1:] || l[:i],''))) form FROM a")
+@query("canonical_cycle", "WITH a AS (SELECT doc_id, string_split(lang||'-'||source,'') l FROM documents) SELECT doc_id, list_min(list_transform(range(len(l)), lambda i: array_to_string(l[i+1:] || l[:i],''))) form FROM a")
 def canonical_cycle(spark, d):
     """The least rotation of a cyclic list of tokens."""
-    s = F.substring(F.concat("lang", F.lit("-"), "source"), 1, 6)
+    s = F.concat("lang", F.lit("-"), "source")
     x = table(spark, d, "documents").select("doc_id", s.alias("s"))
     rotate = F.expr("array_min(transform(sequence(0, length(s) - 1), i -> concat(substring(s, i + 1), substring(s, 1, i))))")
     return x.select("doc_id", rotate.alias("form"))

@@ -98,13 +98,13 @@ def offset_support(spark, d):
     return seen.select("x", "y").distinct()
 
 
-@query("tracked_prefix", f"WITH r AS (SELECT user_id, value, row_number() OVER ({O}) i, count(*) OVER (PARTITION BY user_id) n FROM ({E})), c AS (SELECT user_id, max(n) n, coalesce(min(CASE WHEN value>200 THEN i END)-1,max(n)) tracked FROM r GROUP BY 1) SELECT user_id, tracked, tracked>=greatest(3,ceil(0.25*n)) recoverable FROM c")
+@query("tracked_prefix", f"WITH r AS (SELECT user_id, value, row_number() OVER ({O}) i, count(*) OVER (PARTITION BY user_id) n FROM ({E})), c AS (SELECT user_id, max(n) n, coalesce(min(CASE WHEN value>200 THEN i END)-1,max(n)) tracked FROM r GROUP BY 1) SELECT user_id, tracked, tracked>=greatest(30,ceil(0.25*n)) recoverable FROM c")
 def tracked_prefix(spark, d):
-    """The frames before the first that fails, and whether they suffice (here 3, or a quarter)."""
+    """The frames before the first that fails, and whether they suffice (30, or a quarter)."""
     r = events(spark, d).select("user_id", "value", F.row_number().over(take()).cast("long").alias("i"))
     c = r.groupBy("user_id").agg(F.count("*").alias("n"), F.min(F.when(F.col("value") > 200, F.col("i"))).alias("bad"))
     tracked = F.coalesce(F.col("bad") - 1, F.col("n"))
-    return c.select("user_id", tracked.alias("tracked"), (tracked >= F.greatest(F.lit(3), F.ceil(0.25 * F.col("n")))).alias("recoverable"))
+    return c.select("user_id", tracked.alias("tracked"), (tracked >= F.greatest(F.lit(30), F.ceil(0.25 * F.col("n")))).alias("recoverable"))
 
 
 @query("anchor_frame", f"SELECT user_id, min_by(event_id, (abs(value-m), event_id)) event_id FROM (SELECT *, median(value) OVER (PARTITION BY user_id) m FROM ({E})) GROUP BY 1")

@@ -94,7 +94,7 @@ def project_listing(spark: SparkSession, path: str) -> DataFrame:
 
 def live_workers(spark: SparkSession, path: str, seconds: int = 3) -> DataFrame:
     """(path, status): heartbeat documents written within the last seconds."""
-    beat = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("status"), F.col("_metadata.file_modification_time").alias("at"))
+    beat = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("status"), F.col("_metadata.file_modification_time").alias("at"))
     return beat.where(F.col("at") >= F.current_timestamp() - F.make_dt_interval(secs=F.lit(float(seconds)))).select("path", "status")
 
 

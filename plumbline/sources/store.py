@@ -6,7 +6,6 @@ import hashlib
 import json
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -17,8 +16,7 @@ def fingerprint(*parts: object) -> str:
 def materialized(spark: SparkSession, root: str, parts: tuple, make: Callable[[], DataFrame]) -> DataFrame:
     """The table kept under this fingerprint, or the one that `make` gives, kept for the next time. Any path that Spark writes."""
     path = f"{root}/{fingerprint(*parts)}"
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):  # a write that did not end is none
         make().write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+    return spark.read.parquet(path)

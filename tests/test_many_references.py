@@ -15,3 +15,19 @@ def test_more_references_than_a_block(spark, monkeypatch):
         found = {(r["i"], r["rank"]): r["ref"] for r in selection.nearest_references(d, d, "i", "v", k).collect()}
         assert found == {(i, n + 1): j for i in range(100) for n, j in enumerate(sorted(set(range(100)) - {i}, key=lambda j: (far[i, j], j))[:k])}
     assert selection.nearest_references(d, d.where("false"), "i", "v", 2).collect() == []
+
+
+def test_more_candidates_than_the_driver_takes(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 3))
+    x[200:] = x[100:200]  # ties
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, v array<double>").repartition(5)
+    whole = sorted(map(tuple, selection.farthest_points(d, "i", "v", 40).collect()))
+    monkeypatch.setattr(selection, "MAX_CANDIDATES", 30)
+    assert sorted(map(tuple, selection.farthest_points(d, "i", "v", 40).collect())) == whole
+
+
+def test_another_order(spark):
+    d = spark.createDataFrame([(i, [float(i)]) for i in range(300)], "i long, v array<double>")
+    found = selection.nearest_references(d, d, "i", "v", 3, lambda d2, own, ref: -d2)
+    assert {(r["i"], r["rank"]): r["ref"] for r in found.where("i = 10").collect()} == {(10, 1): 299, (10, 2): 298, (10, 3): 297}
