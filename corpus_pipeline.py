@@ -29,8 +29,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that stand earlier; a document that loses all its words goes."""
-    left = lines.line_dedup(docs.select(*COLUMNS), unit="line", least_words=5)
+    """Texts without lines and sentences that stand earlier; a document that loses all its words goes."""
+    left = lines.line_dedup(docs.select(*COLUMNS), unit="sentence", least_words=5)
     left = left.where(F.col("n_removed").eqNullSafe(0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
