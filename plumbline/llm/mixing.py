@@ -59,18 +59,29 @@ def _ranked(slim: DataFrame, targets: DataFrame) -> DataFrame:
     return ranked.withColumn("class", F.floor(F.lit(float(CLASSES)) * (F.col("order") / (F.lit(1.0) + F.col("order")))).cast("int")).drop("_u", "_odds")
 
 
+def _numbered(rows: DataFrame, key: list[str]) -> DataFrame:
+    """rows with `_n`, from 1, among the rows of a key. A key's rows are numbered by the partition they came in, so that a hot key stays spread."""
+    held = cut(rows.withColumn("_part", F.spark_partition_id()))
+    counts = held.groupBy(*key, "_part").agg(F.count("*").alias("_count"))
+    before = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.withColumn("_before", F.sum("_count").over(before) - F.col("_count")).drop("_count")
+    own = Window.partitionBy(*key, "_part").orderBy(F.lit(0))
+    return held.join(counts, [*key, "_part"]).withColumn("_n", F.col("_before") + F.row_number().over(own)).drop("_part", "_before")
+
+
 def allotted(slim: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
-    """slim (source, size, draw, and any others) with source_size, target, copies and taken.
-
-    draw: a string from which the uniform number comes. Inclusion odds within a source grow with
-    size / (size + 50): a short document is a little less likely to be repeated than a long one.
-    The sample of a source ends with the last document in order that fits in the rest of its
-    target, and one closing document: the one of those behind whose size is nearest to the gap, if
-    taking it brings the source nearer. All statistics come from a slim table; the rows of slim
-    themselves are not shuffled while the sources are few enough to be broadcast.
+    """slim (source, size, draw, mark, and any others) with source_size, target, copies and taken.
+
+    draw: a string from which the uniform number comes; mark: a number that parts rows of one draw.
+    Inclusion odds within a source grow with size / (size + 50): a short document is a little less
+    likely to be repeated than a long one. The sample of a source ends with the last document in
+    order that fits in the rest of its target, and one closing document: the one of those behind
+    whose size is nearest to the gap, if taking it brings the source nearer. Of rows alike in all
+    of this as many are taken as fit, whichever. All statistics come from a slim table; the rows
+    of slim themselves are not shuffled while the sources are few enough to be broadcast.
     """
     slim = slim.withColumn("draw", F.concat(F.lit(seed + ":"), F.coalesce("draw", F.lit(""))))
-    sizes = cut(slim.select("source", "size", "draw"))
+    sizes = cut(slim.select("source", "size", "draw", "mark"))
     per_source = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
     targets = source_targets(per_source, weights, epochs, most)
     some = F.col("source_size") > 0
@@ -83,20 +94,30 @@ def allotted(slim: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: floa
     running = Window.partitionBy("source").orderBy("class").rowsBetween(Window.unboundedPreceding, 0)
     last = per_class.withColumn("up_to", F.sum("class_size").over(running)).where("up_to >= rest").groupBy("source", "rest").agg(F.min(F.struct("class", (F.col("up_to") - F.col("class_size")).alias("before"))).alias("m"))
     last = cut(last.select(F.col("source").alias("_of"), F.col("m.class").alias("last_class"), F.col("m.before").alias("before")))
-    at_edge = ranked.join(_small(last), F.col("source").eqNullSafe(F.col("_of"))).drop("_of").withColumn("at", F.struct("order", "draw", "size"))
+    at_edge = ranked.join(_small(last), F.col("source").eqNullSafe(F.col("_of"))).drop("_of").withColumn("at", F.struct("order", "draw", "size", "mark"))
     in_order = Window.partitionBy("source").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    edge = at_edge.where("class = last_class").withColumn("up_to", F.col("before") + F.sum("size").over(in_order)).where("up_to <= rest")
-    edge = cut(edge.groupBy("source").agg(F.max("at").alias("last_at"), F.max("up_to").alias("reached")).withColumnRenamed("source", "_of"))
+    edge = at_edge.where("class = last_class").withColumn("up_to", F.col("before") + F.sum("size").over(in_order))
+    edge = edge.groupBy("source", "at").agg(F.count("*").alias("there"), F.count_if(F.col("up_to") <= F.col("rest")).alias("fit"), F.max(F.when(F.col("up_to") <= F.col("rest"), F.col("up_to"))).alias("reached")).where("fit > 0")
+    edge = cut(edge.groupBy(F.col("source").alias("_of")).agg(F.max(F.struct("at", "there", "fit", "reached")).alias("e")).select("_of", F.col("e.at").alias("last_at"), "e.there", "e.fit", "e.reached"))
     behind = at_edge.join(_small(edge), F.col("source").eqNullSafe(F.col("_of")), "left").drop("_of").withColumn("gap", F.col("rest") - F.coalesce("reached", "before"))
-    behind = behind.where("class > last_class OR (class = last_class AND (last_at IS NULL OR at > last_at))").withColumn("off", F.abs(F.col("size") - F.col("gap"))).where("off < gap")
+    behind = behind.where("class > last_class OR (class = last_class AND (last_at IS NULL OR at > last_at OR (at = last_at AND there > fit)))").withColumn("off", F.abs(F.col("size") - F.col("gap"))).where("off < gap")
     closing = behind.groupBy("source").agg(F.min(F.struct("off", "at"))["at"].alias("closing_at")).withColumnRenamed("source", "_of2")
 
-    whole = targets.join(last, F.col("_source").eqNullSafe(F.col("_of")), "left").drop("_of").join(edge.drop("reached"), F.col("_source").eqNullSafe(F.col("_of")), "left").drop("_of")
+    whole = targets.join(last, F.col("_source").eqNullSafe(F.col("_of")), "left").drop("_of").join(edge.drop("reached", "there"), F.col("_source").eqNullSafe(F.col("_of")), "left").drop("_of")
     whole = cut(whole.join(closing, F.col("_source").eqNullSafe(F.col("_of2")), "left").drop("_of2"))
-    mixed = _ranked(slim, _small(whole)).withColumn("at", F.struct("order", "draw", "size"))
-    drawn = "class IS NOT NULL AND (class < last_class OR (class = last_class AND at <= last_at) OR at = closing_at)"
-    mixed = mixed.withColumn("copies", F.col("whole") + F.coalesce(F.expr(drawn), F.lit(False)).cast("int"))
-    return mixed.withColumn("taken", (F.col("copies") * F.col("size")).cast("long")).drop("draw", "whole", "rest", "rate", "order", "class", "at", "last_class", "before", "last_at", "closing_at")
+    mixed = _ranked(slim, _small(whole)).withColumn("at", F.struct("order", "draw", "size", "mark"))
+    # Of the rows at the last and the closing place so many are taken; more than those are there only where rows are alike.
+    few = F.when(F.col("at") == F.col("last_at"), F.col("fit")).otherwise(0) + F.when(F.col("at") == F.col("closing_at"), 1).otherwise(0)
+    at_end = "coalesce(at = last_at, false) OR coalesce(at = closing_at, false)"
+    ends = _ranked(sizes, _small(whole)).withColumn("at", F.struct("order", "draw", "size", "mark")).where(at_end).groupBy("source", "at").agg(F.count("*").alias("there"), F.max(few).alias("few"))
+    taken = F.coalesce(F.expr("class IS NOT NULL AND (class < last_class OR (class = last_class AND at <= last_at) OR at = closing_at)"), F.lit(False))
+    if ends.where("there > few").isEmpty():
+        mixed = mixed.withColumn("copies", F.col("whole") + taken.cast("int"))
+    else:
+        alike = _numbered(mixed.where(at_end).withColumn("_of", F.coalesce("source", F.lit(""))), ["_of", "at"]).drop("_of")
+        alike = alike.withColumn("copies", F.col("whole") + (F.col("_n") <= few).cast("int")).drop("_n")
+        mixed = mixed.where(f"NOT ({at_end})").withColumn("copies", F.col("whole") + taken.cast("int")).unionByName(alike)
+    return mixed.withColumn("taken", (F.col("copies") * F.col("size")).cast("long")).drop("draw", "mark", "whole", "rest", "rate", "order", "class", "at", "last_class", "before", "last_at", "fit", "closing_at")
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
@@ -105,14 +126,14 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     size: words of the whole text (null: 0); taken: words that the mix takes, copies counted. A
     null source is a source of its own, the last. Documents without words have no inclusion odds
     and are only in whole copies. Rows that repeat an id have the same uniform number and stay
-    rows of their own. Other columns are not read.
+    rows of their own; of rows alike in id and text as many are taken as fit the target. Other columns are not read.
     """
-    slim = docs.select(F.col(key).alias("_key"), F.col(source).cast("string").alias("source"), words_in(text).alias("size"), F.col(key).cast("string").alias("draw"))
+    slim = docs.select(F.col(key).alias("_key"), F.col(source).cast("string").alias("source"), words_in(text).alias("size"), F.col(key).cast("string").alias("draw"), F.xxhash64(F.col(text)).alias("mark"))
     return allotted(slim, **options).select(F.col("_key").alias(key), "size", "source_size", "target", "copies", "taken")
 
 
 def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The rows of docs that the mix takes, each as often as it takes it; the columns of docs, whatever their names."""
-    whole = docs.select(F.struct(*docs.columns).alias("_row"), F.col(source).cast("string").alias("source"), words_in(text).alias("size"), F.col(key).cast("string").alias("draw"))
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), F.col(source).cast("string").alias("source"), words_in(text).alias("size"), F.col(key).cast("string").alias("draw"), F.xxhash64(F.col(text)).alias("mark"))
     copies = allotted(whole, **options).where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return copies.select("_row.*")
