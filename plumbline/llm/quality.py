@@ -102,7 +102,7 @@ def with_verdict(features: DataFrame, reference: DataFrame, most: float) -> Data
 
 
 def judged(docs: DataFrame, text: str = "text", lang: str = "lang", most: float = MOST) -> DataFrame:
-    """docs without text and lang (and without columns that start with an underscore), with the columns of the base rules, `divergence` and `kept`.
+    """docs without text and lang, with the columns of the base rules, `divergence` and `kept`.
 
     divergence: the greater of the two Jensen-Shannon distances that the document is long enough
     for (CHARACTER_WORDS, COMMON_WORDS); 0 if it is too short for either. kept: the base rules hold
@@ -111,9 +111,10 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", most: float
     reference of all; without any reference the divergence is 0. Columns of docs with the names of
     the added ones are replaced.
     """
-    kept = [c for c in docs.columns if not c.startswith("_") and c not in (text, lang)]
-    features = cut(base_features(docs.select(*kept, F.col(text).alias("_text"), F.col(lang).alias("_lang")), "_text").drop("_text"))
-    return with_verdict(features, references(features), most)
+    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "divergence", "kept"]
+    own = [c for c in docs.columns if c not in (text, lang, *added)]
+    features = cut(base_features(docs.select(F.struct(*own).alias("_row") if own else F.lit(None).alias("_row"), F.col(text).alias("_text"), F.col(lang).alias("_lang")), "_text").drop("_text"))
+    return with_verdict(features, references(features), most).select(*[F.col("_row")[c].alias(c) for c in own], *added)
 
 
 def kept_documents(docs: DataFrame, text: str = "text", lang: str = "lang", most: float = MOST) -> DataFrame:
