@@ -63,3 +63,41 @@ x AS (SELECT r, i, any_value(piece) FILTER (k < 0) line, any_value(s) FILTER (k
 y AS (SELECT *, whole OR (n > 0 AND NOT regexp_matches(coalesce(stays, ''), {WORD})) goes FROM x),
 a AS (SELECT r, coalesce(string_agg(CASE WHEN n > 0 THEN stays ELSE line END, chr(10) ORDER BY i) FILTER (NOT goes), '') kept, count(*) n, sum(CASE WHEN goes THEN 1 ELSE n END) g, coalesce(string_agg(CASE WHEN goes THEN s::BIGINT || '-' || (s + length(line))::BIGINT ELSE parts END, ',' ORDER BY i), '') spans FROM y GROUP BY 1)
 SELECT doc_id, CASE WHEN text IS NOT NULL THEN kept END AS text, CAST(coalesce(n, 0) AS BIGINT) n_units, CAST(coalesce(g, 0) AS BIGINT) n_removed, coalesce(spans, '') removed_spans FROM d LEFT JOIN a USING (r)"""
+
+
+_REACHED = "r AS (SELECT a v, a m FROM k UNION SELECT k.b, r.m FROM r JOIN k ON k.a=r.v), c AS (SELECT v, min(m) m FROM r GROUP BY 1)"
+
+
+def near_vectors() -> str:
+    return rf"""
+WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) x FROM embeddings),
+u AS (SELECT vec_id, list_transform(x, lambda v: v / sqrt(list_dot_product(x, x))) x FROM e WHERE len(list_filter(x, lambda v: v IS NULL OR NOT isfinite(v))) = 0 AND list_dot_product(x, x) > 0),
+k AS (SELECT p.vec_id a, q.vec_id b FROM u p JOIN u q ON p.vec_id <> q.vec_id AND len(p.x) = len(q.x) AND list_dot_product(p.x, q.x) >= 0.9),
+{_REACHED}
+SELECT vec_id, (SELECT count(*) FROM k WHERE a = vec_id) n_links, coalesce(m, vec_id) component_id, coalesce(m, vec_id) = vec_id kept FROM e LEFT JOIN c ON v = vec_id"""
+
+
+def jaccard_classes() -> str:
+    return rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {WORD}) w FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1:i + 5], ' ')) END) t FROM d),
+n AS (SELECT doc_id, count(*) n FROM g GROUP BY 1),
+p AS (SELECT x.doc_id a, y.doc_id b, count(*) shared FROM g x JOIN g y ON x.t = y.t AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+k AS (SELECT a, b FROM p JOIN n u ON u.doc_id = a JOIN n v ON v.doc_id = b WHERE shared / (u.n + v.n - shared) >= 0.8),
+{_REACHED}
+SELECT doc_id, (SELECT count(*) FROM k WHERE a = doc_id) n_links, coalesce(m, doc_id) class_id, coalesce(m, doc_id) = doc_id kept FROM d LEFT JOIN c ON v = doc_id"""
+
+
+def substring_dedup() -> str:
+    return r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) h FROM documents),
+w AS (SELECT doc_id, unnest(range(len(h) // 2 - 49)) s, h FROM d WHERE len(h) >= 100),
+k AS (SELECT doc_id, s, md5_number(substr(h, 2 * s + 1, 100)) x FROM w),
+f AS (SELECT x, min(doc_id) first FROM k GROUP BY 1),
+t AS (SELECT k.doc_id, s FROM k JOIN f USING (x) WHERE first < k.doc_id),
+i AS (SELECT *, s > lag(s) OVER o + 50 OR lag(s) OVER o IS NULL new FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY s)),
+j AS (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY s) span FROM i),
+p AS (SELECT doc_id, min(s) a, max(s) + 50 b FROM j GROUP BY doc_id, span),
+q AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) z FROM p),
+r AS (SELECT doc_id, sum(b - a) n, count(*) spans, max(b) e, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) kept FROM q JOIN d USING (doc_id) GROUP BY 1)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) n_bytes, CAST(coalesce(n, 0) AS BIGINT) n_removed, CAST(coalesce(spans, 0) AS BIGINT) n_spans, sha256(unhex(CASE WHEN r.doc_id IS NULL THEN h ELSE kept || substr(h, 2 * e + 1) END)) kept_sha256 FROM d LEFT JOIN r ON r.doc_id = d.doc_id"""

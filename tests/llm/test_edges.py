@@ -124,11 +124,35 @@ def test_suffixes(docs):
 
 def test_vectors(spark):
     inf, nan = float("inf"), float("nan")
-    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.1]), (3, None), (4, [0.0, 0.0]), (5, [1.0, None]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [0.0, 1.0]), (8, [0.0, 1.0]), (9, [1.0, 0.0, 0.0]), (None, [1.0, 0.0])]
-    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("home", F.lit(1)).withColumn("cell", F.lit(2))
-    found = {r["vec_id"]: r for r in vectors.near_vectors(d).collect()}
-    assert set(found) == set(range(1, 10))
-    assert found[1]["n_links"] == found[2]["n_links"] == 1 and found[2]["component_id"] == 1 and not found[2]["kept"]
-    assert all(found[i]["n_links"] == 0 and found[i]["kept"] for i in range(3, 10))
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.1]), (3, None), (4, [0.0, 0.0]), (5, [1.0, None]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [0.0, 1.0]), (8, [0.0, 1.0]), (9, [1.0, 0.0, 0.0]), (10, [1.0, 0.0, 0.0]), (None, [1.0, 0.0]), (None, [-1.0, 0.0]), (11, [1e200, -1e200]), (12, [1e-200, -1e-200]), (13, [1.0]), (14, [])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("home", F.lit(1)).withColumn("cell", F.lit(2)).withColumn("node", F.lit(3)).withColumn("one", F.lit(3))
+    found = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in vectors.near_vectors(d).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    assert found == [
+        (1, 2, 1, True), (2, 2, 1, False), *[(i, 0, i, True) for i in (3, 4, 5, 6, 7)], (8, 1, 8, True), (8, 1, 8, True), (9, 1, 9, True), (10, 1, 9, False),
+        (11, 1, 11, True), (12, 1, 11, False), (13, 0, 13, True), (14, 0, 14, True), (None, 0, None, True), (None, 2, 1, False),
+    ]
     assert vectors.near_vectors(d.where("false")).collect() == []
     assert [r["n_links"] for r in vectors.near_vectors(d.where("vec_id = 3")).collect()] == [0]
+
+
+def test_many_equal_vectors(spark):
+    """Equal vectors are compared once, whatever their number."""
+    d = spark.range(6000).select(F.col("id").alias("vec_id"), F.when(F.col("id") < 5000, F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0) + F.col("id") / 1e6)).alias("embedding"))
+    found = vectors.near_vectors(d).groupBy("n_links", "component_id").count().collect()
+    assert sorted(map(tuple, found)) == [(999, 5000, 1000), (4999, 0, 5000)]
+
+
+@pytest.mark.parametrize("size, ids", [(100, 10), (7, 1), (50, 500)])
+def test_mix_of_rows_alike(spark, size, ids):
+    """Rows that repeat an id, with the same text or another, bring no source further from its target than one document."""
+    d = spark.range(1000).select((F.col("id") % ids).alias("doc_id"), F.when(F.col("id") % 2 == 0, F.repeat(F.lit("a "), size)).otherwise(F.concat(F.repeat(F.lit("b "), size - 1), F.col("id").cast("string"))).alias("text"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("s"), (F.col("id") % 3).cast("string"))).alias("source"))
+    found = mixing.mix(d).collect()
+    assert len(found) == 1000
+    per = {}
+    for r in found:
+        key = (r["source_size"], r["target"])
+        per[key] = per.get(key, 0) + r["taken"]
+    assert all(abs(taken - target) <= size for (_, target), taken in per.items())
+    again = mixing.mix(d.repartition(5)).groupBy("doc_id", "size", "taken").count().collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, spark.createDataFrame([(r["doc_id"], r["size"], r["taken"]) for r in found], "doc_id long, size long, taken long").groupBy("doc_id", "size", "taken").count().collect()))
+    assert mixing.mixed_documents(d).count() == sum(r["copies"] for r in found)

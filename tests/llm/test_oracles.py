@@ -11,7 +11,8 @@ DATA = "/root/testdata/sf0.01"
 @pytest.mark.parametrize("name", queries.oracle_sql())
 def test_sql(name, spark):
     duck = duckdb.connect()
-    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    for name_ in ("documents", "embeddings"):
+        duck.sql(f"CREATE VIEW {name_} AS SELECT * FROM '{DATA}/{name_}.parquet'")
     df = queries.queries()[name](spark, DATA)
     columns = sorted(df.columns)
     found = duck.sql(queries.oracle_sql()[name])
