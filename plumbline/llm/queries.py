@@ -60,7 +60,7 @@ def op7_language_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shingles.jaccard_classes(documents(spark, sf_dir), words=5, threshold=0.8)
+    return shingles.jaccard_classes(documents(spark, sf_dir), words=5, threshold=0.8).drop("mark")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from plumbline.llm import sieve
 from plumbline.llm.blocks import compared, in_blocks, link_rows, resolved
 from plumbline.llm.components import components
+from plumbline.llm.lines import LAST
 from plumbline.llm.store import cut
 from plumbline.llm.textio import buffers, lean, mix, pieces, small_batches, span_hashes, word_spans
 
@@ -87,6 +88,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], words: int, bands: int, rows:
     for b in batches:
         data, offsets = buffers(b.column(1))
         spot = mix(b.column(0).to_numpy().astype(np.int64).view(np.uint64)).view(np.int64)
+        marks = b.column(2)
         for i, j in pieces(offsets):
             at = offsets[i : j + 1] - offsets[i]
             grams, of = gram_sets(data[offsets[i] : offsets[j]], at, words)
@@ -99,7 +101,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], words: int, bands: int, rows:
                     key = mix(key * np.uint64(0x9E3779B97F4A7C15) ^ _per_set(np.minimum, grams * a[k] + c[k], of, 0))
                 keys[:, band] = key
             lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel().view(np.int64)), bands).cast(out[4].type)
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(of).astype(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists, pa.array(spot[i:j])], schema=out)
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(of).astype(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists, pa.array(spot[i:j]), marks.slice(i, j - i)], schema=out)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int, wanted: np.ndarray, out: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -116,7 +118,7 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int, wanted: np.ndarray, out
 
 def _verified(group: pa.Table, threshold: float) -> Iterator[pa.RecordBatch]:
     """Links between the documents of a block pair: those that share a band (the bucket's own as the first, if it is one) and are similar."""
-    ids, side = group.column("doc_id").to_numpy(), group.column("side").to_numpy()
+    ids, side = group.column("node").to_numpy(), group.column("side").to_numpy()
     weight = group.column("copies").to_numpy()
     band = group.column("band")[0].as_py()
     n = len(ids)
@@ -156,35 +158,37 @@ def _verified(group: pa.Table, threshold: float) -> Iterator[pa.RecordBatch]:
 
 
 def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
-    """One row per document: key, n_links, class_id, kept.
+    """One row per row of docs: key, n_links, class_id, kept, mark.
 
     n_links: other documents whose set of n-grams of `words` words has a Jaccard similarity of
     `threshold` or more with this one's; class_id: the smallest key reachable by links; kept: it
-    is this one. Words are runs of characters that are not ASCII white space, as they stand.
+    is this one's. Words are runs of characters that are not ASCII white space, as they stand.
     A text of fewer words has one n-gram; a null or empty text or one of white space links with
-    nothing. Rows that repeat a key count once (the one with the least n-gram set); rows without
-    a key are left out; columns other than key and text are not read. Pairs at the threshold are
-    found with probability `recall`, more similar ones with a greater one, and equal sets always.
+    nothing. Every row is judged by its own text, also where it repeats a key or has none; a class
+    without a key has a null class_id, and all its rows are kept. mark: a digest of the text, which
+    with the key names the row. Columns other than key and text are not read. Pairs at the
+    threshold are found with probability `recall`, more similar ones with a greater one, equal sets always.
     """
     bands, rows = bands_and_rows(threshold, recall)
     spark = docs.sparkSession
     small_batches(spark)
-    source = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    out = pa.schema({"doc_id": pa.int64(), "n": pa.int64(), "one": pa.int64(), "two": pa.int64(), "keys": pa.list_(pa.int64()), "spot": pa.int64()})
+    source = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("mark"))
+    out = pa.schema({"doc_id": pa.int64(), "n": pa.int64(), "one": pa.int64(), "two": pa.int64(), "keys": pa.list_(pa.int64()), "spot": pa.int64(), "mark": pa.int64()})
 
     def sign(batches):
         return _signatures(batches, words, bands, rows, out)
 
-    signed = source.mapInArrow(lean(sign), "doc_id long, n long, one long, two long, keys array<long>, spot long")
-    signed = cut(signed.groupBy("doc_id").agg(F.min(F.struct("n", "one", "two", "keys", "spot")).alias("s")).select("doc_id", "s.*"))
-    classes = signed.where("n > 0").groupBy("n", "one", "two").agg(F.min("doc_id").alias("leader"), F.count("*").alias("copies"))
-    leaders = cut(classes.join(signed.select(F.col("doc_id").alias("leader"), "keys", "spot"), "leader").withColumnRenamed("leader", "doc_id"))
+    signed = cut(source.mapInArrow(lean(sign), "doc_id long, n long, one long, two long, keys array<long>, spot long, mark long"))
+    # Documents of equal sets are one node from here on; the text of the one with the least key stands for them.
+    classes = signed.where("n > 0").groupBy("n", "one", "two").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    first = signed.select("n", "one", "two", "doc_id", "keys", "spot").join(classes, ["n", "one", "two", "doc_id"]).dropDuplicates(["n", "one", "two"])
+    leaders = cut(cut(first).withColumn("node", F.monotonically_increasing_id()))  # numbered from a written table
 
-    in_bands = leaders.select("doc_id", F.posexplode("keys").alias("band", "bucket"))
-    shared = in_bands.groupBy("band", "bucket").agg(F.min("doc_id").alias("lead"), F.count("*").alias("c")).where("c > 1")
+    in_bands = leaders.select("node", F.posexplode("keys").alias("band", "bucket"))
+    shared = in_bands.groupBy("band", "bucket").agg(F.min("node").alias("lead"), F.count("*").alias("c")).where("c > 1")
     members = cut(in_bands.join(shared.drop("c"), ["band", "bucket"]))
-    candidates = components(members.where("doc_id <> lead"), "doc_id", "lead").withColumnRenamed("node", "doc_id")
-    candidates = candidates.join(leaders, "doc_id")
+    candidates = components(members.where("node <> lead"), "node", "lead")
+    candidates = candidates.join(leaders, "node")
     groups = candidates.groupBy("component").agg(F.count("*").alias("c"), F.sum("n").alias("grams"))
     groups = groups.withColumn("large", (F.col("c") > BLOCK_ROWS) | (F.col("grams") > BLOCK_GRAMS)).select("component", "large")
     candidates = cut(candidates.join(groups, "component"))
@@ -195,28 +199,23 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     def ship(batches):
         return _sets(batches, words, wanted.value, sets_out)
 
-    sets = source.mapInArrow(lean(ship), "doc_id long, one long, grams binary")
-    whole = candidates.where("not large").select("doc_id", "one", "copies", "keys", F.lit(-1).alias("band"), F.col("component").alias("bucket"), F.lit(1).alias("blocks"))
+    sets = source.select("doc_id", "text").mapInArrow(lean(ship), "doc_id long, one long, grams binary")
+    whole = candidates.where("not large").select("node", "doc_id", "one", "copies", "keys", F.lit(-1).alias("band"), F.col("component").alias("bucket"), F.lit(1).alias("blocks"))
     large = candidates.where("large")
-    dealt_large = members.join(large.select("doc_id", "one", "n", "copies", "keys"), "doc_id")
+    dealt_large = members.join(large.select("node", "doc_id", "one", "n", "copies", "keys"), "node")
     sizes = dealt_large.groupBy("band", "bucket").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks"))
-    dealt_large = dealt_large.join(sizes, ["band", "bucket"]).select("doc_id", "one", "copies", "keys", "band", "bucket", "blocks")
+    dealt_large = dealt_large.join(sizes, ["band", "bucket"]).select("node", "doc_id", "one", "copies", "keys", "band", "bucket", "blocks")
     to_verify = whole.unionByName(dealt_large).join(sets.dropDuplicates(["doc_id", "one"]), ["doc_id", "one"])
-    dealt = in_blocks(to_verify, ["band", "bucket"], "doc_id")
+    dealt = in_blocks(to_verify, ["band", "bucket"], "node")
 
     def links(group):
         return _verified(group, threshold)
 
     found = cut(compared(dealt, ["band", "bucket"], links))
-    linked = resolved(found, leaders.select("doc_id", "one", "two", "copies"), "doc_id").drop("doc_id")
-    return (
-        signed.select("doc_id", "n", "one", "two")
-        .join(linked, ["one", "two"], "left")
-        .select(
-            F.col("doc_id").alias(key),
-            F.when(F.col("n") > 0, F.col("n_links") + F.col("copies") - 1).otherwise(0).cast("long").alias("n_links"),
-            F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("class_id"),
-        )
-        .withColumn("kept", F.col("class_id") == F.col(key))
-    )
-
+    linked = resolved(found, leaders.select("node", "n", "one", "two", "copies", F.col("doc_id").alias("least")), "node")
+    named = linked.where("n_links > 0").groupBy("component_id").agg(F.min("least").alias("smallest"))
+    linked = linked.join(named, "component_id", "left").select("n", "one", "two", (F.col("n_links") + F.col("copies") - 1).alias("n_links"), F.coalesce("smallest", "least").alias("smallest"))
+    own = F.when(F.col("n") > 0, F.col("smallest")).otherwise(F.col("doc_id"))
+    found = signed.select("doc_id", "n", "one", "two", "mark").join(linked, ["n", "one", "two"], "left")
+    given = [F.nullif(c, F.lit(LAST)) for c in (F.col("doc_id"), own)]
+    return found.select(given[0].alias(key), F.when(F.col("n") > 0, F.col("n_links")).otherwise(0).cast("long").alias("n_links"), given[1].alias("class_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"), "mark")
