@@ -23,9 +23,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates (five words, similarity of 0.8 or more) the document with the smallest id."""
-    dropped = shingles.jaccard_classes(docs, words=5, threshold=0.8).where("NOT kept").select("doc_id")
-    return docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each class of near duplicates (five words, similarity of 0.8 or more) the document with the smallest id. Rows are told apart by id and text."""
+    dropped = shingles.jaccard_classes(docs, words=5, threshold=0.8).where("NOT kept").select(F.col("doc_id").alias("id"), "mark").distinct()
+    rows = docs.select(F.struct(*COLUMNS).alias("row"), "doc_id", F.xxhash64("text").alias("of"))
+    return rows.join(dropped, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("of") == F.col("mark")), "left_anti").select("row.*")
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,4 +68,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{home}/{k}")
             docs = spark.read.parquet(f"{home}/{k}")
+            if k:  # what the next stages do not read goes
+                last = spark._jvm.org.apache.hadoop.fs.Path(f"{home}/{k - 1}")
+                last.getFileSystem(spark._jsc.hadoopConfiguration()).delete(last, True)
     return docs
