@@ -78,6 +78,14 @@ def brown_lens(x: Column, y: Column, k: tuple[float, float, float], p: tuple[flo
     return x * radial + 2 * p[0] * x * y + p[1] * (r2 + 2 * x * x), y * radial + p[0] * (r2 + 2 * y * y) + 2 * p[1] * x * y
 
 
+def rational_lens(x: Column, y: Column, k: list[float]) -> tuple[Column, Column]:
+    """Normalised coordinates through a lens of eight coefficients k1 k2 p1 p2 k3 k4 k5 k6 (P4); null where the denominator vanishes."""
+    r2 = x * x + y * y
+    below = 1 + r2 * (k[5] + r2 * (k[6] + r2 * k[7]))
+    radial = (1 + r2 * (k[0] + r2 * (k[1] + r2 * k[4]))) / F.when(F.abs(below) > 1e-12, below)
+    return x * radial + 2 * k[2] * x * y + k[3] * (r2 + 2 * x * x), y * radial + k[2] * (r2 + 2 * y * y) + 2 * k[3] * x * y
+
+
 def saturating(x: Column, target: float) -> Column:
     return clip(x / target, 0.0, 1.0)
 

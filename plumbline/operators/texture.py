@@ -200,3 +200,42 @@ def information(pairs: DataFrame, key: str) -> DataFrame:
     x, y, z = (F.col(c) for c in "xyz")
     rows = [[one, zero, zero, zero, z, -y], [zero, one, zero, -z, zero, x], [zero, zero, one, y, -x, zero]]
     return pairs.groupBy(key).agg(F.count("*").alias("n"), F.array(*[F.sum(sum((r[i] * r[j] for r in rows[1:]), rows[0][i] * rows[0][j])) for i in range(6) for j in range(i, 6)]).alias("m"))
+
+
+def undistorted(raster: DataFrame, frame: str, size: tuple[int, int], lens: tuple[float, float, float, float], k: tuple[float, float, float], p: tuple[float, float], values: list[str]) -> DataFrame:
+    """(frame, x, y, values): a raster as a lens without distortion would have seen it (P7, P23). Pixels that look beyond the raster are left out: the rest is the valid mask."""
+    fx, fy, cx, cy = lens
+    spark = raster.sparkSession
+    px = spark.range(size[0] * size[1]).select((F.col("id") % size[0]).alias("x"), F.expr(f"id div {size[0]}").alias("y"))
+    u, v = geom.brown_lens((F.col("x") - cx) / fx, (F.col("y") - cy) / fy, k, p)
+    where = F.broadcast(px.withColumn("_u", u * fx + cx).withColumn("_g", v * fy + cy))  # one row a pixel of a frame
+    at = raster.select(frame).distinct().crossJoin(where)
+    return bilinear(at, raster, [frame], "_u", "_g", size, values).select(frame, "x", "y", *values)
+
+
+def transformed_mesh(triangles: DataFrame, vertices: DataFrame, matrix: list[float], shift: list[float]) -> tuple[DataFrame, DataFrame]:
+    """Triangles and vertices under a linear map of nine numbers and a shift (P13); a map that mirrors turns the winding round."""
+    m = np.array(matrix, dtype=np.float64).reshape(3, 3)
+    moved = geom.apply_rigid([F.lit(float(v)) for v in m.ravel()], [F.lit(float(v)) for v in shift], [F.col(c) for c in "xyz"])
+    v = vertices.select("vid", *[c.alias(n) for c, n in zip(moved, "xyz")])
+    return (triangles.select("tid", "a", F.col("c").alias("b"), F.col("b").alias("c")) if np.linalg.det(m) < 0 else triangles), v
+
+
+def seeds(pixels: DataFrame, lens: tuple[float, float, float, float], size: int = 16, least: int = 2, variance: float = 48.0, voxel: float = 0.01) -> DataFrame:
+    """(x, y, z, scale_x, scale_y, scale_z, qw, qx, qy, qz): the seeds of one frame of pixels (x, y, z, v).
+
+    An adaptive quadtree over v gives cells; the pixel nearest to a cell's middle, the first of
+    equals, is its seed, with the frame of the surface there and scales of half the cell.
+    """
+    from plumbline.operators.raster import quadtree
+
+    fx, fy = lens[:2]
+    cells = quadtree(pixels.where("z > 0"), size, least, variance)
+    spread = cells.withColumn("dx", F.explode(F.expr("sequence(0L, size - 1)"))).withColumn("dy", F.explode(F.expr("sequence(0L, size - 1)")))
+    inside = spread.select("x0", "y0", "size", (F.col("x0") + F.col("dx")).alias("x"), (F.col("y0") + F.col("dy")).alias("y")).join(pixels.where("z > 0").select(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), "z"), ["x", "y"])
+    off = sum(((F.col(c) - F.col(f"{c}0") - (F.col("size") - 1) / 2) * (F.col(c) - F.col(f"{c}0") - (F.col("size") - 1) / 2) for c in "y"), (F.col("x") - F.col("x0") - (F.col("size") - 1) / 2) * (F.col("x") - F.col("x0") - (F.col("size") - 1) / 2))
+    middle = inside.groupBy("x0", "y0", "size").agg(F.min(F.struct(off.alias("o"), "y", "x", "z")).alias("m")).select("size", "m.x", "m.y", "m.z")
+    scales = [F.greatest(F.col("z") * F.col("size") * 0.5 / f, F.lit(voxel * 0.35)) for f in (fx, fy)]
+    turned = surface_frames(pixels.select(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), "z"), [], lens)
+    s = middle.select("x", "y", "z", scales[0].alias("scale_x"), scales[1].alias("scale_y"), F.greatest(F.least(*scales) * 0.08, F.lit(5e-4)).alias("scale_z"))
+    return s.join(turned, ["x", "y"])

@@ -115,3 +115,14 @@ def topology_report(spark, d):
     shape = parts.agg(F.count("*").alias("vertices"), F.countDistinct("component").alias("components"))
     x = t.agg(F.count("*").alias("triangles")).crossJoin(sums).crossJoin(shape)  # three rows of sums
     return x.select("triangles", "vertices", "edges", "boundary", "nonmanifold", "components", (F.col("vertices") - F.col("edges") + F.col("triangles")).alias("euler"))
+
+
+@query("merged_progress", f"WITH w AS (SELECT * FROM (VALUES ('view',0.0,0.5),('click',0.5,0.3),('purchase',0.8,0.2)) s(event_type,base,share)), p AS (SELECT user_id, event_id, t, base+share*least(1,greatest(0,coalesce(TRY_CAST(json_extract_string(props,'$.k') AS DOUBLE),0)/100)) v FROM ({E}) JOIN w USING (event_type)) SELECT event_id, round(max(v) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING),6) progress FROM p")
+def merged_progress(spark, d):
+    """A worker's documents merged into a job: a stage's progress within its share of the whole, never going back."""
+    k = F.coalesce(F.expr("try_cast(get_json_object(props, '$.k') AS double)"), F.lit(0.0)) / 100
+    base = F.when(F.col("event_type") == "view", 0.0).when(F.col("event_type") == "click", 0.5).when(F.col("event_type") == "purchase", 0.8)
+    share = F.when(F.col("event_type") == "view", 0.5).when(F.col("event_type") == "click", 0.3).otherwise(0.2)
+    x = events(spark, d).withColumn("v", base + share * F.least(F.lit(1.0), F.greatest(F.lit(0.0), k))).where("v IS NOT NULL")
+    w = Window.partitionBy("user_id").orderBy("t", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return x.select("event_id", r6(F.max("v").over(w)).alias("progress"))

@@ -67,20 +67,21 @@ def cache_three_way_split(spark, d):
     return x.groupBy(F.when(F.col("quality").isNull(), "pending").when(F.col("quality") == 1, "hit").otherwise("rejected").alias("state")).agg(F.count("*").alias("n"))
 
 
-@query("metric_gate", "SELECT l_returnflag, count(*) n, round(median(r),6) med, round(quantile_cont(r,0.9),6) p90, round(avg(CASE WHEN r<=0.06 THEN 1.0 ELSE 0 END),6) inliers, median(r)<=0.06 AND quantile_cont(r,0.9)<=0.12 ok FROM (SELECT l_returnflag, abs(l_discount-l_tax) r FROM lineitem) GROUP BY 1 HAVING count(*)>=256")
+@query("metric_gate", "SELECT l_returnflag, count(*) n, round(median(r),6) med, round(quantile_cont(r,0.9),6) p90, round(avg(CASE WHEN r<=0.06 THEN 1.0 ELSE 0 END),6) inliers, round(abs(median(b)-1),6) bias, median(r)<=0.06 AND quantile_cont(r,0.9)<=0.12 AND abs(median(b)-1)<=0.1 ok FROM (SELECT l_returnflag, abs(l_discount-l_tax) r, (1+l_discount)/(1+l_tax) b FROM lineitem) GROUP BY 1 HAVING count(*)>=256")
 def metric_gate(spark, d):
-    """median, 90th percentile and inlier ratio of residuals, at least 256 of them."""
-    x = table(spark, d, "lineitem").select("l_returnflag", F.abs(F.col("l_discount") - F.col("l_tax")).alias("r")).groupBy("l_returnflag")
-    x = x.agg(F.count("*").alias("n"), F.median("r").alias("m"), F.percentile("r", 0.9).alias("p"), r6(F.avg(F.when(F.col("r") <= 0.06, 1.0).otherwise(0.0))).alias("inliers")).where("n >= 256")
-    return x.select("l_returnflag", "n", r6("m").alias("med"), r6("p").alias("p90"), "inliers", ((F.col("m") <= 0.06) & (F.col("p") <= 0.12)).alias("ok"))
+    """median, 90th percentile and inlier ratio of residuals, at least 256 of them, and how far the median scale is from 1."""
+    x = table(spark, d, "lineitem").select("l_returnflag", F.abs(F.col("l_discount") - F.col("l_tax")).alias("r"), ((1 + F.col("l_discount")) / (1 + F.col("l_tax"))).alias("b")).groupBy("l_returnflag")
+    x = x.agg(F.count("*").alias("n"), F.median("r").alias("m"), F.percentile("r", 0.9).alias("p"), r6(F.avg(F.when(F.col("r") <= 0.06, 1.0).otherwise(0.0))).alias("inliers"), F.abs(F.median("b") - 1).alias("b")).where("n >= 256")
+    return x.select("l_returnflag", "n", r6("m").alias("med"), r6("p").alias("p90"), "inliers", r6("b").alias("bias"), ((F.col("m") <= 0.06) & (F.col("p") <= 0.12) & (F.col("b") <= 0.1)).alias("ok"))
 
 
-@query("median_relative_spread", "WITH m AS (SELECT p_brand, median(p_retailprice) m FROM part GROUP BY 1) SELECT p_brand, round(max(abs(p_retailprice-m)/greatest(abs(m),1e-9)),6) spread FROM part JOIN m USING(p_brand) GROUP BY 1")
+@query("median_relative_spread", "WITH m AS (SELECT p_brand, median(p_retailprice) m FROM part GROUP BY 1) SELECT p_brand, round(max(abs(p_retailprice-m)/greatest(abs(m),1e-9)),6) spread, max(abs(p_retailprice-m)/greatest(abs(m),1e-9))<=0.005 constant FROM part JOIN m USING(p_brand) GROUP BY 1")
 def median_relative_spread(spark, d):
-    """A13, F26."""
+    """The largest relative distance from the median, and whether it is under half a percent."""
     x = table(spark, d, "part")
     m = x.groupBy("p_brand").agg(F.median("p_retailprice").alias("m"))
-    return x.join(m, "p_brand").groupBy("p_brand").agg(r6(F.max(F.abs(F.col("p_retailprice") - F.col("m")) / F.greatest(F.abs("m"), F.lit(1e-9)))).alias("spread"))
+    spread = F.max(F.abs(F.col("p_retailprice") - F.col("m")) / F.greatest(F.abs("m"), F.lit(1e-9)))
+    return x.join(m, "p_brand").groupBy("p_brand").agg(spread.alias("s")).select("p_brand", r6("s").alias("spread"), (F.col("s") <= 0.005).alias("constant"))
 
 
 @query("target_set_difference", "SELECT p_brand, p_size FROM (SELECT DISTINCT p_brand, p_size FROM part) EXCEPT SELECT DISTINCT p_brand, p_size FROM part WHERE p_retailprice>1200")

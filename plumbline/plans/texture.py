@@ -166,3 +166,30 @@ def intrinsics(spark, d):
     k = F.array(F.max("x") * 1000, F.lit(0.0), F.lit(320.0), F.lit(0.0), F.max("y") * 1000, F.lit(240.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))
     m = points(spark, d).groupBy("label").agg(F.count("*").alias("n"), k.alias("k"))
     return m.select("label", "n", F.round(F.col("k")[0], 4).alias("fx"), F.round(F.col("k")[4], 4).alias("fy"))
+
+
+UN = "SELECT x, y, a*(1+q*(0.1+q*-0.02))+2*0.004*a*b-0.002*(q+2*a*a) a, b*(1+q*(0.1+q*-0.02))+0.004*(q+2*b*b)-2*0.002*a*b b FROM (SELECT x, y, (x-11.5)/30 a, (y-12.5)/30 b, ((x-11.5)/30)**2+((y-12.5)/30)**2 q FROM range(24) i(x), range(26) j(y))"
+
+
+@query("undistorted_raster", f"WITH s AS (SELECT x, y, a*30+11.5 u, b*30+12.5 w FROM ({UN})) SELECT s.x, s.y, round(sum((CASE WHEN i=1 THEN u-floor(u) ELSE 1-(u-floor(u)) END)*(CASE WHEN j=1 THEN w-floor(w) ELSE 1-(w-floor(w)) END)*r.v),5) v FROM s, (VALUES (0,0),(0,1),(1,0),(1,1)) q(i,j), ({R}) r WHERE r.x=least(floor(u)+i,23) AND r.y=least(floor(w)+j,25) AND u BETWEEN 0 AND 23 AND w BETWEEN 0 AND 25 GROUP BY 1,2 HAVING count(*)=4")
+def undistorted_raster(spark, d):
+    """The raster without its lens's distortion, and with that the mask of what is valid."""
+    r = raster(spark, d).withColumn("f", F.lit(0))
+    return texture.undistorted(r, "f", (24, 26), (30.0, 30.0, 11.5, 12.5), (0.1, -0.02, 0.0), (0.004, -0.002), ["v"]).select("x", "y", F.round("v", 5).alias("v"))
+
+
+@query("mirrored_mesh", f"{TRIS} SELECT tid, a, c b, b c FROM t")
+def mirrored_mesh(spark, d):
+    """A mirrored mesh has its winding turned round."""
+    t, v = sheet(spark, d)
+    return texture.transformed_mesh(t, v, [-1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0], [0.0, 0.0, 0.0])[0].select("tid", "a", "b", "c")
+
+
+@query("frame_seeds")
+def frame_seeds(spark, d):
+    """Seeds of the raster as a frame; a test has a flat wall."""
+    g = grid(spark, d)
+    first = g.agg(F.min("y")).first()[0]
+    px = g.select("x", (F.col("y") - first).alias("y"), (1 + F.col("v") / 50000).alias("z"), "v")
+    s = texture.seeds(px, (18.0, 18.0, 11.5, 12.0), 8, 2, 10_000.0)
+    return s.select("x", "y", *[r6(F.col(c)).alias(c) for c in ("z", "scale_x", "scale_z", "qw")])

@@ -115,3 +115,53 @@ def sidecars(splats: DataFrame, group: str) -> DataFrame:
     x = splats.groupBy(group).agg(F.count("*").alias("count"), *bounds, F.round(F.avg("opacity"), 6).alias("opacity"))
     corner = lambda n: F.array(*[F.round(f"{n}_{c}", 6) for c in "xyz"])
     return x.select(group, F.to_json(F.struct("count", corner("min").alias("min"), corner("max").alias("max"), "opacity")).alias("json"))
+
+
+def write_bytes(spark: SparkSession, path: str, raw: bytes) -> None:
+    """One binary document, to any store that Spark writes."""
+    p, fs = _path(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(raw))
+    finally:
+        out.close()
+
+
+def rasters(spark: SparkSession, pixels: DataFrame, frame: str, folder: str, width: int, height: int) -> list[str]:
+    """Writes a raw little-endian 16-bit raster for each frame of (frame, x, y, d), 0 where there is none, and returns the paths.
+
+    Rasters are packed by frame in parallel and reach the driver one at a time.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def pack(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        raster = np.zeros((height, width), dtype="<u2")
+        raster[part["y"], part["x"]] = part["d"]
+        return pd.DataFrame({"name": [f"{int(key[0]):06}.u16"], "raw": [raster.tobytes()]})
+
+    paths = []
+    for r in pixels.select(frame, "x", "y", "d").groupBy(frame).applyInPandas(pack, "name string, raw binary").toLocalIterator():
+        paths.append(f"{folder}/{r['name']}")
+        write_bytes(spark, paths[-1], bytes(r["raw"]))
+    return sorted(paths)
+
+
+def initialization(points: DataFrame, path: str) -> None:
+    """What a training starts from: places, colours, log scales, turns and opacities, as Parquet."""
+    points.select("x", "y", "z", "r", "g", "b", "scale", "turn", "opacity").write.parquet(path)
+
+
+def first_sound(*makers: Callable[[], DataFrame]) -> DataFrame:
+    """The first of several strategies whose result has rows; one that fails counts as one without (X4, X19). The last one's error is raised."""
+    last: Exception | None = None
+    for make in makers:
+        try:
+            df = make()
+            if not df.isEmpty():
+                return df
+        except (PySparkException, Py4JJavaError, ValueError) as e:
+            last = e
+    if last is not None:
+        raise last
+    return df

@@ -139,3 +139,55 @@ def test_gates(spark):
 def test_views_of_one_place_tell_nothing(spark):
     assert spark.range(1).select(motion.view_score(F.lit(0.01), F.lit(1.0), F.lit(True), F.lit(1)).alias("s")).first()["s"] is None
     assert spark.range(1).select(motion.view_score(F.lit(0.5), F.lit(0.5), F.lit(True), F.lit(2000)).alias("s")).first()["s"] == pytest.approx(0.5 + 0.175 + 0.1 - 0.25)
+
+
+def test_seeds_of_a_flat_wall(spark):
+    px = spark.range(32 * 32).select((F.col("id") % 32).alias("x"), F.expr("id div 32").alias("y"), F.lit(2.0).alias("z"), F.lit(5.0).alias("v"))
+    rows = texture.seeds(px, (40.0, 40.0, 15.5, 15.5), 16).collect()
+    assert sorted((r["x"], r["y"]) for r in rows) == [(7, 7), (7, 23), (23, 7), (23, 23)]
+    assert all(r["scale_x"] == pytest.approx(0.4) and r["scale_z"] == pytest.approx(0.032) for r in rows)
+    for r in rows:  # the normal looks back along z
+        w, x, y, z = (r[f"q{c}"] for c in "wxyz")
+        assert 1 - 2 * (x * x + y * y) == pytest.approx(-1)
+
+
+def test_rational_lens(spark):
+    from plumbline.functions.geom import rational_lens
+
+    u, v = rational_lens(F.lit(0.4), F.lit(-0.2), [0.12, -0.03, 0.004, -0.002, 0.01, 0.08, -0.02, 0.005])
+    r2 = 0.2
+    radial = (1 + r2 * (0.12 + r2 * (-0.03 + r2 * 0.01))) / (1 + r2 * (0.08 + r2 * (-0.02 + r2 * 0.005)))
+    row = spark.range(1).select(u.alias("u"), v.alias("v")).first()
+    assert row["u"] == pytest.approx(0.4 * radial - 0.00064 - 0.00104) and row["v"] == pytest.approx(-0.2 * radial + 0.00112 + 0.00032)
+
+
+def test_packets():
+    import io
+
+    from plumbline.sources import packets
+
+    raw = packets.point_packet(b"PNTS", 7, 5, 30.0, np.array([[1.0, 2, 3]]), np.array([[4, 5, 6]]))
+    assert len(raw) == 39 and packets.read_point_packet(raw, b"PNTS")[0] == 7
+    for bad in (raw[:-1], raw + b"x", b"X" + raw[1:], raw[:10]):
+        with pytest.raises(ValueError):
+            packets.read_point_packet(bad, b"PNTS")
+    mesh = packets.mesh_packet(b"MESH", 1, np.arange(15.0).reshape(5, 3), np.zeros((5, 3)), np.array([[0, 2, 4]]), flip=True)
+    assert packets.MESH_HEADER.unpack_from(mesh) == (b"MESH", 1, 3, 3) and np.frombuffer(mesh[-12:], "<u4").tolist() == [2, 1, 0]
+    stream = b"".join(packets.write_message(b"MSGS", k, k + 10, bytes(k)) for k in range(3))
+    assert [(k, s, len(p)) for k, s, p in packets.read_messages(io.BytesIO(stream), b"MSGS")] == [(0, 10, 0), (1, 11, 1), (2, 12, 2)]
+    for bad in (stream[:-1], stream[:5], b"X" + stream[1:]):
+        with pytest.raises(ValueError):
+            list(packets.read_messages(io.BytesIO(bad), b"MSGS"))
+    with pytest.raises(ValueError):
+        list(packets.read_messages(io.BytesIO(packets.write_message(b"MSGS", 1, 1, b"12345")), b"MSGS", most=4))
+
+
+def test_first_sound_strategy(spark):
+    from plumbline.sources.publish import first_sound
+
+    def broken():
+        raise ValueError("no volume")
+
+    assert first_sound(broken, lambda: spark.range(0), lambda: spark.range(2)).count() == 2
+    with pytest.raises(ValueError):
+        first_sound(broken, lambda: spark.range(0))
