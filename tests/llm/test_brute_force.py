@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from plumbline.llm import components, lines, queries, scoring, shingles, suffixes, vectors
+from plumbline.llm import components, language, lines, queries, scoring, shingles, suffixes, vectors
 from plumbline.llm.bpe import table
 from plumbline.llm.counting import START, ChunkMap, TokenTransducer
 from plumbline.llm.encoding import PrefixEncoder
@@ -152,6 +152,95 @@ def test_language_model(spark, texts):
     assert bits / size < 3.2
 
 
+def test_languages_against_plain(spark, docs):
+    """Predictions are those of whole texts compressed block by block with each dictionary."""
+    import zstandard
+
+    learned = docs.where("crc32(cast(doc_id AS string)) % 3 <> 1 AND text IS NOT NULL AND lang IS NOT NULL AND length(text) > 0")
+    dictionaries = language.fit(learned, "text", "lang", "doc_id")
+    each = {k: zstandard.ZstdCompressor(level=language.LEVEL, dict_data=zstandard.ZstdCompressionDict(v, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False) for k, v in sorted(dictionaries.items())}
+    found = {r["doc_id"]: r for r in queries.op6_language_id(spark, DATA).collect()}
+    for r in docs.collect():
+        raw = (r["text"] or "").lower().encode()
+        size = {k: sum(len(c.compress(raw[i : i + language.BLOCK])) for i in range(0, len(raw), language.BLOCK)) for k, c in each.items()}
+        want = min(size, key=size.get) if any(c.isalpha() for c in r["text"] or "") else "und"
+        assert found[r["doc_id"]]["lang_pred"] == want
+        first, second = sorted(size.values())[:2] if size and raw else (1, 1)
+        if want != "und":
+            assert found[r["doc_id"]]["narrow"] == (1 - first / second < language.MARGIN)
+
+
+def plain_score(table, text):
+    """log2 probability of one text, decision by decision, in plain loops over symbols and blocks."""
+    p = np.clip(table, 1e-4, 1 - 1e-4)
+    stretched = np.clip(np.log(p / (1 - p)), -8, 8)
+    seq = [*text, scoring.END]
+    rows = [list(map(int, r)) for r in zip(*scoring.contexts(np.array(seq, np.int32), np.array([0, len(seq)])))]
+
+    def block(i):
+        n = 0
+        for size, low, high in scoring.BLOCKS:
+            n += min(max(i, low), high) // size - low // size
+        return n
+
+    class State:
+        def __init__(self):
+            self.w = {g: [scoring.WEIGHT] * 4 + [0.0] for g in (0, 1)}
+            self.hits = [scoring.BEGIN / (1 + math.exp(-(k - scoring.STEPS // 2) / 2)) for k in range(scoring.STEPS)]
+            self.seen = [scoring.BEGIN] * scoring.STEPS
+
+    total, states, held, now = 0.0, [State(), State()], [[], []], None
+
+    def adapt(state, decisions):
+        if decisions:
+            rate = 1 / (1 / scoring.RATE + len(decisions) / scoring.STEP)
+            for x, gate, error, bucket, bit in decisions:
+                for k in range(5):
+                    state.w[gate][k] += rate * error * (x[k] if k < 4 else 1)
+                state.seen[bucket] += 1
+                state.hits[bucket] += bit
+
+    for i, s in enumerate(seq):
+        if block(i) != now:
+            for state, decisions in zip(states, held):
+                adapt(state, decisions)
+            held, now = [[], []], block(i)
+        three = table[rows[i][2]].copy()
+        first = int(three.argmax())
+        three[first] = -1
+        second = int(three.argmax())
+        gate = int(rows[i][0] in (0x20, *range(9, 14)))
+        for d, guess in enumerate((first, second)):
+            x = [float(stretched[r, guess]) for r in rows[i]]
+            dot = min(8.0, max(-8.0, sum(a * b for a, b in zip(states[d].w[gate], [*x, 1]))))
+            q = 1 / (1 + math.exp(-dot))
+            bucket = scoring.STEPS // 2 + round(2 * dot)
+            mixed = (q + states[d].hits[bucket] / states[d].seen[bucket]) / 2
+            hit = s == guess
+            total += math.log2(mixed if hit else 1 - mixed)
+            held[d].append((x, gate, hit - q, bucket, hit))
+            if hit:
+                break
+        else:
+            total += math.log2(sum(w * table[r, s] / (1 - table[r, first] - table[r, second]) for w, r in zip(scoring.REST, rows[i])))
+    return total
+
+
+def test_mixing_against_plain(texts):
+    some = [(texts[i]["text"] or "").encode().lower() for i in sorted(texts)]
+    counts = np.zeros((scoring.ROWS, scoring.SYMBOLS))
+    for t in some[::2]:
+        seq, at = scoring.symbols(np.frombuffer(t, np.uint8), np.array([0, len(t)]))
+        for r in scoring.contexts(seq, at):
+            np.add.at(counts, (r, seq), 1)
+    table = scoring.shares(counts, counts[:256].sum(0))
+    picked = [t for t in some[1::2] if len(t) < 6000][:12] + [b"", b"a", b"\xff\x00 x"]
+    data, offsets = np.frombuffer(b"".join(picked), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in picked])])
+    found = scoring.Mixer(table).scores(data, offsets)
+    for t, f in zip(picked, found):
+        assert f == pytest.approx(plain_score(table, t), rel=2e-3, abs=1e-3)
+
+
 def test_mixing_is_a_distribution_and_adapts():
     """The probabilities of all texts of one byte and the empty one sum to 1 behind any beginning; slices change nothing; what repeats gets cheaper."""
     rng = np.random.default_rng(4)
