@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
-MODULES = ("points", "frames", "records", "live", "more", "surface", "views", "scalars", "gates", "motion", "texture", "flows", "archive")
+MODULES = ("points", "frames", "records", "live", "more", "surface", "views", "scalars", "gates", "motion", "texture", "flows", "archive", "scores")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
