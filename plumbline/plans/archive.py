@@ -337,3 +337,78 @@ def diffused_colours(spark, d):
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("node"), F.when(F.col("c_custkey") % 6 == 0, F.col("c_custkey").cast("double")).alias("value"))
     back = c.where("node % 6 > 0").select(F.col("node").alias("u"), (F.col("node") - 1).alias("v"))
     return diffuse(c, back).select("node", F.round("value", 4).alias("value"))
+
+
+@query("replayed_frames", f"WITH e AS (SELECT * FROM ({E}) WHERE user_id=3), f AS (SELECT event_id, t//1000 t, row_number() OVER (ORDER BY t, event_id)-1 number FROM e) SELECT event_id, number FROM f")
+def replayed_frames(spark, d):
+    """The frames of one user in order of time, rejected ones included; a test has turns."""
+    home = folder(spark)
+    e = events(spark, d).where("user_id = 3")
+    publish.replace_document(spark, f"{home}/phase.json", {k: v for k, v in MANIFEST.items() if k != "imu"})
+    e.select(F.col("event_id").alias("index"), F.col("event_id").alias("source_sequence"), F.col("t").alias("timestamp_us"), F.lit("x").alias("depth_path"), F.lit("x").alias("color_path")).write.option("header", True).csv(f"{home}/frames.csv")
+    e.select(F.to_json(F.struct(F.lit(1).alias("schemaVersion"), F.col("event_id").alias("sequence"), (F.col("event_type") != "error").alias("accepted")))).write.text(f"{home}/tracking.jsonl")
+    return phase.replayed(phase.phase(spark, home, include_rejected=True)).select(F.col("source_sequence").alias("event_id"), F.col("number").cast("long").alias("number"))
+
+
+@query("media_observations", "SELECT 'p'||doc_id image, CAST(n_chars AS DOUBLE) timestamp_s FROM documents WHERE doc_id<200 AND doc_id%3=0")
+def media_observations(spark, d):
+    """Of a manifest's sources those that stay in the project."""
+    home = folder(spark)
+    rows = table(spark, d, "documents").where("doc_id < 200").select("doc_id", "n_chars").collect()  # one manifest
+    at = lambda k: ("media/a.mp4", "../a.mp4", "/a.mp4")[k % 3]
+    publish.replace_document(spark, f"{home}/m.json", {"observations": [{"source": at(r[0]), "image": f"p{r[0]}", "timestampSeconds": float(r[1])} for r in rows]})
+    return phase.observations(spark, f"{home}/m.json").select("image", "timestamp_s")
+
+
+@query("located_projects", "SELECT CAST(n_nationkey AS VARCHAR) id FROM nation WHERE n_nationkey%4>0")
+def located_projects(spark, d):
+    """Projects whose own path is where they lie; a fourth were moved."""
+    home = folder(spark)
+    for r in table(spark, d, "nation").select("n_nationkey").collect():
+        k = r[0]
+        publish.replace_document(spark, f"{home}/{k}/project.json", {"schemaVersion": 3, "id": str(k), "path": f"{home}/{k}" if k % 4 else "/elsewhere"})
+    return phase.located(spark, home).select("id")
+
+
+@query("journal_sink", f"SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) r FROM ({E})) WHERE r<=16")
+def journal_sink(spark, d):
+    """K9: a stream's rows appended as JSON lines, the oldest of a full queue dropped."""
+    from plumbline.streaming.flows import to_journal
+
+    home = folder(spark)
+    table(spark, d, "events").select("user_id", "event_id").coalesce(1).write.parquet(f"{home}/in")  # one micro-batch
+    rows = spark.readStream.schema("user_id long, event_id long").parquet(f"{home}/in")
+    run = rows.writeStream.foreachBatch(to_journal(f"{home}/out", "user_id", "event_id", 16)).option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema("user_id long, event_id long").json(f"{home}/out").select("event_id")
+
+
+class _Tenth:
+    """A predictor for the query: a tenth more than what was measured, valid where the colour is bright."""
+
+    def __call__(self, depth, colour, lens):
+        return depth * 1.1 + lens[:, :1, None], colour[..., 0] > 0.5
+
+
+@query("predicted_depths", "SELECT vec_id, round(CASE WHEN e[5]>0 THEN abs(e[1])*1.1+1 ELSE 0 END,6) first, CAST(len(list_filter(e[5:8], lambda v: v>0)) AS BIGINT) valid FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) e FROM embeddings)")
+def predicted_depths(spark, d):
+    """I7 and the predictor's protocol: frames of 2 x 2 pixels through a caller's predictor."""
+    from plumbline.operators.extensions import predicted
+
+    v = lambda i: F.col("embedding")[i].cast("double")
+    bright = [F.when(v(4 + i) > 0, 1.0).otherwise(0.0) for i in range(4)]
+    f = table(spark, d, "embeddings").select("vec_id", F.array(*[F.abs(v(i)) for i in range(4)]).alias("depth"), F.array(*[b for b in bright for _ in range(3)]).alias("colour"), F.array(*map(F.lit, (1.0, 1.0, 0.5, 0.5))).alias("lens"))
+    out = predicted(f, "vec_id", _Tenth(), 2, 2)
+    return out.select("vec_id", r6(F.col("depth")[0]).alias("first"), F.size(F.filter("valid", lambda b: b)).cast("long").alias("valid"))
+
+
+@query("layered_invalidation", "WITH l AS (SELECT o_orderkey, l_linenumber, l_quantity<45 AND l_shipdate IS NOT NULL ok FROM orders JOIN lineitem ON l_orderkey=o_orderkey) SELECT o_orderkey, l_linenumber, CASE WHEN bool_and(ok) OVER (PARTITION BY o_orderkey ORDER BY l_linenumber RANGE UNBOUNDED PRECEDING) THEN 'kept' ELSE 'rebuild' END state FROM (SELECT o_orderkey, l_linenumber, bool_and(ok) ok FROM l GROUP BY 1,2)")
+def layered_invalidation(spark, d):
+    """R2: the lines of an order as layers; one that changed (a large quantity) is built again, and all behind it."""
+    from plumbline.operators.extensions import invalidated
+
+    x = table(spark, d, "lineitem").join(table(spark, d, "orders").select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    x = x.groupBy("o_orderkey", "l_linenumber").agg(F.bool_and((F.col("l_quantity") < 45) & F.col("l_shipdate").isNotNull()).alias("ok"))
+    wanted = x.select("o_orderkey", "l_linenumber", F.lit("new").alias("fp"))
+    stored = x.select("o_orderkey", "l_linenumber", F.when(F.col("ok"), "new").otherwise("old").alias("fp"))
+    return invalidated(wanted, stored, "o_orderkey", "l_linenumber", "fp")

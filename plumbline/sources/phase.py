@@ -143,3 +143,37 @@ def synthetic(spark: SparkSession, phases: int = 2, count: int = 10, width: int
     p = f.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(width * height - 1)))).withColumns({"x": F.col("i") % width, "y": F.expr(f"int(i div {width})")})
     d = F.floor(2100 + 120 * F.sin(F.col("x") / 6 + F.col("index") / 8) + 50 * F.cos(F.col("y") / 5)).cast("int")
     return frames_, p.select("phase", "index", "x", "y", d.alias("d"), F.expr(f"int(x * 255 div {width})").alias("r"), F.expr(f"int(y * 220 div {height})").alias("g"), (130 + 30 * F.col("phase")).alias("b"))
+
+
+def replayed(p: Phase) -> DataFrame:
+    """The frames of a phase in order of time, those that the journal rejected included (read with include_rejected), with the turn that the gyroscope saw since the frame before.
+
+    number: the place in the replay; rotation: nine numbers, null where there is no sound prior.
+    """
+    from pyspark.sql import Window
+
+    from plumbline.operators.motion import gyro_prior
+
+    w = Window.partitionBy("take").orderBy("timestamp_us", "index")
+    f = p.frames.withColumn("take", F.lit(0)).withColumn("before", F.lag("timestamp_us").over(w)).withColumn("number", F.row_number().over(w) - 1)
+    samples = p.imu.where("kind = 'gyro'").select(F.lit(0).alias("take"), F.col("ts_us").alias("t"), "x", "y", "z")
+    windows = f.where("before IS NOT NULL").select("take", "before", "timestamp_us")
+    found = gyro_prior(samples, windows, "take", "t", "before", "timestamp_us").dropDuplicates(["before", "timestamp_us"]).drop("take")
+    return f.drop("take").join(found, ["before", "timestamp_us"], "left").drop("before")
+
+
+def observations(spark: SparkSession, path: str) -> DataFrame:
+    """(source, image, timestamp_s) of a media manifest; sources whose path leads out of the project are left out."""
+    from plumbline.sources.readers import safe_path
+
+    raw = spark.read.option("multiLine", True).schema("observations array<struct<source:string,image:string,timestampSeconds:double>>").json(path)
+    o = raw.select(F.explode("observations").alias("o")).select("o.source", "o.image", F.col("o.timestampSeconds").alias("timestamp_s"))
+    return o.where(safe_path(F.col("source")) & safe_path(F.col("image")))
+
+
+def located(spark: SparkSession, path: str) -> DataFrame:
+    """(path, id) of project documents whose own `path` is the folder that they lie in."""
+    raw = spark.read.schema("schemaVersion int, id string, path string").option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "project.json").json(path)
+    at = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+|/[^/]*$", "")
+    given = F.regexp_replace(F.regexp_replace("path", "^file:", ""), "^/+|/+$", "")
+    return raw.withColumn("_at", at).where((F.col("schemaVersion") == 3) & (F.col("_at") == given)).select(F.col("_at").alias("path"), "id")

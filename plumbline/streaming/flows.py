@@ -147,3 +147,48 @@ def telemetry(rows: DataFrame, key: str, order: list[str], begins: Column, value
     x = rows.withColumn("solve", F.sum(F.coalesce(begins, F.lit(False)).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     own = Window.partitionBy(key, "solve").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return x.withColumn("attempts", F.count("*").over(own)).withColumn("best", F.max(value).over(own))
+
+
+def to_journal(folder: str, key: str, order: str, capacity: int = 512) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: appends a micro-batch's rows as JSON lines, at most `capacity` of each key, the oldest dropped (K9). A repeated batch replaces itself."""
+    from plumbline.streaming.live import latest_wins
+
+    def write(batch: DataFrame, number: int) -> None:
+        kept = latest_wins(batch, key, order, capacity).drop("dropped")
+        kept.select(F.to_json(F.struct(*kept.columns)).alias("value")).write.mode("overwrite").text(f"{folder}/batch={number}")
+
+    return write
+
+
+def until(run, flag: Callable[[], bool], seconds: float = 0.2) -> bool:
+    """Waits for a streaming query; stops it when the flag is raised (T19). Whether it ended by itself."""
+    while not run.awaitTermination(seconds):
+        if flag():
+            run.stop()
+            return False
+    return True
+
+
+class Heartbeat:
+    """While it is open, `beat` is called every so often with the seconds so far, from a thread of its own."""
+
+    def __init__(self, beat: Callable[[float], None], seconds: float = 1.0):
+        import threading
+
+        self._beat, self._seconds, self._done = beat, seconds, threading.Event()
+        self._thread = threading.Thread(target=self._run, daemon=True)
+
+    def _run(self) -> None:
+        import time
+
+        began = time.monotonic()
+        while not self._done.wait(self._seconds):
+            self._beat(time.monotonic() - began)
+
+    def __enter__(self) -> Heartbeat:
+        self._thread.start()
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        self._done.set()
+        self._thread.join()

@@ -191,3 +191,47 @@ def test_first_sound_strategy(spark):
     assert first_sound(broken, lambda: spark.range(0), lambda: spark.range(2)).count() == 2
     with pytest.raises(ValueError):
         first_sound(broken, lambda: spark.range(0))
+
+
+def test_strategies_fall_back(spark):
+    from plumbline.operators.extensions import by_strategy, predicted
+
+    heard = []
+
+    def broken(df):
+        raise RuntimeError("no device")
+
+    late = lambda df: df.select(F.raise_error(F.lit("late")).alias("id"))
+    out = by_strategy(spark.range(3), {"gpu": broken, "late": late, "cpu": lambda df: df}, on_fallback=lambda n, e: heard.append(n), on_done=heard.append)
+    assert out.count() == 3 and heard == ["gpu", "late", "cpu"]
+    with pytest.raises(RuntimeError):
+        by_strategy(spark.range(3), {"gpu": broken, "cpu": lambda df: df}, "gpu")
+    f = spark.createDataFrame([(1, [1.0] * 4, [0.0] * 12, [1.0] * 4)], "k int, depth array<double>, colour array<double>, lens array<double>")
+    with pytest.raises(Exception):
+        predicted(f, "k", lambda d, c, l: (d[:, :1], c[:, :1, :, 0] > 0), 2, 2).collect()
+
+
+def test_stop_and_heartbeat(spark, tmp_path):
+    import time
+
+    from plumbline.streaming.flows import Heartbeat, until
+
+    run = spark.readStream.format("rate").load().writeStream.foreachBatch(lambda b, n: None).option("checkpointLocation", str(tmp_path / "c")).start()
+    began = time.time()
+    assert not until(run, lambda: time.time() - began > 1) and not run.isActive
+    beats = []
+    with Heartbeat(beats.append, 0.05):
+        time.sleep(0.3)
+    n = len(beats)
+    time.sleep(0.15)
+    assert n >= 2 and len(beats) == n
+
+
+def test_replay_has_turns(spark):
+    from plumbline.sources.phase import Phase, replayed
+
+    frames = spark.createDataFrame([(0, 0, 0), (1, 1, 100_000), (2, 2, 900_000)], "index int, source_sequence long, timestamp_us long")
+    imu = spark.createDataFrame([(t, "gyro", 0.0, 0.0, 1.0, None) for t in (0, 50_000, 100_000)], "ts_us long, kind string, x double, y double, z double, temp_c double")
+    rows = replayed(Phase({}, frames, imu, None)).orderBy("number").collect()
+    assert [r["number"] for r in rows] == [0, 1, 2] and rows[0]["rotation"] is None and rows[2]["rotation"] is None
+    assert rows[1]["angle"] == pytest.approx(np.degrees(0.1))
