@@ -279,10 +279,11 @@ def laplacian_variance(spark, d):
 
 @query("ema_fold", f"WITH RECURSIVE r AS (SELECT user_id, value, row_number() OVER ({O}) i FROM ({E})), s AS (SELECT user_id, i, value m FROM r WHERE i=1 UNION ALL SELECT r.user_id, r.i, 0.995*s.m+0.005*r.value FROM s JOIN r ON r.user_id=s.user_id AND r.i=s.i+1) SELECT user_id, round(arg_max(m,i),6) ema FROM s GROUP BY 1")
 def ema_fold(spark, d):
-    """An ordered fold, seeded with the first value."""
-    x = events(spark, d).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("t", "event_id", "value"))).alias("a"))
-    fold = F.aggregate(F.slice("a", 2, F.greatest(F.size("a") - 1, F.lit(0))), F.col("a")[0]["value"], lambda m, v: 0.995 * m + 0.005 * v["value"])
-    return x.select("user_id", r6(fold).alias("ema"))
+    """Seeded with the first value; the fold as one sum of values times powers of the rate, so that no take is gathered."""
+    i, n = F.row_number().over(take()), F.count("*").over(Window.partitionBy("user_id"))
+    x = events(spark, d).select("user_id", "value", i.alias("i"), n.alias("n"))
+    share = F.pow(F.lit(0.995), F.col("n") - F.col("i")) * F.when(F.col("i") == 1, 1.0).otherwise(0.005)
+    return x.groupBy("user_id").agg(r6(F.sum(share * F.col("value"))).alias("ema"))
 
 
 @query("keyframe_select", f"WITH RECURSIVE r AS (SELECT user_id, event_id, t, value, row_number() OVER ({O}) i FROM ({E})), s AS (SELECT user_id, i, event_id, t kt, value kv, TRUE k FROM r WHERE i=1 UNION ALL SELECT r.user_id, r.i, r.event_id, CASE WHEN c THEN r.t ELSE kt END, CASE WHEN c THEN r.value ELSE kv END, c FROM (SELECT s.*, r.i ri, (r.t-kt>=3600000000 AND (abs(r.value-kv)>40 OR r.t-kt>=86400000000)) c FROM s JOIN r ON r.user_id=s.user_id AND r.i=s.i+1) s JOIN r ON r.user_id=s.user_id AND r.i=s.ri) SELECT event_id FROM s WHERE k")

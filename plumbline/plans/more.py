@@ -10,6 +10,7 @@ from plumbline.functions import geom
 from plumbline.operators import raster
 from plumbline.operators import relational as rel
 from plumbline.operators.graph import _written
+from plumbline.operators.quantiles import quantiles
 from plumbline.operators.selection import MAX_REFERENCES, nearest_references
 from plumbline.plans.catalogue import query, r6, table
 from plumbline.plans.frames import E, O, events, grid, take
@@ -40,8 +41,8 @@ def knn_spacing(spark, d):
     e = table(spark, d, "embeddings")
     n = nearest_references(e, rel.evenly_spaced(e, ["vec_id"], MAX_REFERENCES), "vec_id", "embedding", 2).withColumn("d2", F.round(F.col("dist") * F.col("dist"), 9))
     n = _written(n.where("d2 > 0").groupBy("vec_id").agg(F.sqrt(F.min("d2")).alias("s")))
-    q = n.agg(F.percentile("s", 0.02).alias("a"), F.percentile("s", 0.98).alias("b")).first()
-    return n.select("vec_id", F.round(geom.clip(F.col("s"), q["a"], q["b"]), 5).alias("spacing"))
+    low, high = quantiles(n, F.col("s"), [0.02, 0.98])
+    return n.select("vec_id", F.round(geom.clip(F.col("s"), low or 0.0, high or 0.0), 5).alias("spacing"))
 
 
 @query("outlier_filter_knn", f"WITH m AS (SELECT vec_id, avg(sqrt(d2)) a FROM ({NEAR.format(rows='TRUE', refs='TRUE')}) WHERE rank<=24 GROUP BY 1), t AS (SELECT avg(a)+2.2*stddev_pop(a) t FROM m) SELECT vec_id FROM m, t WHERE a<=t")

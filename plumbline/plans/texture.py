@@ -152,12 +152,13 @@ def manual_overrides(spark, d):
     return table(spark, d, "customer").join(o, "c_custkey", "left").select("c_custkey", F.coalesce("h", "c_acctbal").alias("x"), F.col("h").isNotNull().alias("manual"))
 
 
-@query("content_fingerprints", "SELECT source, count(*) n, substr(sha256(string_agg(h,'' ORDER BY doc_id)),1,16) fp FROM (SELECT source, doc_id, sha256(coalesce(text,'')||'|'||coalesce(lang,'')) h FROM documents) GROUP BY 1")
+@query("content_fingerprints", "SELECT source, CAST(sum(n) AS BIGINT) n, substr(sha256(string_agg(h,'' ORDER BY b)),1,16) fp FROM (SELECT source, doc_id//1048576 b, count(*) n, sha256(string_agg(h,'' ORDER BY doc_id)) h FROM (SELECT source, doc_id, sha256(coalesce(text,'')||'|'||coalesce(lang,'')) h FROM documents) GROUP BY 1,2) GROUP BY 1")
 def content_fingerprints(spark, d):
-    """One digest over the digests of a set's parts in order."""
+    """One digest over the digests of a set's parts in order, by ranges of a million ids first."""
     x = table(spark, d, "documents").select("source", "doc_id", F.sha2(F.concat(F.coalesce("text", F.lit("")), F.lit("|"), F.coalesce("lang", F.lit(""))), 256).alias("h"))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "h"))), lambda p: p["h"])  # a digest for each part of one set
-    return x.groupBy("source").agg(F.count("*").alias("n"), F.substring(F.sha2(F.array_join(parts, ""), 256), 1, 16).alias("fp"))
+    over = lambda k: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k, "h"))), lambda p: p["h"]), ""), 256)
+    ranges = x.groupBy("source", F.expr("doc_id div 1048576").alias("b")).agg(F.count("*").alias("n"), over("doc_id").alias("h"))
+    return ranges.groupBy("source").agg(F.sum("n").alias("n"), F.substring(over("b"), 1, 16).alias("fp"))
 
 
 @query("intrinsics", f"SELECT label, count(*) n, round(max(x)*1000,4) fx, round(max(y)*1000,4) fy FROM ({P}) GROUP BY 1")

@@ -31,3 +31,18 @@ def test_another_order(spark):
     d = spark.createDataFrame([(i, [float(i)]) for i in range(300)], "i long, v array<double>")
     found = selection.nearest_references(d, d, "i", "v", 3, lambda d2, own, ref: -d2)
     assert {(r["i"], r["rank"]): r["ref"] for r in found.where("i = 10").collect()} == {(10, 1): 299, (10, 2): 298, (10, 3): 297}
+
+
+def test_quantiles_beyond_what_a_task_sorts(spark, monkeypatch):
+    from plumbline.operators import quantiles as q
+
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=3000), np.full(2000, 0.25), [1e6, -1e6]])
+    d = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),)], "v double")
+    shares = [0.0, 0.02, 0.5, 0.55, 0.9, 0.999, 1.0]
+    whole = q.quantiles(d, d["v"], shares)
+    assert np.allclose(whole, np.quantile(x, shares))
+    monkeypatch.setattr(q, "SORTED", 500)
+    monkeypatch.setattr(q, "BINS", 16)
+    assert np.allclose(q.quantiles(d, d["v"], shares), np.quantile(x, shares))
+    assert q.quantiles(d.where("false"), d["v"], [0.5]) == [None]
