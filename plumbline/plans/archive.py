@@ -119,7 +119,8 @@ def obj_round_trip(spark, d):
     home = folder(spark)
     readers.obj_lines(t, v).orderBy("part", "key").select("line").coalesce(1).write.text(home)  # one document
     vertices, corners = readers.obj(spark, home)
-    return corners.agg((F.count("*") / 3).cast("long").alias("triangles"), F.countDistinct("vid").alias("vertices")).crossJoin(vertices.agg(F.round(F.sum("z"), 4).alias("total")))  # two rows of sums
+    c, total = corners.agg((F.count("*") / 3).cast("long"), F.countDistinct("vid")).first(), vertices.agg(F.round(F.sum("z"), 4)).first()
+    return spark.createDataFrame([(c[0], c[1], total[0])], "triangles long, vertices long, total double")
 
 
 @query("stream_round_trip", f"WITH f AS (SELECT DISTINCT f FROM ({DEPTHS})), p AS (SELECT f.f, x, y FROM f, range(24) a(x), range(8) b(y)) SELECT f AS sequence, count(*) FILTER (d>0) pixels, coalesce(sum(d),0) total FROM p LEFT JOIN ({DEPTHS}) q USING (f, x, y) GROUP BY 1")

@@ -113,8 +113,9 @@ def topology_report(spark, d):
     parts = connected_components(e, "lo", "hi")
     sums = e.agg(F.count("*").alias("edges"), F.count_if(F.col("n") == 1).alias("boundary"), F.count_if(F.col("n") > 2).alias("nonmanifold"))
     shape = parts.agg(F.count("*").alias("vertices"), F.countDistinct("component").alias("components"))
-    x = t.agg(F.count("*").alias("triangles")).crossJoin(sums).crossJoin(shape)  # three rows of sums
-    return x.select("triangles", "vertices", "edges", "boundary", "nonmanifold", "components", (F.col("vertices") - F.col("edges") + F.col("triangles")).alias("euler"))
+    s, p, n = sums.first(), shape.first(), t.count()
+    row = (n, p["vertices"], s["edges"], s["boundary"], s["nonmanifold"], p["components"], p["vertices"] - s["edges"] + n)
+    return spark.createDataFrame([row], "triangles long, vertices long, edges long, boundary long, nonmanifold long, components long, euler long")
 
 
 @query("merged_progress", f"WITH w AS (SELECT * FROM (VALUES ('view',0.0,0.5),('click',0.5,0.3),('purchase',0.8,0.2)) s(event_type,base,share)), p AS (SELECT user_id, event_id, t, base+share*least(1,greatest(0,coalesce(TRY_CAST(json_extract_string(props,'$.k') AS DOUBLE),0)/100)) v FROM ({E}) JOIN w USING (event_type)) SELECT event_id, round(max(v) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING),6) progress FROM p")

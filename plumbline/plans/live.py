@@ -21,13 +21,35 @@ def neighbor_topk(spark, d):
     return found.withColumn("dist", r6(F.col("dist")))
 
 
-@query("farthest_point_select")
+def _farthest(keep: int) -> str:
+    """A round a point; each holds every vector's least distance to what is chosen."""
+    d2 = "list_sum(list_transform(list_zip(e.e,c.e), lambda p: (p[1]-p[2])*(p[1]-p[2])))"
+    first = "e AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) e FROM embeddings), c0 AS MATERIALIZED (SELECT 0 step, vec_id, e FROM e ORDER BY vec_id LIMIT 1), c1 AS MATERIALIZED (SELECT 1 step, vec_id, e FROM e ORDER BY vec_id DESC LIMIT 1)"
+    parts = [first, f"l0 AS MATERIALIZED (SELECT e.vec_id, {d2} l FROM e, c0 c)", f"l1 AS MATERIALIZED (SELECT e.vec_id, least(l, {d2}) l FROM e JOIN l0 USING (vec_id), c1 c)"]
+    taken = "SELECT vec_id FROM c0 UNION ALL SELECT vec_id FROM c1"
+    for k in range(2, keep):
+        parts.append(f"c{k} AS MATERIALIZED (SELECT {k} step, vec_id, e FROM e JOIN l{k - 1} USING (vec_id) WHERE vec_id NOT IN ({taken}) ORDER BY l DESC, vec_id LIMIT 1)")
+        parts.append(f"l{k} AS MATERIALIZED (SELECT e.vec_id, least(l, {d2}) l FROM e JOIN l{k - 1} USING (vec_id), c{k} c)")
+        taken += f" UNION ALL SELECT vec_id FROM c{k}"
+    return "WITH " + ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT vec_id, step FROM c{k}" for k in range(keep))
+
+
+def _covered(keep: int) -> str:
+    """A round a brand; each holds the best score of every type so far."""
+    parts = ["s AS MATERIALIZED (SELECT p_brand, p_type, sum(p_size)/500 score FROM part GROUP BY 1,2)", "b0 AS MATERIALIZED (SELECT DISTINCT p_type, 0.0::DOUBLE best FROM s)"]
+    for k in range(keep):
+        parts.append(f"c{k} AS MATERIALIZED (SELECT {k} step, p_brand, round(sum(greatest(score,best)-best),9) gain FROM s JOIN b{k} USING (p_type) GROUP BY p_brand ORDER BY gain DESC, p_brand LIMIT 1)")
+        parts.append(f"b{k + 1} AS MATERIALIZED (SELECT p_type, greatest(best, coalesce(score,0)) best FROM b{k} LEFT JOIN (SELECT p_type, score FROM s JOIN c{k} USING (p_brand)) USING (p_type))")
+    return "WITH " + ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT step, p_brand, gain FROM c{k} WHERE gain>1e-8" for k in range(keep))
+
+
+@query("farthest_point_select", _farthest(40))
 def farthest_point_select(spark, d):
-    """L4: 40 vectors, a test holds them against a plain loop."""
-    return farthest_points(table(spark, d, "embeddings"), "vec_id", "embedding", 40)
+    """L4: 40 vectors."""
+    return farthest_points(table(spark, d, "embeddings"), "vec_id", "embedding", 40).withColumn("step", F.col("step").cast("int"))
 
 
-@query("greedy_coverage_select")
+@query("greedy_coverage_select", _covered(8))
 def greedy_coverage_select(spark, d):
     """Eight brands that cover part types best by their share of the size."""
     p = table(spark, d, "part").groupBy("p_brand", "p_type").agg((F.sum("p_size") / 500).alias("score"))

@@ -13,7 +13,7 @@ from plumbline.operators.graph import _written
 from plumbline.operators.quantiles import quantiles
 from plumbline.operators.selection import MAX_REFERENCES, nearest_references
 from plumbline.plans.catalogue import query, r6, table
-from plumbline.plans.frames import E, O, events, grid, take
+from plumbline.plans.frames import E, G, O, events, grid, take
 from plumbline.plans.points import KEYS, P, keyed, points
 
 D2 = "list_sum(list_transform(list_zip(a.e,b.e), lambda p: (p[1]-p[2])*(p[1]-p[2])))"
@@ -124,15 +124,38 @@ def ransac_plane_fixed(spark, d):
     return spark.createDataFrame([(best, row[f"h{best}"])], "k long, inliers long")
 
 
-@query("quadtree_cells")
+def _quadtree(size: int, least: int, variance: float) -> str:
+    parts, ended, rest = [f"p{size} AS (SELECT x, y, v FROM ({G}))"], [], size
+    while True:
+        cell = f"CAST(x//{rest}*{rest} AS BIGINT) x0, CAST(y//{rest}*{rest} AS BIGINT) y0"
+        split = f"(var>{variance} OR n<{rest * rest})" if rest > least else "FALSE"
+        parts.append(f"c{rest} AS MATERIALIZED (SELECT *, {split} split FROM (SELECT {cell}, count(*) n, avg(v) mean, coalesce(var_pop(v),0) var FROM p{rest} GROUP BY 1,2))")
+        ended.append(f"SELECT x0, y0, CAST({rest} AS BIGINT) size, n, round(mean,6) mean FROM c{rest} WHERE NOT split")
+        if rest <= least:
+            return "WITH " + ", ".join(parts) + " " + " UNION ALL ".join(ended)
+        parts.append(f"p{rest // 2} AS MATERIALIZED (SELECT x, y, v FROM p{rest} JOIN c{rest} ON x0=x//{rest}*{rest} AND y0=y//{rest}*{rest} WHERE split)")
+        rest //= 2
+
+
+def _smoothed(passes: int, weight: float) -> str:
+    best = "SELECT node, arg_max(label, (round(s,9), -label)) AS label FROM ({0}) GROUP BY 1"
+    parts = [f"g AS MATERIALIZED (SELECT CAST(y*24+x AS BIGINT) node FROM ({G}))", "sc AS MATERIALIZED (SELECT node, k AS label, ((node*7+k*5)%11)/10 score FROM g, range(4) l(k))", "ed AS MATERIALIZED (SELECT a.node u, b.node v FROM g a JOIN g b ON abs(a.node-b.node)=1)", "n0 AS MATERIALIZED (" + best.format("SELECT node, label, score s FROM sc") + ")"]
+    for k in range(2 * passes):
+        near = f"SELECT u node, label, count(*) w FROM ed JOIN n{k} ON n{k}.node=v GROUP BY 1,2"
+        scored = f"SELECT sc.node, sc.label, score+{weight}*coalesce(w,0) s FROM sc LEFT JOIN ({near}) q ON q.node=sc.node AND q.label=sc.label WHERE sc.node%2={k % 2}"
+        parts.append(f"n{k + 1} AS MATERIALIZED ({best.format(scored)} UNION ALL SELECT node, label FROM n{k} WHERE node%2<>{k % 2})")
+    return "WITH " + ", ".join(parts) + f" SELECT node, CAST(label AS INTEGER) AS label FROM n{2 * passes}"
+
+
+@query("quadtree_cells", _quadtree(16, 2, 10_000.0))
 def quadtree_cells(spark, d):
-    """A28 on the raster of events; a test holds it against a recursive version."""
-    return raster.quadtree(grid(spark, d), 16, 2, 10_000.0)
+    """A28 on the raster of events."""
+    return raster.quadtree(grid(spark, d), 16, 2, 10_000.0).withColumn("mean", r6(F.col("mean")))
 
 
-@query("label_smoothing")
+@query("label_smoothing", _smoothed(5, 0.42))
 def label_smoothing(spark, d):
-    """G8 on the raster of events, four labels; a test holds it against a plain loop."""
+    """G8 on the raster of events, four labels."""
     g = grid(spark, d).select((F.col("y") * 24 + F.col("x")).cast("long").alias("node"))
     scores = g.withColumn("label", F.explode(F.array(*map(F.lit, range(4))))).withColumn("score", F.pmod(F.col("node") * 7 + F.col("label") * 5, F.lit(11)) / 10)
     ends = g.withColumn("v", F.explode(F.array(F.col("node") + 1, F.col("node") - 1))).join(g.select(F.col("node").alias("v")), "v")

@@ -38,9 +38,17 @@ def calibrated_colours(spark, d):
     return texture.calibrated(px, gains, cells, "f", (24, 26), (4, 4)).select("x", "y", "v")
 
 
-@query("smoothed_fields")
+def _relaxed(rounds: int) -> str:
+    around = " OR ".join(f"(b.x=(a.x+{i})%16 AND b.y=(a.y+{j})%16)" for i, j in ((1, 0), (15, 0), (0, 1), (0, 15)))
+    parts = [f"c AS (SELECT y//16 f, x, y%16 y, v/100000-0.05 mean, CAST(trunc(v/500) AS INTEGER) n FROM ({G}) WHERE x<16)", "r0 AS MATERIALIZED (SELECT f, i.x, j.y, coalesce(mean,0) data, least(coalesce(n,0)/8,4) w, coalesce(mean,0) s FROM (SELECT DISTINCT f FROM c) k, range(16) i(x), range(16) j(y) LEFT JOIN c USING (f, x, y))".replace("FROM (SELECT DISTINCT f FROM c) k, range(16) i(x), range(16) j(y) LEFT JOIN c USING (f, x, y)", "FROM (SELECT f, i.x, j.y FROM (SELECT DISTINCT f FROM c) k, range(16) i(x), range(16) j(y)) i LEFT JOIN c USING (f, x, y)").replace("SELECT f, i.x, j.y, coalesce(mean", "SELECT f, x, y, coalesce(mean")]
+    for k in range(rounds):
+        parts.append(f"r{k + 1} AS MATERIALIZED (SELECT a.f, a.x, a.y, a.data, a.w, (a.w*a.data+1.5*avg(b.s))/(a.w+1.5) s FROM r{k} a JOIN r{k} b ON a.f=b.f AND ({around}) GROUP BY a.f, a.x, a.y, a.data, a.w)")
+    return "WITH " + ", ".join(parts) + f" SELECT f, CAST(x AS INTEGER) x, CAST(y AS INTEGER) y, round(greatest(-0.08,least(0.08,s)),6) spatial FROM r{rounds}"
+
+
+@query("smoothed_fields", _relaxed(24))
 def smoothed_fields(spark, d):
-    """Sixteen days and hours of the raster are a frame's field; a test holds it against a plain loop."""
+    """Sixteen days and hours of the raster are a frame's field."""
     g = grid(spark, d).where("x < 16").select(F.expr("y div 16").alias("f"), "x", (F.col("y") % 16).alias("y"), (F.col("v") / 100_000 - 0.05).alias("mean"), (F.col("v") / 500).cast("int").alias("n"))
     return texture.smoothed_fields(g, "f").withColumn("spatial", r6(F.col("spatial")))
 
@@ -94,15 +102,16 @@ def surface_frames(spark, d):
     return q.select("x", "y", F.round(4 * F.col("qw") * F.col("qw"), 5).alias("trace"))
 
 
-@query("edited_splats")
+@query("edited_splats", "WITH s AS (SELECT vec_id, abs(CAST(embedding[1] AS DOUBLE))+0.01 a, abs(CAST(embedding[2] AS DOUBLE))+0.01 b, abs(CAST(embedding[3] AS DOUBLE))+0.01 c, embedding[4]::DOUBLE w, embedding[5]::DOUBLE x, embedding[6]::DOUBLE y, embedding[7]::DOUBLE z FROM embeddings), n AS (SELECT *, w*w+x*x+y*y+z*z q FROM s) SELECT vec_id, round(a*a*(1+3*pow(1-2*(y*y+z*z)/q,2))+b*b*(1+3*pow(2*(x*y-z*w)/q,2))+c*c*(1+3*pow(2*(x*z+y*w)/q,2)),6) spread, round(4*a*a*b*b*c*c,9) volume FROM n")
 def edited_splats(spark, d):
-    """A stretch along one axis and a turn; a test holds the ellipsoids against their covariances."""
+    """A stretch along one axis and a turn: the sum and the product of the squared scales are the mapped covariance's trace and determinant; a test has the axes."""
     e = table(spark, d, "embeddings")
     v = lambda i: F.col("embedding")[i].cast("double")
     n = F.sqrt(sum((v(i) * v(i) for i in range(4, 7)), v(3) * v(3)))
     s = e.select("vec_id", F.array(*[F.abs(v(i)) + 0.01 for i in range(3)]).alias("scale"), F.array(*[v(i) / n for i in range(3, 7)]).alias("turn"))
     out = texture.edited_splats(s, "vec_id", [2.0, 0.0, 0.0, 0.0, 0.6, -0.8, 0.0, 0.8, 0.6])
-    return out.select("vec_id", F.transform("scale", lambda x: F.round(x, 6)).alias("scale"))
+    s = [F.col("scale")[i] * F.col("scale")[i] for i in range(3)]
+    return out.select("vec_id", r6(s[0] + s[1] + s[2]).alias("spread"), F.round(s[0] * s[1] * s[2], 9).alias("volume"))
 
 
 @query("splat_starts", "SELECT vec_id, round(a,6) a, round(ln(greatest(0.08*least(exp(a),exp(b)),5e-4)),6) c, round(ln(o/(1-o)),6) opacity FROM (SELECT vec_id, CAST(embedding[1] AS DOUBLE)*9-4 a, CAST(embedding[2] AS DOUBLE)*9-4 b, greatest(1e-4,least(1-1e-4,0.45*greatest(0,least(1,CAST(embedding[3] AS DOUBLE)*5)))) o FROM embeddings)")
