@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +22,26 @@ def shared_folder(spark: SparkSession) -> str:
     return shared or context.getCheckpointDir()
 
 
+_SCRATCH: list[tuple[SparkSession, str]] = []
+
+
+def _cleared() -> None:
+    """Deletes what scratch() named, while the session still runs."""
+    for spark, path in _SCRATCH:
+        with contextlib.suppress(Exception):  # the session may be gone
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _SCRATCH.clear()
+
+
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new folder in the shared one for what a result is read from; it goes when the program ends."""
+    if not _SCRATCH:
+        atexit.register(_cleared)
+    _SCRATCH.append((spark, f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"))
+    return _SCRATCH[-1][1]
+
+
 def _written(df: DataFrame) -> DataFrame:
     shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import geom, rigid
+from plumbline.operators.graph import _written
+from plumbline.operators.quantiles import quantiles
 from plumbline.operators.surface import half_edges, placed
 
 
@@ -78,8 +80,9 @@ def edge_weights(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
     x = x.join(at.select(F.col("vid").alias("lo"), F.col("p").alias("pl")), "lo").join(at.select(F.col("vid").alias("hi"), F.col("p").alias("ph")), "hi")
     length = geom.norm(*[F.col("ph")[i] - F.col("pl")[i] for i in range(3)])
     x = x.withColumn("_l", length).withColumn("_c", F.pow(geom.clip(rigid.dot([F.col("n1")[i] for i in range(3)], [F.col("n2")[i] for i in range(3)]), 0.0, 1.0), 4))
-    middle = F.broadcast(x.agg(F.greatest(F.median("_l"), F.lit(1e-8)).alias("_m")))  # one row
-    return x.crossJoin(middle).select("t1", "t2", "lo", "hi", (F.col("_c") * geom.clip(F.col("_l") / F.col("_m"), 0.25, 4.0)).alias("weight"))
+    x = _written(x.select("t1", "t2", "lo", "hi", "_l", "_c"))
+    middle = max(quantiles(x, F.col("_l"), [0.5])[0] or 0.0, 1e-8)
+    return x.select("t1", "t2", "lo", "hi", (F.col("_c") * geom.clip(F.col("_l") / middle, 0.25, 4.0)).alias("weight"))
 
 
 def label_switches(pairs: DataFrame, labels: DataFrame) -> Column | DataFrame:
@@ -205,11 +208,10 @@ def information(pairs: DataFrame, key: str) -> DataFrame:
 def undistorted(raster: DataFrame, frame: str, size: tuple[int, int], lens: tuple[float, float, float, float], k: tuple[float, float, float], p: tuple[float, float], values: list[str]) -> DataFrame:
     """(frame, x, y, values): a raster as a lens without distortion would have seen it (P7, P23). Pixels that look beyond the raster are left out: the rest is the valid mask."""
     fx, fy, cx, cy = lens
-    spark = raster.sparkSession
-    px = spark.range(size[0] * size[1]).select((F.col("id") % size[0]).alias("x"), F.expr(f"id div {size[0]}").alias("y"))
+    px = raster.select(frame).distinct().withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(size[0] * size[1] - 1).cast("long"))))
+    px = px.withColumn("x", F.col("_i") % size[0]).withColumn("y", F.expr(f"_i div {size[0]}")).drop("_i")
     u, v = geom.brown_lens((F.col("x") - cx) / fx, (F.col("y") - cy) / fy, k, p)
-    where = F.broadcast(px.withColumn("_u", u * fx + cx).withColumn("_g", v * fy + cy))  # one row a pixel of a frame
-    at = raster.select(frame).distinct().crossJoin(where)
+    at = px.withColumn("_u", u * fx + cx).withColumn("_g", v * fy + cy)
     return bilinear(at, raster, [frame], "_u", "_g", size, values).select(frame, "x", "y", *values)
 
 

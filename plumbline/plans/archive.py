@@ -4,13 +4,11 @@ from __future__ import annotations
 
 import json
 import struct
-import uuid
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from plumbline.operators.graph import shared_folder
-from plumbline.operators import relational as rel
+from plumbline.operators.graph import scratch
 from plumbline.plans.catalogue import query, r6, table
 from plumbline.plans.frames import E, G, events, grid
 from plumbline.plans.points import P, points
@@ -22,7 +20,7 @@ MANIFEST = {"schemaVersion": 3, "camera": LENS | {"depth_scale": 1000.0, "max_de
 
 
 def folder(spark) -> str:
-    return f"{shared_folder(spark)}/archive-{uuid.uuid4().hex}"
+    return scratch(spark, "archive")
 
 
 def written_phase(spark, d) -> str:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from plumbline.operators import motion
-from plumbline.operators.graph import connected_components, shared_folder
+from plumbline.operators.graph import connected_components, scratch
 from plumbline.operators.surface import half_edges
 from plumbline.plans.catalogue import query, r6, table
 from plumbline.plans.frames import E, O, events
@@ -66,7 +64,7 @@ def newest_packets(spark, d):
 @query("stream_counters", "SELECT user_id, count(*) processed, count(*) FILTER (event_type<>'error') accepted, count(*) FILTER (event_type='error') rejected, count(*) FILTER (value>50) integrated FROM events GROUP BY 1")
 def stream_counters(spark, d):
     """T16 on a stream: the events replayed, totals kept complete."""
-    home = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    home = scratch(spark, "stream")
     table(spark, d, "events").select("user_id", "event_type", "value").write.parquet(f"{home}/in")
     frames = spark.readStream.schema("user_id long, event_type string, value double").parquet(f"{home}/in")
     c = F.col("event_type")
@@ -79,7 +77,7 @@ def stream_counters(spark, d):
 @query("side_outputs", "SELECT event_type, count(*) n, round(sum(value),4) total FROM events WHERE event_type IN ('view','purchase') GROUP BY 1")
 def side_outputs(spark, d):
     """A stream's rows to a table for each kind."""
-    home = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    home = scratch(spark, "stream")
     table(spark, d, "events").select("event_type", "value").write.parquet(f"{home}/in")
     rows = spark.readStream.schema("event_type string, value double").parquet(f"{home}/in")
     run = rows.writeStream.foreachBatch(flows.to_sides(f"{home}/out", "event_type", ["view", "purchase"])).option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start()

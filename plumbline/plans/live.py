@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
-from plumbline.operators.graph import shared_folder
+from plumbline.operators.graph import scratch
 from plumbline.operators.selection import farthest_points, greedy_coverage, nearest_references
 from plumbline.plans.catalogue import query, r6, table
-from plumbline.plans.frames import E, O, events, take
+from plumbline.plans.frames import E, O, events
 from plumbline.streaming.live import latest_wins, tracker
 
 
@@ -66,7 +65,7 @@ def queue_latest_wins(spark, d):
 @query("stream_tracker", f"WITH RECURSIVE r AS (SELECT user_id, event_id, t, value, row_number() OVER ({O}) i FROM ({E})), s AS (SELECT user_id, i, event_id, t kt, value kv, TRUE k FROM r WHERE i=1 UNION ALL SELECT user_id, i, event_id, CASE WHEN c THEN t ELSE kt END, CASE WHEN c THEN value ELSE kv END, c FROM (SELECT r.user_id, r.i, r.event_id, r.t, r.value, s.kt, s.kv, (abs(r.value-s.kv)>40 OR r.t-s.kt>=86400000000) c FROM s JOIN r ON r.user_id=s.user_id AND r.i=s.i+1)) SELECT user_id, event_id, k integrated FROM s")
 def stream_tracker(spark, d):
     """T5 on a stream: the events table replayed from files, all that is available."""
-    home = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    home = scratch(spark, "stream")
     events(spark, d).select("user_id", "t", "event_id", "value").write.parquet(f"{home}/in")
     frames = spark.readStream.schema("user_id long, t long, event_id long, value double").parquet(f"{home}/in")
     run = tracker(frames, "user_id", 40.0, 86_400_000_000).writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start()

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import math
-import uuid
 
 from pyspark.sql import functions as F
 
 from plumbline.operators import poses, surface
 from plumbline.operators import relational as rel
-from plumbline.operators.graph import shared_folder
+from plumbline.operators.graph import scratch
 from plumbline.plans.catalogue import query, r6, table
 from plumbline.plans.frames import G, events, grid, take
 from plumbline.plans.points import P, points
@@ -152,7 +151,7 @@ def pose_graph(spark, d):
 @query("relocalising_tracker")
 def relocalising(spark, d):
     """T4 to T8 on a stream: takes of `events` that lose track and come back; tests hold the states against cases worked out by hand."""
-    home = f"{shared_folder(spark)}/recovery-{uuid.uuid4().hex}"
+    home = scratch(spark, "recovery")
     r = events(spark, d).select("user_id", "t", "value", F.row_number().over(take()).cast("long").alias("sequence"))
     still = _turned(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(0.0))
     moved = _turned(F.lit(0.0), F.lit(0.03), F.lit(0.0), F.lit(0.0))
