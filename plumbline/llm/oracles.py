@@ -91,13 +91,15 @@ SELECT doc_id, (SELECT count(*) FROM k WHERE a = doc_id) n_links, coalesce(m, do
 def substring_dedup() -> str:
     return r"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) h FROM documents),
-w AS (SELECT doc_id, unnest(range(len(h) // 2 - 49)) s, h FROM d WHERE len(h) >= 100),
-k AS (SELECT doc_id, s, md5_number(substr(h, 2 * s + 1, 100)) x FROM w),
+c AS (SELECT doc_id, h, unnest(range((len(h) // 2 + 462) // 512)) c FROM d WHERE len(h) >= 100),
+p AS (SELECT doc_id, c, substr(h, 1024 * c + 1, 1122) p FROM c),
+w AS (SELECT doc_id, c, p, unnest(range(least(512, len(p) // 2 - 49))) o FROM p),
+k AS (SELECT doc_id, 512 * c + o s, hash(substr(p, 2 * o + 1, 100)) x FROM w),
 f AS (SELECT x, min(doc_id) first FROM k GROUP BY 1),
 t AS (SELECT k.doc_id, s FROM k JOIN f USING (x) WHERE first < k.doc_id),
 i AS (SELECT *, s > lag(s) OVER o + 50 OR lag(s) OVER o IS NULL new FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY s)),
 j AS (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY s) span FROM i),
-p AS (SELECT doc_id, min(s) a, max(s) + 50 b FROM j GROUP BY doc_id, span),
-q AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) z FROM p),
+g AS (SELECT doc_id, min(s) a, max(s) + 50 b FROM j GROUP BY doc_id, span),
+q AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) z FROM g),
 r AS (SELECT doc_id, sum(b - a) n, count(*) spans, max(b) e, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) kept FROM q JOIN d USING (doc_id) GROUP BY 1)
 SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) n_bytes, CAST(coalesce(n, 0) AS BIGINT) n_removed, CAST(coalesce(spans, 0) AS BIGINT) n_spans, sha256(unhex(CASE WHEN r.doc_id IS NULL THEN h ELSE kept || substr(h, 2 * e + 1) END)) kept_sha256 FROM d LEFT JOIN r ON r.doc_id = d.doc_id"""
