@@ -106,3 +106,17 @@ def packed_splats(splats: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([sid, pa.array([raw[i : i + 32] for i in range(0, len(raw), 32)], type=pa.binary())], names=["sid", "packed"])
 
     return splats.select(F.col("sid").cast("long"), "position", "scale", "opacity", "colour", "turn").mapInArrow(run, "sid long, packed binary")
+
+
+def unpacked_splats(packed: DataFrame) -> DataFrame:
+    """(sid, position, scale, colour, turn) of packed_splats: scales as they are, colour and opacity as four bytes, the turn as four bytes (M14). A record of another length fails."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = b.column(1).to_pylist()
+            if any(len(r) != SPLAT.itemsize for r in raw):
+                raise ValueError("a splat has 32 bytes")
+            x = np.frombuffer(b"".join(raw), dtype=SPLAT)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x[c].astype(np.float64 if c in ("position", "scale") else np.int32).tolist(), pa.list_(pa.float64() if c in ("position", "scale") else pa.int32())) for c in SPLAT.names]], names=["sid", *SPLAT.names])
+
+    return packed.select("sid", "packed").mapInArrow(run, "sid long, position array<double>, scale array<double>, colour array<int>, turn array<int>")

@@ -169,9 +169,11 @@ def halfspace_polygon_clip(spark, d):
     return raster.clip_triangles(t, [-0.1, -0.1, -0.1], [0.1, 0.1, 0.1])
 
 
-@query("splat_pack")
+@query("splat_pack", "WITH s AS (SELECT vec_id sid, CAST(embedding AS DOUBLE[]) e FROM embeddings), q AS (SELECT *, sqrt(e[11]**2+e[12]**2+e[13]**2+e[14]**2) l FROM s) SELECT sid, round(CAST(e[1] AS FLOAT)::DOUBLE,5) x, round(CAST(exp(e[4]) AS FLOAT)::DOUBLE,5) sx, CAST(round_even(greatest(0,least(1,e[8]))*255,0) AS INTEGER) red, CAST(round_even(255/(1+exp(-e[7])),0) AS INTEGER) opacity, CAST(round_even(greatest(0,least(255,e[14]/greatest(l,1e-12)*128+128)),0) AS INTEGER) qz FROM q")
 def splat_pack(spark, d):
-    """K7: 32 bytes a splat, as hex digits."""
+    """32 bytes a splat, and back."""
     e = table(spark, d, "embeddings")
     s = e.select(F.col("vec_id").alias("sid"), *[F.slice("embedding", a, n).alias(c) for a, n, c in ((1, 3, "position"), (4, 3, "scale"), (8, 3, "colour"), (11, 4, "turn"))], F.col("embedding")[6].alias("opacity"))
-    return raster.packed_splats(s).select("sid", F.hex("packed").alias("packed"))
+    u = raster.unpacked_splats(raster.packed_splats(s))
+    place = lambda c: F.round(F.col(c)[0], 5)
+    return u.select("sid", place("position").alias("x"), place("scale").alias("sx"), F.col("colour")[0].alias("red"), F.col("colour")[3].alias("opacity"), F.col("turn")[3].alias("qz"))
