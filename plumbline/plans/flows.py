@@ -27,13 +27,30 @@ def chosen(spark, d):
     return e, flows.keyframes(e, "user_id", ["event_id", "t", "sharpness", "value"], _measure)
 
 
-@query("media_keyframes")
+def _why(elapsed: str, off: str) -> str:
+    return f"CASE WHEN {elapsed}<0.125 THEN NULL WHEN {elapsed}>=2 THEN 'maximum_gap' WHEN {off}<90 THEN CASE WHEN greatest(0,1-{off}/100)<=0.72 THEN 'tracked_overlap' WHEN {off}/2000>=0.055 THEN 'camera_motion' WHEN {off}/800>=0.12 THEN 'parallax' END WHEN {off}/1000>=0.12 THEN 'visual_change' END"
+
+
+#: A row for each frame: the reference r, the frame p that waits and its overlap, and what the frame has brought about: a guard g, a choice c.
+KEYFRAMES = (
+    "WITH RECURSIVE f AS MATERIALIZED (SELECT user_id u, event_id e, t/14400000000.0 t, value v, 100-event_id%60 s, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) i, count(*) OVER (PARTITION BY user_id) n FROM (" + E + ")), "
+    "k AS (SELECT u, i, t rt, v rv, NULL::BIGINT pe, NULL::DOUBLE pt, NULL::DOUBLE pv, NULL::BIGINT ps, NULL::DOUBLE po, NULL::BIGINT ge, NULL::VARCHAR gr, NULL::DOUBLE go, e ce, 'first_frame' cr, NULL::DOUBLE co FROM f WHERE i=1 UNION ALL "
+    "SELECT u, i, CASE WHEN w IS NOT NULL THEN t ELSE r2 END, CASE WHEN w IS NOT NULL THEN v ELSE v2 END, CASE WHEN w IS NULL THEN e END, CASE WHEN w IS NULL THEN t END, CASE WHEN w IS NULL THEN v END, CASE WHEN w IS NULL THEN s END, CASE WHEN w IS NULL THEN greatest(0,1-abs(v-v2)/100) END, CASE WHEN og OR sg THEN pe END, CASE WHEN og THEN 'overlap_guard' WHEN sg THEN 'sharpness_guard' END, CASE WHEN og OR sg THEN po END, CASE WHEN w IS NOT NULL THEN e END, w, CASE WHEN w IS NOT NULL THEN greatest(0,1-abs(v-v2)/100) END "
+    f"FROM (SELECT *, CASE WHEN sg THEN {_why('(t-r2)', 'abs(v-v2)')} ELSE w1 END w FROM (SELECT *, CASE WHEN sg THEN pt ELSE r1 END r2, CASE WHEN sg THEN pv ELSE v1 END v2 FROM "
+    "(SELECT *, w1 IS NOT NULL AND ready AND NOT og AND abs(pv-rv)<90 AND po>=0.5 AND s<0.7*ps sg FROM "
+    f"(SELECT *, {_why('(t-r1)', 'abs(v-v1)')} w1 FROM (SELECT *, CASE WHEN og THEN pt ELSE rt END r1, CASE WHEN og THEN pv ELSE rv END v1 FROM "
+    "(SELECT *, abs(v-rv)<90 AND greatest(0,1-abs(v-rv)/100)<0.5 AND ready og FROM (SELECT k.rt, k.rv, k.pe, k.pt, k.pv, k.ps, k.po, f.u, f.i, f.e, f.t, f.v, f.s, k.pe IS NOT NULL AND k.pt-k.rt>=0.125 ready FROM k JOIN f ON f.u=k.u AND f.i=k.i+1)))))))), "
+    "o AS (SELECT u user_id, ge event_id, gr reason, go AS overlap FROM k WHERE ge IS NOT NULL UNION ALL SELECT u, ce, cr, co FROM k WHERE ce IS NOT NULL UNION ALL SELECT k.u, pe, 'last_frame', po FROM k JOIN f ON f.u=k.u AND f.i=k.i WHERE f.i=f.n AND pe IS NOT NULL AND pt-rt>=0.125) "
+)
+
+
+@query("media_keyframes", KEYFRAMES + "SELECT user_id, event_id, reason, round(overlap,6) AS overlap FROM o")
 def media_keyframes(spark, d):
-    """Keyframes with look-back, four hours as a second; tests hold the rules on made-up takes."""
+    """Keyframes with look-back, four hours as a second."""
     return chosen(spark, d)[1].withColumn("overlap", r6(F.col("overlap")))
 
 
-@query("frame_statistics")
+@query("frame_statistics", KEYFRAMES + """, r AS (SELECT user_id, '{'||string_agg('"'||reason||'":'||n, ',' ORDER BY reason)||'}' reasons FROM (SELECT user_id, reason, count(*) n FROM o GROUP BY 1,2) GROUP BY 1), q AS (SELECT user_id, count(*) sel, median(overlap) med, min(overlap) low FROM o GROUP BY 1), a AS (SELECT user_id, count(*) evaluated FROM events GROUP BY 1) SELECT user_id, evaluated, sel selected, evaluated-sel redundant, reasons, round(med,6) median_overlap, round(low,6) least_overlap FROM a JOIN q USING (user_id) JOIN r USING (user_id)""")
 def frame_statistics(spark, d):
     """A32."""
     e, c = chosen(spark, d)
