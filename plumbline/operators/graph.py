@@ -85,11 +85,30 @@ def diffuse(values: DataFrame, edges: DataFrame, rounds: int = 16) -> DataFrame:
     return now
 
 
+def _gains_in_place(sums: DataFrame, tolerance: float = 1e-10, rounds: int = 1000) -> DataFrame:
+    """(frame, gain) by conjugate gradients over the normal equations (i, j, w, d): a round is a join and three sums, its vectors are written to the shared folder.
+
+    The residuals have no part along the constants of a group of frames that overlap, so every group's mean stays 0.
+    """
+    x = _written(sums.groupBy("i").agg(F.sum("w").alias("w"), F.sum("d").alias("r")).select("i", "w", F.lit(0.0).alias("x"), "r", F.col("r").alias("p")))
+    rr = first = x.agg(F.sum(F.col("r") * F.col("r"))).first()[0] or 0.0
+    for _ in range(rounds):
+        if rr <= tolerance * tolerance * first or not rr:
+            break
+        across = sums.join(x.select(F.col("i").alias("j"), F.col("p").alias("q")), "j").groupBy("i").agg(F.sum(F.col("w") * F.col("q")).alias("s"))
+        y = _written(x.join(across, "i").withColumn("ap", F.col("w") * F.col("p") - F.col("s")).drop("s"))
+        step = rr / y.agg(F.sum(F.col("p") * F.col("ap"))).first()[0]
+        y = y.withColumn("x", F.col("x") + step * F.col("p")).withColumn("r", F.col("r") - step * F.col("ap"))
+        now = y.agg(F.sum(F.col("r") * F.col("r"))).first()[0]
+        x, rr = _written(y.withColumn("p", F.col("r") + now / rr * F.col("p")).drop("ap")), now
+    return x.select(F.col("i").alias("frame"), F.col("x").alias("gain"))
+
+
 def gain_fit(overlaps: DataFrame, most: int = 4096) -> DataFrame:
     """(frame, gain): gains with gain[i] - gain[j] nearest to `offset` over all rows (i, j, offset, weight), by weight.
 
     Each group of frames that overlap has a mean gain of 0 (the solution of least norm). Rows with a null or i = j do not count. Spark adds
-    up the normal equations; they are solved dense on the driver, so there may be `most` frames, 128 MB; ValueError beyond.
+    up the normal equations; those of up to `most` frames (128 MB) are solved dense on the driver, larger ones by rounds in place.
     """
     import numpy as np
 
@@ -98,7 +117,7 @@ def gain_fit(overlaps: DataFrame, most: int = 4096) -> DataFrame:
     sums = _written(rows.select("i", "j", "offset", "weight").unionByName(swapped).groupBy("i", "j").agg(F.sum("weight").alias("w"), F.sum(F.col("weight") * F.col("offset")).alias("d")))
     frames = [r[0] for r in sums.select("i").distinct().orderBy("i").limit(most + 1).collect()]
     if len(frames) > most:
-        raise ValueError("too many frames for one fit")
+        return _gains_in_place(sums)
     at = {f: k for k, f in enumerate(frames)}
     normal, right = np.zeros((len(at), len(at))), np.zeros(len(at))
     for r in sums.toLocalIterator():

@@ -165,3 +165,28 @@ def first_sound(*makers: Callable[[], DataFrame]) -> DataFrame:
     if last is not None:
         raise last
     return df
+
+
+def splat_document(spark: SparkSession, splats: DataFrame, path: str) -> int:
+    """One binary PLY document of any number of splats, in order of sid, written as its rows arrive; their number (K6)."""
+    import struct
+
+    from plumbline.sources.binary import SPLAT, splat_rows
+
+    rows = splat_rows(splats)
+    n = rows.count()
+    pack = struct.Struct(f"<{len(SPLAT)}f")
+    p, fs = _path(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray((f"ply\nformat binary_little_endian 1.0\nelement vertex {n}\n" + "".join(f"property float {c}\n" for c in SPLAT) + "end_header\n").encode()))
+        held = bytearray()
+        for r in rows.orderBy("sid").select(*SPLAT).toLocalIterator():
+            held += pack.pack(*r)
+            if len(held) > 1 << 20:
+                out.write(held)
+                held = bytearray()
+        out.write(held)
+    finally:
+        out.close()
+    return n

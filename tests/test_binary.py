@@ -85,3 +85,11 @@ def test_text_sinks(spark, tmp_path):
     assert [r["json"] for r in readers.preview(p, ["i"], 3).orderBy("i").collect()] == ["[0.0,0.0,0.0,1.0,2.0,3.0]", "[1.33333,0.0,0.0,1.0,2.0,3.0]", "[2.66667,0.0,0.0,1.0,2.0,3.0]"]
     c = spark.createDataFrame([(1, "f", [1 / 3] * 16, 1.0, 2.0, 3.0, 1 / 3)], "i int, name string, pose array<double>, fx double, fy double, cx double, cy double")
     assert '"cy":0.33333333' in readers.camera_poses(c, "i").first()["json"]
+
+
+def test_splat_document_as_it_arrives(spark, tmp_path):
+    from plumbline.sources import publish
+
+    df = spark.createDataFrame([(i, [float(i), 0.0, 0.0], [0.1] * 3, None, 0.5, [-1.0] * 3, [1.0, 0.0, 0.0, 0.0]) for i in (3, 1, 2)], "sid long, position array<double>, sh0 array<double>, rest array<array<double>>, opacity double, scale array<double>, turn array<double>")
+    assert publish.splat_document(spark, df, str(tmp_path / "s.ply")) == 3
+    assert (tmp_path / "s.ply").read_bytes() == binary.splat_ply(df)
