@@ -13,15 +13,16 @@ MAX_ROUNDS = 60
 def _stars(links: DataFrame, small: bool) -> DataFrame:
     """small: every node's neighbours up to itself move to the least of them; else every larger neighbour does.
 
-    links: (a, b) with a > b. The least neighbour is aggregated in part before the shuffle, and the
-    join that brings it back can be split by adaptive execution where a node is hot.
+    links: (a, b) with a > b. The least neighbour is aggregated in part before the shuffle and
+    written, so that both sides of the join that brings it back are plain shuffles, which adaptive
+    execution splits where a node is hot.
     """
     if small:
-        least = links.groupBy("a").agg(F.min("b").alias("m"))
+        least = cut(links.groupBy("a").agg(F.min("b").alias("m")))
         joined = links.join(least, "a")
         return joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
