@@ -175,7 +175,9 @@ def plain_score(table, text):
     p = np.clip(table, 1e-4, 1 - 1e-4)
     stretched = np.clip(np.log(p / (1 - p)), -8, 8)
     seq = [*text, scoring.END]
-    rows = [list(map(int, r)) for r in zip(*scoring.contexts(np.array(seq, np.int32), np.array([0, len(seq)])))]
+    before, rows = scoring.contexts(np.array(seq, np.int32), np.array([0, len(seq)]))
+    rows = [list(map(int, r)) for r in zip(*rows)]
+    last = len(scoring.BITS)
 
     def block(i):
         n = 0
@@ -185,7 +187,7 @@ def plain_score(table, text):
 
     class State:
         def __init__(self):
-            self.w = {g: [scoring.WEIGHT] * 4 + [0.0] for g in (0, 1)}
+            self.w = {g: [scoring.WEIGHT] * last + [0.0] for g in (0, 1)}
             self.hits = [scoring.BEGIN / (1 + math.exp(-(k - scoring.STEPS // 2) / 2)) for k in range(scoring.STEPS)]
             self.seen = [scoring.BEGIN] * scoring.STEPS
 
@@ -195,8 +197,8 @@ def plain_score(table, text):
         if decisions:
             rate = 1 / (1 / scoring.RATE + len(decisions) / scoring.STEP)
             for x, gate, error, bucket, bit in decisions:
-                for k in range(5):
-                    state.w[gate][k] += rate * error * (x[k] if k < 4 else 1)
+                for k in range(last + 1):
+                    state.w[gate][k] += rate * error * (x[k] if k < last else 1)
                 state.seen[bucket] += 1
                 state.hits[bucket] += bit
 
@@ -205,11 +207,11 @@ def plain_score(table, text):
             for state, decisions in zip(states, held):
                 adapt(state, decisions)
             held, now = [[], []], block(i)
-        three = table[rows[i][2]].copy()
+        three = table[rows[i][1]].copy()
         first = int(three.argmax())
         three[first] = -1
         second = int(three.argmax())
-        gate = int(rows[i][0] in (0x20, *range(9, 14)))
+        gate = int(before[i] in (0x20, *range(9, 14)))
         for d, guess in enumerate((first, second)):
             x = [float(stretched[r, guess]) for r in rows[i]]
             dot = min(8.0, max(-8.0, sum(a * b for a, b in zip(states[d].w[gate], [*x, 1]))))
@@ -231,7 +233,7 @@ def test_mixing_against_plain(texts):
     counts = np.zeros((scoring.ROWS, scoring.SYMBOLS))
     for t in some[::2]:
         seq, at = scoring.symbols(np.frombuffer(t, np.uint8), np.array([0, len(t)]))
-        for r in scoring.contexts(seq, at):
+        for r in scoring.contexts(seq, at)[1]:
             np.add.at(counts, (r, seq), 1)
     table = scoring.shares(counts, counts[:256].sum(0))
     picked = [t for t in some[1::2] if len(t) < 6000][:12] + [b"", b"a", b"\xff\x00 x"]
