@@ -89,7 +89,7 @@ def near_vectors(
     key: str = "vec_id",
     vector: str = "embedding",
     threshold: float = 0.9,
-    margin: float = 0.2,
+    margin: float = 0.15,
     cell_rows: int = 256,
     max_cells: int = 4096,
     sample: int = 16_384,
