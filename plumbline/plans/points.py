@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import geom
-from plumbline.operators.quantiles import quantiles
+from plumbline.operators.quantiles import SORTED, quantiles
 from plumbline.operators.relational import best_per_key
 from plumbline.plans.catalogue import query, r6, table
 
@@ -67,9 +67,11 @@ def box_clip(spark, d):
 def scene_scale_p90(spark, d):
     """The 90th percentile of the distance to the median of each axis."""
     p = points(spark, d)
+    if p.count() <= SORTED:  # two aggregates; beyond, the same numbers by histograms
+        m = p.agg(*[F.median(n).alias(n) for n in "xyz"]).first()
+        off = geom.norm(*[F.col(n) - F.lit(m[n]) for n in "xyz"])
+        return p.agg(r6(F.greatest(F.percentile(off, 0.9), F.lit(0.001))).alias("scale"))
     middle = [quantiles(p, F.col(n), [0.5])[0] for n in "xyz"]
-    if middle[0] is None:
-        return spark.createDataFrame([], "scale double")
     far = quantiles(p, geom.norm(*[F.col(n) - F.lit(m) for n, m in zip("xyz", middle)]), [0.9])[0]
     return spark.createDataFrame([(max(far, 0.001),)], "scale double").select(r6("scale").alias("scale"))
 
