@@ -255,7 +255,8 @@ def preview_points(spark, d):
     """K3, L2: a hundred evenly spaced points, and back."""
     p = points(spark, d).select("vec_id", "x", "y", "z", *[F.col("label").alias(c) for c in "rgb"])
     at = lambda i: F.get_json_object("json", f"$[{i}]").cast("double")
-    return readers.preview(p, ["vec_id"], 100).select("vec_id", F.round(at(0), 4).alias("x"), at(3).alias("r"))
+    x = F.signum(at(0)) * F.floor(F.abs(at(0) * 1e4) + 0.5) / 1e4  # as SQL rounds: the double times 10000, not its decimal digits
+    return readers.preview(p, ["vec_id"], 100).select("vec_id", x.alias("x"), at(3).alias("r"))
 
 
 @query("splat_sidecars", f"SELECT label, count(*) n, round(min(x),6) AS low, round(max(z),6) AS high FROM ({P}) GROUP BY 1")

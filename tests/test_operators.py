@@ -3,6 +3,7 @@
 import math
 import struct
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from plumbline.functions import geom
 from plumbline.operators import relational as rel
 from plumbline.operators.graph import connected_components
 from plumbline.operators.selection import farthest_points, greedy_coverage, nearest_references
+from plumbline.plans import catalogue
 from plumbline.sources import readers, store
 from plumbline.streaming.live import integrate, latest_wins
 
@@ -98,6 +100,36 @@ def test_relational(spark):
         assert rel.interval_join(r, w, "k", "t", "a", "b", bucket).count() == 5
 
 
+def test_places_of_rows_wider_than_their_keys(spark):
+    """Ranges of wide rows are merged otherwise than ranges of the same rows' keys."""
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        rows = spark.range(40_000).withColumn("wide", F.sha2(F.col("id").cast("string"), 512))
+        got = rel._numbered(rows.repartition(8), ["id"]).select("id", "_i", "_n", "wide").collect()
+        assert len(got) == 40_000 and all(r["_i"] == r["id"] and r["_n"] == 40_000 for r in got)
+        docs = rows.select("id", "wide").where("id < 30000").repartition(8)
+        assert sorted(r["id"] for r in rel.evenly_spaced(docs, ["id"], 100).collect()) == [q * 29_999 // 99 for q in range(100)]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
+def test_training_order_has_every_step_once(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "140k")
+    try:
+        spark.range(40_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "en").otherwise("de").alias("lang")).write.parquet(f"{tmp_path}/documents.parquet")
+        got = catalogue.queries()["training_order"](spark, str(tmp_path)).select("step").collect()
+        assert sorted(r["step"] for r in got) == list(range(len(got))) and len(got) == 4 * 2 * 26_666
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
+def test_preview_rounds_as_sql(spark, tmp_path):
+    spark.createDataFrame([(0, [-0.08385, 0.0, 0.0, 0.0, 0.0], 1)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert [tuple(r) for r in catalogue.queries()["preview_points"](spark, str(tmp_path)).collect()] == c.sql(catalogue.oracle_sql()["preview_points"]).fetchall()
+
+
 def test_queue_and_gate(spark):
     q = spark.createDataFrame([(1, s) for s in (1, 2, 3)], "k int, s int")
     assert sorted((r["s"], r["dropped"]) for r in latest_wins(q, "k", "s", 2).collect()) == [(2, 1), (3, 1)]
