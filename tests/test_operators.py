@@ -114,13 +114,16 @@ def test_places_of_rows_wider_than_their_keys(spark):
 
 
 def test_training_order_has_every_step_once(spark, tmp_path):
-    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "140k")
+    merged = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "260k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    for k, v in merged.items():
+        spark.conf.set(k, v)
     try:
         spark.range(40_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "en").otherwise("de").alias("lang")).write.parquet(f"{tmp_path}/documents.parquet")
         got = catalogue.queries()["training_order"](spark, str(tmp_path)).select("step").collect()
         assert sorted(r["step"] for r in got) == list(range(len(got))) and len(got) == 4 * 2 * 26_666
     finally:
-        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+        for k in merged:
+            spark.conf.unset(k)
 
 
 def test_preview_rounds_as_sql(spark, tmp_path):
