@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import geom, rigid
 from plumbline.operators.relational import interval_join
 
+#: Views in a block of a search for neighbours, and rows of a block that are compared at once.
+VIEWS, ROWS = 4096, 128
+
 IDENTITY = "array(1D, 0D, 0D, 0D, 1D, 0D, 0D, 0D, 1D)"
 
 
@@ -130,24 +136,63 @@ def view_score(distance: Column, forward_dot: Column, same_phase: Column, apart:
     return F.when(~((distance < 0.012) & (forward_dot > 0.9999)), score)
 
 
+def _nearest_views(mine: pa.Table, others: pa.Table, centre: int, k: int) -> pa.Table:
+    """The k nearest of `others` for each of `mine`: tables of project, _k (key), _p (phase), _i (index), _v (numbers, of them `centre` a place)."""
+    others = others.take(pc.sort_indices(others["_k"]))  # columns by key, so that ties go by key
+    keys, phases = (pa.chunked_array([*mine[c].chunks, *others[c].chunks], mine[c].type).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy() for c in ("_k", "_p"))
+    n, m, width = mine.num_rows, others.num_rows, len(mine["_v"][0]) if mine.num_rows else 0
+    v, w = (np.array(t["_v"].to_pylist(), dtype=np.float64).reshape(t.num_rows, width) for t in (mine, others))
+    i, j = (t["_i"].to_numpy() for t in (mine, others))
+    found: list[tuple] = []
+    for at in range(0, n if m else 0, ROWS):
+        x, own = v[at : at + ROWS], slice(at, min(at + ROWS, n))
+        distance = (w[:, 0] - x[:, :1]) ** 2
+        for c in range(1, centre):
+            distance += (w[:, c] - x[:, c : c + 1]) ** 2
+        distance = np.sqrt(distance)
+        dot = x[:, centre : centre + 1] * w[:, centre]
+        for c in range(centre + 1, width):
+            dot += x[:, c : c + 1] * w[:, c]
+        dot = np.where(np.isnan(dot), 1.0, np.clip(dot, -1.0, 1.0))  # as least and greatest have it
+        apart = np.abs(i[own, None] - j)
+        near = np.where(apart < 1000, apart, 1000) * 1e-4 - 0.25
+        same = (phases[own, None] == phases[n:]) & (phases[n:] >= 0)
+        score = distance + 0.35 * (1 - dot) + np.where(same, near, 0.0)
+        place = np.copysign(np.floor(np.abs(score) * 1e9 + 0.5), score)
+        place[np.isnan(place)] = np.inf
+        place[((distance < 0.012) & (dot > 0.9999)) | (keys[own, None] == keys[n:])] = np.nan
+        last = np.partition(place, k - 1, axis=1)[:, k - 1 : k] if m > k else np.full((len(x), 1), np.nan)
+        row, col = np.nonzero(place <= np.where(np.isnan(last), np.inf, last))  # ties of the last included
+        order = np.lexsort((col, place[row, col], row))
+        row, col = row[order], col[order]
+        held = np.arange(len(row)) - np.searchsorted(row, row) < k
+        row, col = row[held], col[held]
+        found.append((row + at, col, score[row, col], place[row, col]))
+    row, col, score, place = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),) * 2
+    return pa.table([mine.column(0).take(pa.array(row)), mine["_k"].take(pa.array(row)), others["_k"].take(pa.array(col)), pa.array(score), pa.array(place)], names=[mine.column_names[0], "_k", "_ref", "score", "_place"])
+
+
 def view_neighbours(frames: DataFrame, project: str, key: str, phase: str, index: str, centre: list[str], forward: list[str], k: int = 4) -> DataFrame:
     """(project, key, ref, rank, score): the k nearest views of each frame of a project.
 
-    A project's views meet block by block, each pair of blocks in a task of its own; a block's
-    best k travel on. The frames of one project are some thousands; the pairs are the method.
+    The order is that of `view_score` at nine places, then of the key. A project's views meet in blocks of about VIEWS, each
+    pair of blocks in arrays of one task, and a block's best k travel on: pairs are never rows. Work grows with the square of a
+    project, which is the method; the shuffle with its frames times its blocks.
     """
-    cols = list(dict.fromkeys([key, phase, index, *centre, *forward]))
-    block = F.pmod(F.xxhash64(key), F.lit(8))
-    a = frames.select(project, *cols).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("_a", block)
-    b = frames.select(F.col(project), block.cast("int").alias("_b"), *[F.col(c).alias(f"_{c}_") for c in cols])
-    near = a.join(b, [project, "_b"]).where(F.col(key) != F.col(f"_{key}_"))
-    distance = geom.norm(*[F.col(f"_{c}_") - F.col(c) for c in centre])
-    forward_dot = geom.clip(sum((F.col(c) * F.col(f"_{c}_") for c in forward[1:]), F.col(forward[0]) * F.col(f"_{forward[0]}_")), -1.0, 1.0)
-    near = near.withColumn("score", view_score(distance, forward_dot, F.col(phase) == F.col(f"_{phase}_"), F.col(index) - F.col(f"_{index}_"))).where("score IS NOT NULL")
-    for by in (["_b"], []):
-        w = Window.partitionBy(project, key, *by).orderBy(F.round("score", 9), f"_{key}_")
-        near = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return near.select(project, key, F.col(f"_{key}_").alias("ref"), "rank", "score")
+    sizes = frames.groupBy(project).agg(F.ceil(F.count("*") / VIEWS).cast("int").alias("_n"))
+    there = F.col(project).isNotNull() & F.col(key).isNotNull()
+    for c in centre:
+        there = there & F.col(c).isNotNull()
+    numbers = F.array(*[F.col(c).cast("double") for c in [*centre, *forward]])
+    v = frames.where(there).select(project, F.col(key).alias("_k"), F.col(phase).alias("_p"), F.col(index).alias("_i"), numbers.alias("_v")).join(F.broadcast(sizes), project)
+    block, every = F.pmod(F.xxhash64("_k"), F.col("_n")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
+    by = [project, "_a", "_b"]
+    mine, others = v.withColumn("_a", block).withColumn("_b", every).drop("_n"), v.toDF(*v.columns).withColumn("_b", block).withColumn("_a", every).drop("_n")
+    kinds = {f.name: f.dataType.simpleString() for f in v.schema}
+    at = len(centre)
+    near = mine.groupBy(*by).cogroup(others.groupBy(*by)).applyInArrow(lambda a, b: _nearest_views(a, b, at, k), f"`{project}` {kinds[project]}, _k {kinds['_k']}, _ref {kinds['_k']}, score double, _place double")
+    w = Window.partitionBy(project, "_k").orderBy("_place", "_ref")
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(project, F.col("_k").alias(key), F.col("_ref").alias("ref"), "rank", "score")
 
 
 def pair_scales(poses: DataFrame, key: str, order: str, source: list[str], target: list[str]) -> DataFrame:

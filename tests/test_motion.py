@@ -235,3 +235,22 @@ def test_replay_has_turns(spark):
     rows = replayed(Phase({}, frames, imu, None)).orderBy("number").collect()
     assert [r["number"] for r in rows] == [0, 1, 2] and rows[0]["rotation"] is None and rows[2]["rotation"] is None
     assert rows[1]["angle"] == pytest.approx(np.degrees(0.1))
+
+
+def test_neighbours_in_blocks_without_rows_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr(motion, "VIEWS", 20, raising=False)
+    rng = np.random.default_rng(5)
+    at, to = rng.integers(0, 3, (120, 3)) * 0.5, rng.integers(-1, 2, (120, 2)) * 0.5  # with ties
+    d = spark.createDataFrame([(i, i % 2, i % 5, *map(float, [*at[i], *to[i]])) for i in range(120)], "i long, p int, s int, x double, y double, z double, c double, f double")
+    found = motion.view_neighbours(d, "p", "i", "s", "i", ["x", "y", "z"], ["c", "f"])
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString()
+
+    def score(i, j):
+        far, dot = np.linalg.norm(at[i] - at[j]), float(np.clip(to[i] @ to[j], -1, 1))
+        return None if far < 0.012 and dot > 0.9999 else far + 0.35 * (1 - dot) + (min(abs(i - j), 1000) * 1e-4 - 0.25 if i % 5 == j % 5 else 0)
+
+    want = {}
+    for i in range(120):
+        near = sorted((round(score(i, j), 9), j) for j in range(i % 2, 120, 2) if j != i and score(i, j) is not None)
+        want |= {(i, n + 1): j for n, (_, j) in enumerate(near[:4])}
+    assert {(r["i"], r["rank"]): r["ref"] for r in found.collect()} == want
