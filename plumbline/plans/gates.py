@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.operators import gates
+from plumbline.operators.relational import in_row_order, running_sums
 from plumbline.plans.catalogue import query, r6, table
 from plumbline.plans.frames import G, grid
 
@@ -29,8 +30,15 @@ DECIDED = f"SELECT loop, dia, CASE WHEN res<=greatest(0.01,greatest(dia,0.01)*0.
 
 
 def decided(spark, d):
+    """Means are sums in row order over counts: a part whose mean lies on a limit is then decided as SQL decides it on one thread, whatever the partitions."""
     q = F.col("l_quantity")
-    h = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("loop")).agg(F.count_if(q <= 30).alias("sup"), F.count_if(q > 49.5).alias("fre"), F.count_if(q.between(30.01, 49.5)).alias("occ"), F.countDistinct(F.when(q <= 30, F.col("l_suppkey"))).alias("views"), (F.avg("l_tax") * 2).alias("dia"), (1 - F.avg("l_discount")).alias("coh"), (F.avg("l_discount") / 10).alias("res"))
+    lines = in_row_order(table(spark, d, "lineitem")).select(F.col("l_partkey").alias("loop"), "l_suppkey", "l_quantity", "l_tax", "l_discount", "_file", "_row")
+    summed = running_sums(lines, "loop", ["_file", "_row"], ["l_tax", "l_discount"])
+
+    def mean(c):
+        return F.max(F.when(F.col("_last"), F.col(f"_sum_{c}"))) / F.count(c)
+
+    h = summed.groupBy("loop").agg(F.count_if(q <= 30).alias("sup"), F.count_if(q > 49.5).alias("fre"), F.count_if(q.between(30.01, 49.5)).alias("occ"), F.countDistinct(F.when(q <= 30, F.col("l_suppkey"))).alias("views"), (mean("l_tax") * 2).alias("dia"), (1 - mean("l_discount")).alias("coh"), (mean("l_discount") / 10).alias("res"))
     decision = gates.hole_decision(F.col("sup"), F.col("fre"), F.col("occ"), F.col("views"), F.col("dia"), F.col("coh"), F.col("res"), 0.01, fill_inferred=True)
     return h.select("loop", "dia", gates.planar(F.col("dia"), F.col("res"), F.col("coh"), 0.01).alias("shape"), decision.alias("decision"))
 

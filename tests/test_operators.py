@@ -133,6 +133,28 @@ def test_preview_rounds_as_sql(spark, tmp_path):
     assert [tuple(r) for r in catalogue.queries()["preview_points"](spark, str(tmp_path)).collect()] == c.sql(catalogue.oracle_sql()["preview_points"]).fetchall()
 
 
+def one_thread(tmp_path, table, name):
+    c = duckdb.connect()
+    c.sql("SET threads = 1")
+    c.sql(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
+    return sorted(c.sql(catalogue.oracle_sql()[name]).fetchall())
+
+
+@pytest.mark.parametrize("name, least", [("hole_decisions", 0.06), ("repair_summary", 0.04)])
+def test_holes_on_a_limit(spark, tmp_path, name, least):
+    """Parts whose mean tax is exactly a limit: only the order of the sum tells on which side the doubles fall."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for part in range(400):
+        off = rng.integers(-2, 3, 10)
+        tax = np.concatenate([least * 100 + off, least * 100 - off]) / 100
+        rows += [(0, part, int(i % 3), int(i), 10.0, 100.0, 0.05, float(t)) for i, t in enumerate(tax)]
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    kind = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double"
+    spark.createDataFrame(rows, kind).repartition(5).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert sorted(map(tuple, catalogue.queries()[name](spark, str(tmp_path)).collect())) == one_thread(tmp_path, "lineitem", name)
+
+
 def test_queue_and_gate(spark):
     q = spark.createDataFrame([(1, s) for s in (1, 2, 3)], "k int, s int")
     assert sorted((r["s"], r["dropped"]) for r in latest_wins(q, "k", "s", 2).collect()) == [(2, 1), (3, 1)]
