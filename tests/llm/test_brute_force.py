@@ -275,6 +275,23 @@ def test_mixing_is_a_distribution_and_adapts():
         scoring.PIECE = piece
 
 
+def test_mixing_adapts_behind_every_symbol():
+    """A second 'a' behind a first is dearer or cheaper by what the first taught, within the first 128 bytes; short slices carry the state on."""
+    counts = np.ones((scoring.ROWS, scoring.SYMBOLS)) * (np.arange(scoring.SYMBOLS) < 40)
+    mixer = scoring.Mixer(scoring.shares(counts, counts.sum(0)))
+    text = bytes([7] * 100)
+    state, costs = mixer.fresh(1), []
+    for i in range(1, 4):  # prefixes of one symbol more each
+        state = mixer.fresh(1)
+        mixer.read(np.frombuffer(text[: 20 * i], np.uint8).astype(np.int32), np.array([0, 20 * i]), state)
+        costs.append(state[2][0])
+    assert costs[1] - costs[0] != pytest.approx(costs[2] - costs[1], rel=1e-6)
+    assert all(size == 1 for size, _, _ in scoring.BLOCKS)
+    table = scoring.shares(counts, counts.sum(0))
+    data = bytes([0, 1, 0, 0, 1, 2, 0] * 15)
+    assert mixer.scores(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0] == pytest.approx(plain_score(table, data), rel=1e-4)
+
+
 def test_jaccard_against_all_pairs(spark, docs, texts):
     sets = {}
     for i, r in texts.items():
