@@ -175,10 +175,10 @@ def batch_union(spark, d):
 def training_order(spark, d):
     """Two kinds of frames (metric or not) in a seeded order, taken in turn, the smaller kind repeated; blocks of four are read four times over.
 
-    The order is that of a digest, which reruns and partitions do not change.
+    The order is that of a digest, which reruns and partitions do not change; documents without an id come last in it.
     """
     docs = table(spark, d, "documents").select("doc_id", (F.col("lang").isNull() | (F.col("lang") == "en")).alias("metric"))
-    parts = [rel._numbered(docs.where(F.col("metric") == m).withColumn("h", F.md5(F.concat(F.lit("7:"), F.col("doc_id").cast("string")))), ["h", "doc_id"]).withColumn("odd", F.lit(0 if m else 1)) for m in (True, False)]
+    parts = [rel._numbered(docs.where(F.col("metric") == m).withColumn("h", F.md5(F.concat(F.lit("7:"), F.col("doc_id").cast("string")))), [F.asc_nulls_last("h"), F.asc_nulls_last("doc_id")]).withColumn("odd", F.lit(0 if m else 1)) for m in (True, False)]
     p = parts[0].unionByName(parts[1])
     g = p.agg(F.max("_n")).first()[0] or 0
     b = p.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.lit(g) / F.col("_n"))))).withColumn("j", F.col("_i") + F.col("k") * F.col("_n")).where(F.col("j") < g).withColumn("place", 2 * F.col("j") + F.col("odd"))

@@ -2,6 +2,7 @@
 
 import math
 import struct
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -126,6 +127,16 @@ def test_training_order_has_every_step_once(spark, tmp_path):
             spark.conf.unset(k)
 
 
+def test_training_order_without_ids(spark, tmp_path):
+    """Documents without an id are last in SQL's order, not first."""
+    rows = [(None if i % 9 == 4 else i, "en" if i % 3 else None if i % 2 else "de") for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, lang string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = Counter(c.sql(catalogue.oracle_sql()["training_order"]).fetchall())
+    assert Counter(map(tuple, catalogue.queries()["training_order"](spark, str(tmp_path)).collect())) == want
+
+
 def test_preview_rounds_as_sql(spark, tmp_path):
     spark.createDataFrame([(0, [-0.08385, 0.0, 0.0, 0.0, 0.0], 1)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     c = duckdb.connect()
