@@ -9,6 +9,7 @@ import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -292,6 +293,23 @@ def test_mixing_adapts_behind_every_symbol():
     assert mixer.scores(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0] == pytest.approx(plain_score(table, data), rel=1e-4)
 
 
+def test_texts_of_many_batches_are_scored_in_step(monkeypatch):
+    """One pass over the texts of all batches, not one for each: the longest text sets the number of steps. Each text scores as it does alone."""
+    rng = np.random.default_rng(6)
+    counts = rng.integers(0, 40, (scoring.ROWS, scoring.SYMBOLS)) * (rng.random((scoring.ROWS, scoring.SYMBOLS)) < 0.2)
+    mixer = scoring.Mixer(scoring.shares(counts, counts.sum(0)))
+    texts = [bytes(rng.choice(list(b"abcdefgh ij"), int(n)).tolist()) for n in rng.integers(0, 900, 60)] + [b"", b"x" * 700, b"ab " * 300]
+    alone = [mixer.scores(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0] * np.log10(2) for t in texts]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(i, i + 9)), pa.array([t.decode() for t in texts[i : i + 9]])], names=["k", "text"]) for i in range(0, 63, 9)]
+    out = pa.schema({"k": pa.int64(), "n_bytes": pa.int64(), "n_tokens": pa.int64(), "in_head": pa.int64(), "head_sum": pa.float64(), "tail": pa.list_(pa.int64()), "tail_n": pa.list_(pa.int64()), "score": pa.float64()})
+    passes, read = [], scoring.Mixer.read
+    monkeypatch.setattr(scoring.Mixer, "read", lambda self, seq, at, *rest: (passes.append(len(at) - 1), read(self, seq, at, *rest))[1])
+    got = pa.Table.from_batches(scoring._scored(iter(batches), mixer, (np.zeros(0, np.uint64), np.zeros(0, np.int64)), out), out).to_pylist()
+    assert passes == [63]
+    assert [(r["k"], r["n_bytes"]) for r in got] == [(i, len(t)) for i, t in enumerate(texts)]
+    assert [r["score"] for r in got] == pytest.approx(alone, rel=1e-9)
+
+
 def test_jaccard_against_all_pairs(spark, docs, texts):
     sets = {}
     for i, r in texts.items():
